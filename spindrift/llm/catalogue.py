@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, repair
+from . import decontaminate, jaccard, mixing, repair
 
 
 def table(spark, sf_dir: str, name: str):
@@ -13,6 +13,10 @@ def op5_repair_tokens(spark, sf_dir):
     return repair.token_report(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_report(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -21,5 +25,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_repair_tokens, op8_decontaminate, op10_mixing)}
-ORACLES = {"op8_decontaminate": decontaminate.SQL, "op10_mixing": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op5_repair_tokens, op6_jaccard_join, op8_decontaminate, op10_mixing)}
+ORACLES = {"op6_jaccard_join": jaccard.SQL, "op8_decontaminate": decontaminate.SQL, "op10_mixing": mixing.SQL}

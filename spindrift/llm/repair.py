@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import LOWER, mix, pieces, powers, strings
-from .shared import cut
+from .shared import arrow, cut
 
 END = 2
 #: Ids that fill a shard (it ends with the piece of texts that fills it), pairs replaced at most in one round, least count of a replaced pair,
@@ -329,7 +329,7 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="tex
         if held:
             yield flush()
 
-    return cut(src.mapInArrow(run, "part int, seq long, n_ids long, payload binary"), "shards")
+    return cut(arrow(src, run, "part int, seq long, n_ids long, payload binary"), "shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -347,7 +347,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(flat[a:z]) for a, z in zip(s.id_at[:-1], s.id_at[1:], strict=True)]
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part] * n, pa.int32()), "seq": pa.array([seq] * n, pa.int64()), "place": pa.array(np.arange(n)), "doc_id": pa.array(s.doc_ids), "offset": pa.array(s.id_at[:-1]), "n_tokens": pa.array(np.diff(s.id_at)), "ids_crc32": pa.array(crc, pa.int64())})
 
-    out = shards.select("part", "seq", "payload").mapInArrow(run, "part int, seq long, place long, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    out = arrow(shards.select("part", "seq", "payload"), run, "part int, seq long, place long, doc_id long, offset long, n_tokens long, ids_crc32 long")
     return out.join(base, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", "part", "seq", "place")
 
 
