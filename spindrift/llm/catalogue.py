@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, neardup, repair
+from . import decontaminate, jaccard, langid, mixing, neardup, repair
 
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark, sf_dir):
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
 def op3_near_vectors(spark, sf_dir):
     return neardup.vector_report(table(spark, sf_dir, "embeddings"))
 
@@ -29,5 +33,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_near_vectors, op5_repair_tokens, op6_jaccard_join, op8_decontaminate, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language, op3_near_vectors, op5_repair_tokens, op6_jaccard_join, op8_decontaminate, op10_mixing)}
 ORACLES = {"op3_near_vectors": neardup.SQL, "op6_jaccard_join": jaccard.SQL, "op8_decontaminate": decontaminate.SQL, "op10_mixing": mixing.SQL}
