@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, langid, mixing, neardup, repair
+from . import decontaminate, jaccard, langid, mixing, neardup, repair, toxicity
 
 
 def table(spark, sf_dir: str, name: str):
@@ -17,6 +17,10 @@ def op3_near_vectors(spark, sf_dir):
     return neardup.vector_report(table(spark, sf_dir, "embeddings"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_repair_tokens(spark, sf_dir):
     return repair.token_report(table(spark, sf_dir, "documents"))
 
@@ -33,5 +37,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op3_near_vectors, op5_repair_tokens, op6_jaccard_join, op8_decontaminate, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language, op3_near_vectors, op4_toxicity, op5_repair_tokens, op6_jaccard_join, op8_decontaminate, op10_mixing)}
 ORACLES = {"op3_near_vectors": neardup.SQL, "op6_jaccard_join": jaccard.SQL, "op8_decontaminate": decontaminate.SQL, "op10_mixing": mixing.SQL}
