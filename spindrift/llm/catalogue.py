@@ -37,5 +37,11 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op3_near_vectors, op4_toxicity, op5_repair_tokens, op6_jaccard_join, op8_decontaminate, op10_mixing)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op3_near_vectors, op4_toxicity, op5_repair_tokens, op6_jaccard_join, op8_decontaminate, op10_mixing, pipeline)}
 ORACLES = {"op3_near_vectors": neardup.SQL, "op6_jaccard_join": jaccard.SQL, "op8_decontaminate": decontaminate.SQL, "op10_mixing": mixing.SQL}

@@ -289,12 +289,12 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """docs with one row of each group (the one of the least id); rows without words all stay."""
     g = jaccard_groups(docs, id_col, text_col)
     best = g.where("n_shingles > 0").groupBy("component").agg(F.min_by("text_hash", F.struct("id", "text_hash")).alias("_key")).select("_key")
-    none = g.where("n_shingles = 0").select(F.col("text_hash").alias("_key")).distinct().withColumn("_all", F.lit(True))
-    chosen = best.withColumn("_all", F.lit(False)).unionByName(none)
+    rows = g.groupBy(F.col("text_hash").alias("_key")).agg(F.count("*").alias("_rows"), F.max("n_shingles").alias("_n"))
+    chosen = rows.join(best.withColumn("_best", F.lit(True)), "_key", "left").where("_best or _n = 0").select("_key", F.expr("_n > 0 and _rows > 1").alias("_many"))
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key")).join(chosen, "_key")
-    once = row.where("not _all").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")
-    return once.unionByName(row.where("_all").select("_row.*"))
+    once = row.where("_many").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")
+    return row.where("not _many").select("_row.*").unionByName(once)
 
 
 SQL = r"""
