@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, langid, mixing, neardup, repair, toxicity
+from . import decontaminate, jaccard, langid, mixing, neardup, pieces, pii, repair, toxicity
 
 
 def table(spark, sf_dir: str, name: str):
@@ -13,6 +13,10 @@ def op1_language(spark, sf_dir):
     return langid.language_report(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark, sf_dir):
+    return pieces.count_report(table(spark, sf_dir, "documents"))
+
+
 def op3_near_vectors(spark, sf_dir):
     return neardup.vector_report(table(spark, sf_dir, "embeddings"))
 
@@ -33,6 +37,10 @@ def op8_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_personal_data(spark, sf_dir):
+    return pii.personal_data_report(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -43,5 +51,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op3_near_vectors, op4_toxicity, op5_repair_tokens, op6_jaccard_join, op8_decontaminate, op10_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_token_counts, op3_near_vectors, op4_toxicity, op5_repair_tokens, op6_jaccard_join, op8_decontaminate, op9_personal_data, op10_mixing, pipeline)}
 ORACLES = {"op3_near_vectors": neardup.SQL, "op6_jaccard_join": jaccard.SQL, "op8_decontaminate": decontaminate.SQL, "op10_mixing": mixing.SQL}
