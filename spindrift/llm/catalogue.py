@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, langid, mixing, neardup, pieces, pii, repair, toxicity
+from . import decontaminate, jaccard, langid, lm, mixing, neardup, pieces, pii, repair, toxicity
 
 
 def table(spark, sf_dir: str, name: str):
@@ -33,6 +33,10 @@ def op6_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_report(table(spark, sf_dir, "documents"))
 
 
+def op7_loss_difference(spark, sf_dir):
+    return lm.loss_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,5 +55,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_token_counts, op3_near_vectors, op4_toxicity, op5_repair_tokens, op6_jaccard_join, op8_decontaminate, op9_personal_data, op10_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_token_counts, op3_near_vectors, op4_toxicity, op5_repair_tokens, op6_jaccard_join, op7_loss_difference, op8_decontaminate, op9_personal_data, op10_mixing, pipeline)}
 ORACLES = {"op3_near_vectors": neardup.SQL, "op6_jaccard_join": jaccard.SQL, "op8_decontaminate": decontaminate.SQL, "op10_mixing": mixing.SQL}
