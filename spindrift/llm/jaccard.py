@@ -26,7 +26,9 @@ WORDS = 5
 NUM, DEN = 3, 4
 ROUTES = 12
 #: Hashes used in the first round, sets of one hash in a block, partners a set offers in a block in the first round and growth per round.
-EARLY, BLOCK, OFFER, MORE = 3, 2048, 4, 16
+EARLY, BLOCK, OFFER, MORE = 3, 2048, 4, 64
+#: Bits of a signature per set member, at least.
+DENSITY = 8
 LEAF = 8
 SKETCH = "struct<n:bigint,node:bigint,routes:array<bigint>,sig:binary>"
 
@@ -47,8 +49,8 @@ def node_of(s: np.ndarray) -> int:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """A bitmap of at least as many bits as the set has members, a power of two."""
-    width = max(64, 1 << (len(s) - 1).bit_length())
+    """A bitmap of at least ``DENSITY`` bits for each member of the set, a power of two."""
+    width = max(64, 1 << (DENSITY * len(s) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -79,7 +81,7 @@ def fold(sig: int, width: int, to: int) -> int:
 
 
 class Tree:
-    """A node over sets[a:b] (name, size, label, width, bitmap), which stand by size."""
+    """A node over sets[a:b] (name, size, label, width, bitmap, routes), which stand by size."""
 
     __slots__ = ("a", "b", "high", "kids", "label", "low", "sig", "slack", "width")
 
@@ -124,8 +126,11 @@ def possible(x, y) -> bool:
     return min(nx - p.bit_count() + both, ny - q.bit_count() + both) * (NUM + DEN) >= need
 
 
-def tree_pairs(left: list, right: list | None, offer: int):
-    """Candidate pairs of names among sets (right None) or between two blocks, and names that had more than ``offer``."""
+def tree_pairs(left: list, right: list | None, offer: int, route: int | None = None):
+    """Candidate pairs of names among sets (right None) or between two blocks, and names that had more than ``offer``.
+
+    With a route, only pairs that have no lesser route in common: the others are met there.
+    """
     left.sort(key=lambda s: (s[1], s[4]))
     if right is not None:
         right.sort(key=lambda s: (s[1], s[4]))
@@ -157,6 +162,8 @@ def tree_pairs(left: list, right: list | None, offer: int):
                 y = other[j]
                 if x[2] == y[2] or x[0] == y[0] or not possible(x, y):
                     continue
+                if route is not None and next(r for r in x[5] if r in y[5]) != route:
+                    continue
                 if given.get(x[0], 0) >= offer and given.get(y[0], 0) >= offer:
                     full.add(x[0])
                     break
@@ -165,14 +172,14 @@ def tree_pairs(left: list, right: list | None, offer: int):
     return out, full
 
 
-def _traverse(rows: DataFrame, offer: int) -> DataFrame:
-    """(a, b) candidates from rows (route, i, j, block, node, n, label, sig); a = b says that a has more."""
+def _traverse(rows: DataFrame, offer: int, once: bool) -> DataFrame:
+    """(a, b) candidates from rows (route, i, j, block, node, n, label, sig, routes), ``once`` each; a = b says that a has more."""
 
     def run(batches):
         key, left, right = None, [], []
 
         def flush():
-            got, full = tree_pairs(left, None if key[1] == key[2] else right, offer)
+            got, full = tree_pairs(left, None if key[1] == key[2] else right, offer, key[0] if once else None)
             return [*got, *((x, x) for x in full)]
 
         def batch(out):
@@ -180,7 +187,7 @@ def _traverse(rows: DataFrame, offer: int) -> DataFrame:
 
         out: list = []
         for b in batches:
-            for route, i, j, own, node, n, label, sig in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for route, i, j, own, node, n, label, sig, routes in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != (route, i, j):
                     if key and len(left) + len(right) > 1:
                         out += flush()
@@ -188,12 +195,12 @@ def _traverse(rows: DataFrame, offer: int) -> DataFrame:
                             yield batch(out)
                             out = []
                     key, left, right = (route, i, j), [], []
-                (left if own == i else right).append((node, n, label, len(sig) * 8, int.from_bytes(sig, "little")))
+                (left if own == i else right).append((node, n, label, len(sig) * 8, int.from_bytes(sig, "little"), routes))
         if key and len(left) + len(right) > 1:
             out += flush()
         yield batch(out)
 
-    return arrow(rows.repartition("route", "i", "j").sortWithinPartitions("route", "i", "j").select("route", "i", "j", "block", "node", "n", "label", "sig"), run, "a long, b long")
+    return arrow(rows.repartition("route", "i", "j").sortWithinPartitions("route", "i", "j").select("route", "i", "j", "block", "node", "n", "label", "sig", "routes"), run, "a long, b long")
 
 
 def _bloom(ids: DataFrame, bits: int = 24):
@@ -258,7 +265,7 @@ def jaccard_groups(docs: DataFrame, id_col="doc_id", text_col="text", words_in:
         hot = filed.groupBy("route").agg(F.count("*").alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("c > 1 and x <> y").select("route", "c")
         filed = filed.join(hot, "route").withColumn("k", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(step)), F.col("k")).cast("int"))
         filed = filed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("route", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node")
-        found = cut(_traverse(filed.join(own.drop("routes"), "node"), offer).distinct(), "pairs")
+        found = cut(_traverse(filed.join(own, "node"), offer, step > 0).distinct(), "pairs")
         more = found.where("a = b").limit(1).count() > 0
         pairs = found.where("a <> b")
         if tried is not None:
