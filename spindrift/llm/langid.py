@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import mix
-from .shared import arrow, attach
+from .shared import arrow, attach, cut
 
 #: Hashed n-gram dimensions, n-gram lengths, centroids per language, and the bound on sampled training texts per language.
 DIMS, SIZES, CLUSTERS, SAMPLE = 1 << 14, (1, 2, 3), 4, 400
 #: A text whose nearest centroid is farther (1 - cosine) than this quantile of the training texts of its language, times SLACK, is rejected.
 QUANTILE, SLACK = 0.995, 1.25
 UNKNOWN = "und"
+#: Languages whose counts are broadcast; with more they are joined by a shuffle.
+LANGS = 10_000
 KIND = "struct<lang_pred:string,score:double,distance:double,rejected:boolean>"
 
 _table: list[np.ndarray] = []
@@ -107,7 +109,9 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Model:
     """Fit on at most ``sample`` texts of each language, those of least hash; their whole texts are turned into n-gram counts on the executors."""
     few = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col)).alias("h"))
-    n = few.groupBy("lang").agg(F.count("*").alias("n"))
+    n = cut(few.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    if n.count() <= LANGS:  # a row for each language; with it on every task the texts that aren't sampled aren't shuffled
+        n = F.broadcast(n)
     # about twice the wanted rows by their hash, then exactly the least ones: no window over the whole table
     few = few.join(n, "lang").where(F.expr(f"pmod(h, 1000003) <= 1000003D * {2 * sample + 50} / n"))
     few = few.selectExpr("lang", "text", "row_number() over (partition by lang order by h) as rn").where(F.col("rn") <= sample).select("lang", "text")
