@@ -167,5 +167,9 @@ def _joined(col):
 
 def personal_data_report(docs: DataFrame) -> DataFrame:
     out = find_personal_data(docs)
-    n = [F.size(F.filter("base", lambda s, k=k: s["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def number(k):
+        return F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
+
+    n = [number(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return out.select(F.col("id").alias("doc_id"), *n, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
