@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import LOWER, mix, pieces, powers, strings
+from .kernel import LOWER, PIECE, mix, pieces, powers, strings
 from .shared import arrow, cut
 
 END = 2
@@ -191,7 +191,12 @@ def compress(ids: np.ndarray, bounds: np.ndarray, batch: int = BATCH, least: int
         pick = held[s] == key
         pick[inner - 1] = False
         r[~pick] = len(pairs)
-        pick[1:] &= r[1:] < r[:-1]
+        runs = np.zeros(len(r), bool)  # a pair of equal symbols overlaps itself: every other place of a run is taken
+        runs[1:] = pick[1:] & (r[1:] == r[:-1])
+        if runs.any():
+            place = np.arange(len(r))
+            pick &= ((place - np.maximum.accumulate(np.where(runs, 0, place))) & 1) == 0
+        pick[1:] &= r[1:] <= r[:-1]
         pick[:-1] &= r[:-1] <= r[1:]
         where = np.flatnonzero(pick)
         hits = np.bincount(r[where], minlength=len(pairs))
@@ -317,7 +322,7 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="tex
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "payload": pa.array([write_shard(np.array(held), ids, bounds)], pa.binary())})
 
         for b in batches:
-            for p in pieces(b, 1):
+            for p in pieces(b, 1, min(PIECE, 4 * shard)):
                 ids, bounds = enc.encode(p.column(1), end)
                 held += [-1 if i is None else i for i in p.column(0).to_pylist()]
                 got.append(ids)

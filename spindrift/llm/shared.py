@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pathlib
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
+
 
 def arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow, on workers that have this package."""
@@ -17,20 +17,6 @@ def arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a context, so that it need not be installed there."""
-    sc = spark.sparkContext
-    if getattr(sc, "_spindrift_sent", False):
-        return
-    top = pathlib.Path(__file__).resolve().parents[1]
-    to = pathlib.Path(tempfile.mkdtemp(prefix="spindrift-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(str(to))
-    sc._spindrift_sent = True
-
-
 def folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or (in tests on one machine) one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
