@@ -182,16 +182,17 @@ def dense_parent_collapse(spark, sf_dir):
 
 
 @query(DENSE + """,
-lx as (select query, item, row_number() over (partition by query order by round(-abs(query - item)::double, 9) desc, item) as rank from s where query <> item),
+lx as (select query, item, row_number() over (partition by query order by round(-abs(query - item)::double, 9) desc, item) as rank from s where query <> item and abs(query - item) <= 50),
 f as (select coalesce(a.query, b.query) as query, coalesce(a.item, b.item) as item, a.rank as ar, b.rank as br from (select * from de where rank <= 50) a full join (select * from lx where rank <= 50) b on a.query = b.query and a.item = b.item),
 g as (select query, item, coalesce(1.0::double / (60 + ar), 0) + coalesce(1.0::double / (60 + br), 0) as score, ar, br from f),
 h as (select *, row_number() over (partition by query order by score desc, ar asc nulls last, br asc nulls last, item) as rank from g)
 select query, item, round(score, 9) as score, rank::int as rank from h where rank <= 10""")
 def rrf_fusion(spark, sf_dir):
-    """Fuses the vector ranking with a ranking by nearness of id."""
+    """Fuses the vector ranking with a ranking by nearness of id, which has the ids up to 50 away."""
     d = _dense(spark, sf_dir, 50)
     e = table(spark, sf_dir, "embeddings")
-    near = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query")).join(e.select(F.col("vec_id").alias("item")), F.col("query") != F.col("item"))
+    near = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.explode(F.sequence(F.col("vec_id") - 50, F.col("vec_id") + 50)).alias("item"))
+    near = near.join(e.select(F.col("vec_id").alias("item")), "item").where("query <> item")
     lx = retrieval.ranked(near.withColumn("score", -F.abs(F.col("query") - F.col("item")).cast("double")), "query", "item", "score", 50)
     return retrieval.fuse(d, lx, 10).select("query", "item", F.round("score", 9).alias("score"), "rank")
 
