@@ -10,6 +10,8 @@ from .shared import cut
 SEED = "mix-1"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
+#: Sources whose rates are broadcast; with more they are joined by a shuffle.
+SOURCES = 100_000
 MOST = 2
 
 
@@ -40,6 +42,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return by.selectExpr("source", "source_size", "case when full then most else weight * (budget - given) / left_weight end as target")
 
 
+def _small(t: DataFrame) -> DataFrame:
+    """The table of sources, written; broadcast if its counted rows allow it, so that texts and hot sources aren't shuffled."""
+    t = cut(t, "sources")
+    return F.broadcast(t) if t.count() <= SOURCES else t
+
+
 def draw(col, seed: str = SEED):
     """A number in [0, 1) from a hash of the seed and the id: reruns agree."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
@@ -54,7 +62,7 @@ def rates(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
     mixed like any other row and those of one id alike. Empty tables give none.
     """
     sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(f"`{text_col}`").alias("size")), "sizes")
-    t = targets(sized).withColumnRenamed("source", "its")
+    t = _small(targets(sized).withColumnRenamed("source", "its"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     out = sized.join(t, F.col("source").eqNullSafe(F.col("its"))).drop("its").withColumn("rate", rate)
     return out.withColumn("copies", (F.floor("rate") + (draw("id") < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
@@ -64,6 +72,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source")
     """The mixed corpus: every row of docs as often as ``rates`` says, with the columns of docs, whatever their names."""
     t = targets(docs.select(F.col(source_col).alias("source"), word_count(f"`{text_col}`").alias("size")))
     t = t.select(F.struct(F.col("source").alias("s"), (F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).alias("rate")).alias("_mix"))
+    t = _small(t)
     full = docs.join(t, docs[source_col].eqNullSafe(F.col("_mix.s")))
     rate = F.col("_mix.rate")
     n = (F.floor(rate) + (draw(id_col) < rate - F.floor(rate)).cast("int")).cast("int")
