@@ -19,3 +19,9 @@ def ship(spark) -> None:
             z.write(f, f.relative_to(top.parent))
     sc.addPyFile(str(to))
     sc._spindrift_sent = True
+
+
+def read(spark, path: str):
+    """A Parquet table. One that Spark would read in fewer tasks than it has cores (a small file of one row group) is dealt over all of them."""
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

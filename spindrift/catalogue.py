@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import read
 from .functions import text as T
 from .operators import answers, chunking, evaluation, retrieval, training
 from .sources import corpus
@@ -19,7 +20,7 @@ ORACLES: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read(spark, f"{sf_dir}/{name}.parquet")
 
 
 def query(sql: str | None = None):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from ..functions import text as T
 DP = 9
 #: Query vectors multiplied at once.
 BLOCK = 4096
+#: Queries whose term weights are broadcast at once.
+TERMS_BLOCK = 256
 
 
 def ranked(scored: DataFrame, query: str, item: str, score: str, k: int, ties=()) -> DataFrame:
@@ -104,12 +107,72 @@ class Lexical:
         return tf.select("item", "term", norm.alias("x")).join(weight, "term").groupBy("query", "item").agg(F.round(F.sum(F.col("w") * F.col("x")), DP).alias("score"))
 
     def top(self, queries: DataFrame, query_id: str, text_col: str, k: int) -> DataFrame:
-        """The k best of every query. Every item is ranked: where fewer than k share a term, those first in position follow with score 0."""
-        scored = self.scores(queries, query_id, text_col)
-        first = self.docs.select("item").orderBy("item").limit(k)
-        zero = queries.select(F.col(query_id).alias("query")).distinct().crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
-        both = scored.unionByName(zero).groupBy("query", "item").agg(F.max("score").alias("score"))
-        return ranked(both, "query", "item", "score", k)
+        """(query, item, score, rank), the k best of every query; ids are integers.
+
+        Every item is ranked: where fewer than k share a term, those first in
+        position follow with score 0. Term weights of a block of queries are
+        broadcast; a task turns each item's counts into scores for the whole
+        block and keeps its k best, so the shuffle holds k rows per query and
+        task instead of a row for each shared term.
+        """
+        from .. import ship
+
+        spark = self.docs.sparkSession
+        ship(spark)
+        terms = queries.select(F.col(query_id).cast("long").alias("query"), F.explode(T.lexical_tokens(text_col)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+        weight = terms.join(self.idf.select("term", "idf"), "term").groupBy("query").agg(F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("w"))).alias("ws"))
+        every = queries.select(F.col(query_id).cast("long").alias("query")).distinct().join(weight, "query", "left")
+        avgdl, k1, b = float(self.total.first()["avgdl"] or 1.0) or 1.0, self.k1, self.b
+        src = self.docs.select(F.col("item").cast("long").alias("item"), "tokens")
+
+        def one(block):
+            names = sorted({w.term for r in block for w in r.ws or ()})
+            at = {t: i for i, t in enumerate(names)}
+            m = np.zeros((len(names), len(block)))
+            for j, r in enumerate(block):
+                for w in r.ws or ():
+                    m[at[w.term], j] = w.w
+            sent = spark.sparkContext.broadcast((np.array([r["query"] for r in block]), names, m))
+
+            def run(batches):
+                ids, names, m = sent.value
+                known = pa.array(names, pa.string())
+                best_s, best_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+                for batch in batches:
+                    for lo in range(0, batch.num_rows, 1024):
+                        part = batch.slice(lo, 1024)
+                        size = np.diff(part.column(1).offsets.to_numpy())
+                        term = pc.fill_null(pc.index_in(part.column(1).flatten(), known), -1).to_numpy(zero_copy_only=False)
+                        doc = np.repeat(np.arange(len(size)), size)[term >= 0]
+                        key, tf = np.unique(doc * np.int64(max(1, len(names))) + term[term >= 0], return_counts=True)
+                        doc, term = np.divmod(key, max(1, len(names)))
+                        x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / avgdl))
+                        s, cut = np.zeros((len(size), len(ids))), np.searchsorted(doc, np.arange(len(size) + 1))
+                        for d in range(len(size)):
+                            if cut[d] < cut[d + 1]:
+                                s[d] = x[cut[d] : cut[d + 1]] @ m[term[cut[d] : cut[d + 1]]]
+                        s = np.round(np.maximum(s, 0), DP).T
+                        alls = np.concatenate([best_s, s], 1)
+                        alli = np.concatenate([best_i, np.broadcast_to(part.column(0).to_numpy(), s.shape)], 1)
+                        o = np.lexsort((alli, -alls), axis=1)[:, :k]
+                        best_s, best_i = np.take_along_axis(alls, o, 1), np.take_along_axis(alli, o, 1)
+                ok = np.isfinite(best_s)
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], ok.shape)[ok]), pa.array(best_i[ok]), pa.array(best_s[ok])], names=["query", "item", "score"])
+
+            return src.mapInArrow(run, "query long, item long, score double")
+
+        parts, block = [], []
+        for r in every.toLocalIterator():
+            block.append(r)
+            if len(block) == TERMS_BLOCK:
+                parts.append(one(block))
+                block = []
+        if block or not parts:
+            parts.append(one(block))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return ranked(out, "query", "item", "score", k)
 
 
 def pool_size(k: int, times: int = 10, least: int = 50) -> int:
