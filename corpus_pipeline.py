@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spindrift import read
 from spindrift.llm import decontaminate, jaccard, langid, mixing, repair, shared, toxicity
 
 
@@ -59,7 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = shared.cut(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .. import read
 from . import decontaminate, jaccard, langid, lm, mixing, neardup, pieces, pii, repair, toxicity
 
 
 def table(spark, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read(spark, f"{sf_dir}/{name}.parquet")
 
 
 def op1_language(spark, sf_dir):
