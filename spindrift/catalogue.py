@@ -328,14 +328,14 @@ def average_precision(spark, sf_dir):
 
 
 @query("""
-with a as (select doc_id, quality as v from labels where doc_id % 3 <> 0), b as (select doc_id, toxic as v from labels where doc_id % 3 <> 1),
+with a as (select doc_id, quality as v from labels), b as (select doc_id, (n_chars > 2000)::int as v from documents),
 j as (select coalesce(a.doc_id, b.doc_id) as doc_id, a.v as before, b.v as after, a.doc_id is null as na, b.doc_id is null as nb from a full join b on a.doc_id = b.doc_id)
 select doc_id, before, after, case when na then 'added' when nb then 'removed' when before is null then 'gained' when after is null then 'lost' when after < before then 'better' else 'worse' end as change
 from j where na or nb or before is distinct from after""")
 def run_diff(spark, sf_dir):
-    """Two runs made of the labels: quality without every third id, toxic without another third."""
-    lab = table(spark, sf_dir, "labels")
-    return evaluation.run_diff(lab.where("doc_id % 3 <> 0").select("doc_id", F.col("quality").alias("v")), lab.where("doc_id % 3 <> 1").select("doc_id", F.col("toxic").alias("v")), "doc_id", "v")
+    """Two runs: labelled quality before, whether a document is long after."""
+    after = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 2000).cast("int").alias("v"))
+    return evaluation.run_diff(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("v")), after, "doc_id", "v")
 
 
 @query("select count(*) filter (where quality = 1) as passed_off, count(*) filter (where toxic = 0) as passed_on, count(*) filter (where toxic = 0) - count(*) filter (where quality = 1) as delta, count(*) filter (where toxic = 0 and quality <> 1) as fixed, count(*) filter (where toxic <> 0 and quality = 1) as broken from labels")
@@ -422,10 +422,11 @@ def register_case(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.register(F.concat(head, F.coalesce("text", F.lit("")))).alias("register"))
 
 
-@query(BM25 + f", m as (select * from {ART} where doc_id % 2 = 0), t as (select doc_id, {URL} as source_url, text as t from documents) select bm.item_id as query, bm.rank::int as rank, coalesce(m.published_date, '') as date, coalesce({SUB}, '') as subtype, coalesce(split_part(slug, '-', 1), '') as drug_or_device, {REG} as register from bm join t using (doc_id) left join m on m.source_url = t.source_url where rank <= 5".replace("coalesce(case", "coalesce(case when slug is null then '' else case", 1).replace("'standalone' end, '')", "'standalone' end end, '')", 1))
+@query(BM25 + f", m as (select * from {ART} where doc_id in (select doc_id from labels)), t as (select doc_id, {URL} as source_url, text as t from documents) select bm.item_id as query, bm.rank::int as rank, coalesce(m.published_date, '') as date, coalesce({SUB}, '') as subtype, coalesce(split_part(slug, '-', 1), '') as drug_or_device, {REG} as register from bm join t using (doc_id) left join m on m.source_url = t.source_url where rank <= 5".replace("coalesce(case", "coalesce(case when slug is null then '' else case", 1).replace("'standalone' end, '')", "'standalone' end end, '')", 1))
 def enrich_hits(spark, sf_dir):
-    """Articles of even id have metadata."""
-    meta = answers.article_metadata(_articles(spark, sf_dir).where("doc_id % 2 = 0"), "source_url", "slug", "published_date")
+    """Labelled documents have metadata."""
+    known = _articles(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    meta = answers.article_metadata(known, "source_url", "slug", "published_date")
     return answers.enrich(_hits(spark, sf_dir, 5), meta).select("query", "rank", "date", "subtype", "drug_or_device", "register")
 
 
@@ -540,11 +541,11 @@ def passage_status(spark, sf_dir):
 
 @query(f"""with a as (select *, split_part(slug, '-', 1) as topic from {ART} where not starts_with(slug, '{T.BULLETIN_PREFIX}') and not contains(slug, '{T.ROUNDUP_PART}')),
 t as (select topic, count(*) as n_articles, arg_max(source_url, (published_date, source_url)) as newest from a group by topic having count(*) > 1)
-select topic, n_articles, newest, newest in (select {URL} from documents where doc_id % 3 = 0) as newest_cited from t""")
+select topic, n_articles, newest, newest in (select {URL} from documents where doc_id in (select doc_id from labels where quality = 1)) as newest_cited from t""")
 def topic_currency(spark, sf_dir):
-    """Articles of every third id are cited."""
+    """Documents labelled as good are cited."""
     a = _articles(spark, sf_dir)
-    return evaluation.topic_currency(a, a.where("doc_id % 3 = 0"), "source_url", "slug", "published_date")
+    return evaluation.topic_currency(a, a.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi"), "source_url", "slug", "published_date")
 
 
 @query(r"""
