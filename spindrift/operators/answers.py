@@ -16,6 +16,12 @@ SYSTEM = (
 METADATA_RULES = "Passages are tagged with [register] and [date]: keep HCP advice apart from patient advice, and where passages conflict follow the latest and say so.\n"
 
 
+# The format of the user's message.
+NO_PASSAGES = "(no passages retrieved)"
+BEFORE_CONTEXT, BEFORE_QUESTION = "CONTEXT PASSAGES:\n", "\n\nQUESTION:\n"
+CLOSING = "\n\nAnswer using only the context above, following all the rules."
+
+
 def system_prompt(metadata: bool) -> str:
     return SYSTEM + (METADATA_RULES if metadata else "")
 
@@ -35,16 +41,15 @@ def context(hits: DataFrame, query: str = "query", metadata: bool = False) -> Da
     head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] source_url: "), F.col("source_url"))
     if metadata:
         for name in ("register", "date", "drug_or_device"):
-            label = name if name == "drug_or_device" else name
-            head = F.concat(head, F.lit(f" | [{label}]: "), F.col(name))
+            head = F.concat(head, F.lit(f" | [{name}]: "), F.col(name))
     block = F.struct(F.col("rank"), F.concat(head, F.lit("\n"), F.col("text")).alias("b"))
     return hits.groupBy(query).agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["b"]), "\n\n").alias("context"))
 
 
 def prompts(questions: DataFrame, contexts: DataFrame) -> DataFrame:
     """(query, question, prompt) for every question, also those without hits."""
-    c = F.coalesce("context", F.lit("(no passages retrieved)"))
-    body = F.concat(F.lit("CONTEXT PASSAGES:\n"), c, F.lit("\n\nQUESTION:\n"), F.col("question"), F.lit("\n\nAnswer using only the context above, following all the rules."))
+    c = F.coalesce("context", F.lit(NO_PASSAGES))
+    body = F.concat(F.lit(BEFORE_CONTEXT), c, F.lit(BEFORE_QUESTION), F.col("question"), F.lit(CLOSING))
     return questions.join(contexts, "query", "left").select("query", "question", body.alias("prompt"))
 
 
@@ -71,8 +76,8 @@ def extractive(prompts_in: list[str]) -> list[str]:
     """The offline stand-in for a model: the first passage of the prompt, or the refusal."""
     out = []
     for p in prompts_in:
-        head = p.split("\n\nQUESTION:\n")[0].split("\n", 1)[-1]
-        out.append(T.REFUSAL if head.startswith("(no passages") else head.split("\n\n")[0].split("\n", 1)[-1])
+        head = p.split(BEFORE_QUESTION)[0].split("\n", 1)[-1]
+        out.append(T.REFUSAL if head.startswith(NO_PASSAGES) else head.split("\n\n")[0].split("\n", 1)[-1])
     return out
 
 

@@ -10,6 +10,10 @@ from ..functions import text as T
 #: Share of a passage's tokens that a text must hold.
 OVERLAP = 0.9
 
+# What begins and ends the patients' part of an article.
+PATIENT_HEADING = "to give to patients|advice for patients|patients or parents|patients and caregiver"
+STOP_PART, STOP_START, STOP_SHORT = "advice for healthcare professional", "report ", "yellow card"
+
 
 def containment(passages: DataFrame, texts: DataFrame, passage_id: str, passage: str, text_id: str, text: str, share: float = OVERLAP, entities: bool = False) -> DataFrame:
     """Distinct (passage_id, text_id) where a normalised passage is part of a text or ``share`` of its tokens are among the text's.
@@ -126,12 +130,11 @@ def topic_currency(articles: DataFrame, cited: DataFrame, url: str, slug: str, d
 
 def patient_passage(articles: DataFrame, key: str, body: str, most: int = 400, lines: int = 3) -> DataFrame:
     """(key, passage): up to three non-blank lines after the first patient heading and before advice for professionals, reports or a short yellow-card line."""
-    heading = "to give to patients|advice for patients|patients or parents|patients and caregiver"
     ln = F.split(F.coalesce(F.col(body), F.lit("")), "\n", -1)
     low = lambda x: F.lower(F.trim(x))
-    stop = lambda x: low(x).contains("advice for healthcare professional") | low(x).startswith("report ") | (low(x).contains("yellow card") & (F.length(x) < 70))
+    stop = lambda x: low(x).contains(STOP_PART) | low(x).startswith(STOP_START) | (low(x).contains(STOP_SHORT) & (F.length(x) < 70))
     rows = articles.select(F.col(key), ln.alias("ln"))
-    rows = rows.withColumn("from", F.array_position(F.transform("ln", lambda x: low(x).rlike(heading)), True).cast("int"))
+    rows = rows.withColumn("from", F.array_position(F.transform("ln", lambda x: low(x).rlike(PATIENT_HEADING)), True).cast("int"))
     rows = rows.withColumn("rest", F.when(F.col("from") > 0, F.slice("ln", F.col("from") + 1, F.greatest(F.size("ln") - F.col("from"), F.lit(0)))).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("to", F.array_position(F.transform("rest", stop), True).cast("int"))
     rows = rows.withColumn("rest", F.when(F.col("to") > 0, F.slice("rest", 1, F.col("to") - 1)).otherwise(F.col("rest")))

@@ -15,6 +15,7 @@ ARTICLE = "source_url string, slug string, title string, summary string, body_te
 CHUNK = "chunk_id string, source_url string, text string, parent_id string"
 GOLD = "id string, question string, answer_key string, register string, type string, phrasing string, answerable boolean, supporting_passages array<struct<source_url:string,passage_text:string>>"
 SCHEMAS = {"manifest": MANIFEST, "articles": ARTICLE, "chunks": CHUNK, "gold": GOLD}
+# Selectors of the published pages, and block tags.
 #: Containers of an article's body, the first that a page has wins: (attribute, value) or a tag.
 BODY = (("data-module", "govspeak"), ("class", "govuk-govspeak"), "article")
 LEAD = ("class", "gem-c-lead-paragraph")
