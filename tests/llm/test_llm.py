@@ -367,6 +367,32 @@ def test_loss_difference(spark):
     assert got[i].loss_background == pytest.approx(total / len(ids[i]))
 
 
+def test_loss_counts_every_word_and_bigram(spark, monkeypatch):
+    """More distinct words than 65,536, over many sheets and ranges: rare words keep their own counts."""
+    monkeypatch.setattr(lm, "SHEET", 50_000, raising=False)
+    monkeypatch.setattr(lm, "KEYS", 10_000, raising=False)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(700)), None, None, 0) for i in range(100)]
+    rows += [(200, "rare pair of words", None, None, 0), (200, "rare pair again", None, None, 0), (None, "rare bird", None, None, 0)]
+    labels = spark.createDataFrame([(200, 1, 0)], "doc_id long, quality int, toxic int")
+    got = [r for r in lm.loss_report(frame(spark, rows), labels).collect() if r.n_tokens < 5]
+    texts = [r[1].split() for r in rows]
+    v = len({w for t in texts for w in t}) + 1
+    assert v > 70_000 and len(got) == 3
+    for r in got:
+        mine = next(t for t in texts if len(t) == r.n_tokens)
+        for col, models in (("loss_background", texts), ("loss_target", texts[100:102])):
+            rest = [t for t in models if t is not mine]
+            words, pairs = [w for t in rest for w in t], [p for t in rest for p in zip(t[:-1], t[1:], strict=True)]
+            total = 0.0
+            for k, w in enumerate(mine):
+                p = (words.count(w) + lm.ALPHA) / (len(words) + lm.ALPHA * v)
+                if k:
+                    c = words.count(mine[k - 1])
+                    p = c / (c + lm.KAPPA) * pairs.count((mine[k - 1], w)) / max(c, 1) + lm.KAPPA / (c + lm.KAPPA) * p
+                total -= np.log2(p)
+            assert r[col] == pytest.approx(total / len(mine)), (mine, col)
+
+
 def test_word_kernel():
     rng = random.Random(11)
     texts = ["".join(rng.choice("aB 9\n-é ") for _ in range(rng.randrange(30))) for _ in range(200)] + ["", None]
