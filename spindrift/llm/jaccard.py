@@ -245,7 +245,10 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> Data
 
 
 def jaccard_groups(docs: DataFrame, id_col="doc_id", text_col="text", words_in: int = WORDS, routes: int = ROUTES) -> DataFrame:
-    """(id, text_hash, n_shingles, component) for each row of docs; component is the least id it reaches over links.
+    """(id, text_hash, n_shingles, component, group) for each row of docs; component is the least id it reaches over links.
+
+    group names the connected sets themselves (null without shingles): unlike
+    groups differ in it even where null or repeated ids give them one component.
 
     Null and empty texts, and texts without words, have no shingles, link with
     nothing and are components of their own; equal sets always link; rows that
@@ -283,9 +286,11 @@ def jaccard_groups(docs: DataFrame, id_col="doc_id", text_col="text", words_in:
     whole = nodes.select("node", "low")
     if labels is not None:
         least = labels.join(whole, "node").groupBy("label").agg(F.min("low").alias("least"))
-        whole = whole.join(labels.join(least, "label").select("node", "least"), "node", "left").select("node", F.coalesce("least", "low").alias("low"))
+        whole = whole.join(labels.join(least, "label").select("node", "label", "least"), "node", "left").select("node", F.coalesce("least", "low").alias("low"), F.coalesce("label", "node").alias("group"))
+    else:
+        whole = whole.withColumn("group", F.col("node"))
     out = sketch.select("id", "text_hash", F.col("n").alias("n_shingles"), "node").join(whole, "node", "left")
-    return out.select("id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("id")).alias("component"))
+    return out.select("id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("id")).alias("component"), "group")
 
 
 def jaccard_report(docs: DataFrame) -> DataFrame:
@@ -295,7 +300,7 @@ def jaccard_report(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """docs with one row of each group (the one of the least id); rows without words all stay."""
     g = jaccard_groups(docs, id_col, text_col)
-    best = g.where("n_shingles > 0").groupBy("component").agg(F.min_by("text_hash", F.struct("id", "text_hash")).alias("_key")).select("_key")
+    best = g.where("n_shingles > 0").groupBy("group").agg(F.min_by("text_hash", F.struct("id", "text_hash")).alias("_key")).select("_key")
     rows = g.groupBy(F.col("text_hash").alias("_key")).agg(F.count("*").alias("_rows"), F.max("n_shingles").alias("_n"))
     chosen = rows.join(best.withColumn("_best", F.lit(True)), "_key", "left").where("_best or _n = 0").select("_key", F.expr("_n > 0 and _rows > 1").alias("_many"))
     names = docs.columns

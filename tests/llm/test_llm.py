@@ -98,6 +98,19 @@ def test_jaccard_keeps_one(spark):
     assert ids.count(5) <= 1 and None in ids
 
 
+def test_jaccard_keeps_unlike_texts_without_own_ids(spark):
+    """Null ids and repeated ids join no groups: every unlike text stays, near copies leave one."""
+    rng = random.Random(12)
+    unlike = [prose(rng, 40) for _ in range(10)]
+    near = unlike[0] + " end"
+    ids = [None] * 5 + [7, 7, 8, 8, 9]
+    rows = [(i, t, "en", "s", 0) for i, t in zip(ids, unlike, strict=True)] + [(None, near, "en", "s", 0), (7, unlike[5], "en", "s", 0)]
+    got = sorted((r.doc_id is None, r.text) for r in jaccard.keep_one(clash(frame(spark, rows))).collect())
+    assert len(got) == 10 and {t for _, t in got} | {near} == set(unlike) | {near} and {unlike[0], near} - {t for _, t in got}
+    # the same where nothing links
+    assert sorted(r.text for r in jaccard.keep_one(frame(spark, rows[:10])).collect()) == sorted(unlike)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_tree_loses_no_pair(seed):
     rng = np.random.default_rng(seed)
