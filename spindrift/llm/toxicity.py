@@ -7,13 +7,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard import shingle_sets
-from .kernel import as_long, mix
+from .jaccard import node_of, shingle_sets
+from .kernel import as_long, mix, pieces
 from .langid import held_out, letter_codes
 from .shared import arrow, attach, cut, drop
 
 #: n-gram lengths, the bound on sampled labelled texts of each class, the bound on features, the least z of a kept one, smoothing and L2 penalty.
-SIZES, SAMPLE, FEATURES, LEAST_Z, ALPHA, PENALTY = (4, 5, 6), 2000, 1 << 13, 2.5, 0.5, 2.0
+SIZES, SAMPLE, FEATURES, LEAST_Z, ALPHA, PENALTY = (4, 5, 6), 4000, 1 << 14, 2.5, 0.5, 2.0
+#: The largest number of labels whose ids are broadcast, so that only labelled texts are hashed.
+BROADCAST = 2_000_000
+#: Entries (a text, a feature of it) in a block of the fit.
+ENTRIES = 1 << 20
 KIND = "struct<score:double,predicted:int>"
 _BITS = 22
 
@@ -53,29 +57,49 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(doc: np.ndarray, col: np.ndarray, y: np.ndarray, weight: np.ndarray, ratio: np.ndarray, penalty: float = PENALTY, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression on binary features (entries: text, feature) scaled by their ratios, by accelerated gradient steps; the bias isn't penalised."""
-    n, size, val = len(y), len(ratio), ratio[col].astype(np.float32)
+def fit(at: np.ndarray, col: np.ndarray, y: np.ndarray, weight: np.ndarray, ratio: np.ndarray, penalty: float = PENALTY, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression on binary features scaled by their ratios, by accelerated gradient steps; the bias isn't penalised.
+
+    ``col`` holds the texts' features, text i those of at[i]:at[i + 1]. Texts
+    are met in blocks of about ``ENTRIES``, so that nothing but ``col`` itself
+    is as long as the entries.
+    """
+    size, n = len(ratio), np.diff(at)
+    cut_at = np.unique(np.concatenate([np.searchsorted(at, np.arange(0, at[-1], ENTRIES)), [len(y)]]))
+    blocks = list(zip(cut_at[:-1].tolist(), cut_at[1:].tolist(), strict=True))
+
+    def by_text(u):
+        return np.concatenate([np.zeros(0), *(np.bincount(np.repeat(np.arange(z - a), n[a:z]), u[col[at[a] : at[z]]], z - a) for a, z in blocks)])
+
+    def by_feature(g):
+        out = np.zeros(size)
+        for a, z in blocks:
+            out += np.bincount(col[at[a] : at[z]], np.repeat(g[a:z], n[a:z]), size)
+        return out
+
     w, b = np.zeros(size), float(np.log((weight[y == 1].sum() + 1e-9) / (weight[y == 0].sum() + 1e-9)))
     # the step is one over a bound of the Hessian's largest eigenvalue: its greatest row sum
-    row = np.bincount(doc, np.abs(val), n) + 1
-    most = max(np.bincount(col, np.abs(val) * (weight * row)[doc], size).max(initial=0.0), float((weight * row).sum()))
+    row = by_text(np.abs(ratio)) + 1
+    most = max((np.abs(ratio) * by_feature(weight * row)).max(initial=0.0), float((weight * row).sum()))
     step = 1 / (0.25 * most + penalty)
     vw, vb, was_w, was_b, t = w, b, w, b, 1.0
     for _ in range(rounds):
-        z = np.bincount(doc, val * vw[col], n) + vb
+        z = by_text(vw * ratio) + vb
         g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        w, b = vw - step * (np.bincount(col, val * g[doc], size) + penalty * vw), vb - step * g.sum()
+        w, b = vw - step * (ratio * by_feature(g) + penalty * vw), vb - step * g.sum()
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vw, vb, was_w, was_b, t = w + (t - 1) / s * (w - was_w), b + (t - 1) / s * (b - was_b), w, b, s
     return w, float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col="text", id_col="doc_id", label_id="doc_id", label_col="toxic", sample: int = SAMPLE, features: int = FEATURES) -> Model:
-    """Fit on at most ``sample`` labelled texts of each class, those of least id hash; near copies count once.
+    """Fit on at most ``sample`` labelled texts of each class, those of least id hash; texts of equal shingle sets count once.
+
+    Labels without a text and copies are left out before the sample is taken, so
+    they take up no place in it.
 
     Labels must already be limited to what may be learned from. An id with
-    several labels takes the greatest, an id on several rows the least text.
+    several labels takes the greatest, an id on several rows the text of least hash.
     Classes weigh as in all labels. Without labels of both classes every score
     is the share of toxic labels.
     """
@@ -84,16 +108,21 @@ def train(docs: DataFrame, labels: DataFrame, text_col="text", id_col="doc_id",
     total = sum(size.values())
     if len(size) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0 if not total else (30.0 if 1 in size else -30.0))
-    picked = [lab.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(sample) for y in (0, 1)]
-    few = F.broadcast(picked[0].unionByName(picked[1]))  # two times ``sample`` rows of two numbers at most
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few, "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    ours = texts.join(F.broadcast(lab.select("id")), "id", "left_semi") if total <= BROADCAST else texts
 
-    def least(batches):
+    def named(batches):
         for b in batches:
-            m = [int(as_long(s[:1])[0]) if len(s) else -1 for s in shingle_sets(b.column(2))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m, pa.int64())], names=["id", "y", "text", "m"])
-
-    once = arrow(texts.select("id", "y", "text"), least, "id long, y int, text string, m long").groupBy("m", "y").agg(F.min_by("text", "id").alias("text"))
+            for p in pieces(b, 2):
+                n = [node_of(s) if len(s) else None for s in shingle_sets(p.column(2))]
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(n, pa.int64())], names=["id", "h", "node"])
+
+    names = arrow(ours.select("id", "h", "text"), named, f"id {dict(texts.dtypes)['id']}, h long, node long").groupBy("id").agg(F.min(F.struct("h", "node")).alias("s"))
+    order = F.struct(F.xxhash64(F.lit(11), "id").alias("o"), "id", F.col("s.h").alias("h"))
+    folded = cut(names.join(lab, "id").groupBy("y", F.col("s.node").alias("node")).agg(F.min(order).alias("first")).select("y", "first.*"), "folded")
+    picked = [folded.where(F.col("y") == y).orderBy("o", "id").limit(sample) for y in (0, 1)]
+    few = F.broadcast(picked[0].unionByName(picked[1]).select("id", "h", "y"))  # two times ``sample`` rows of three numbers at most
+    once = texts.join(few, ["id", "h"]).groupBy("id", "y").agg(F.min("text").alias("text"))
     kept = cut(once.select("y", "text"), "labelled")
 
     def grams(batches):
@@ -119,11 +148,11 @@ def train(docs: DataFrame, labels: DataFrame, text_col="text", id_col="doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.astype(np.int32) for g in got], pa.list_(pa.int32()))], names=["y", "at"])
 
     got = arrow(kept, held, "y int, at array<int>").toArrow().combine_chunks()
-    drop(kept)
-    y, size_of = got.column("y").to_numpy().astype(np.float32), np.diff(got.column("at").combine_chunks().offsets.to_numpy())
-    col = got.column("at").combine_chunks().flatten().to_numpy()
-    share = np.where(y == 1, size[1] / total * len(y) / have[1], size[0] / total * len(y) / have[0]).astype(np.float32)
-    w, b = fit(np.repeat(np.arange(len(y), dtype=np.int32), size_of), col, y, share, blank.weight)
+    drop(kept, folded)
+    y, lists = got.column("y").to_numpy().astype(np.float32), got.column("at").combine_chunks()
+    at = lists.offsets.to_numpy().astype(np.int64)
+    share = np.where(y == 1, size[1] / total * len(y) / have[1], size[0] / total * len(y) / have[0])
+    w, b = fit(at - at[0], lists.flatten().to_numpy(), y, share, blank.weight)
     return Model(blank.keys, w * blank.weight, b)
 
 

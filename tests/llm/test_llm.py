@@ -319,6 +319,32 @@ def test_toxicity(spark):
     assert toxicity.toxicity_report(frame(spark, rows), lab.limit(0)).where("score <> 0.5").count() == 0
 
 
+def test_toxicity_sample_holds_unlike_texts(spark, monkeypatch):
+    """Neither copies nor labels without a text use up the sample, and a shared passage doesn't make texts copies."""
+    rng = random.Random(13)
+    part = prose(rng, 30)
+    rows = [(i, f"{prose(rng, 8)} {part} word{i}", "en", None, 0) for i in range(40)]
+    rows += [(100 + i, "the very same clean text", "en", None, 0) for i in range(300)]
+    rows += [(1000 + i, f"{prose(rng, 8)} {part} scoundrel", "en", None, 0) for i in range(40)]
+    labels = [(r[0], 1, int(r[0] >= 1000)) for r in rows] + [(5000 + i, 1, 1) for i in range(300)]
+    seen = {}
+
+    def fit(at, col, y, weight, ratio):
+        seen.update(texts=len(y), toxic=int(y.sum()))
+        return np.zeros(len(ratio)), 0.0
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    toxicity.train(frame(spark, rows), lab, sample=40)
+    assert seen == {"texts": 80, "toxic": 40}
+    toxicity.train(frame(spark, rows), lab)
+    assert seen == {"texts": 81, "toxic": 40}
+    monkeypatch.setattr(toxicity, "BROADCAST", 10)
+    toxicity.train(frame(spark, rows), lab)
+    assert seen == {"texts": 81, "toxic": 40}
+    assert (toxicity.SAMPLE, toxicity.FEATURES) == (4000, 1 << 14)
+
+
 def test_personal_data(spark):
     rx = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     rng = random.Random(9)
