@@ -456,9 +456,11 @@ ng as (select item_id, arg_min(doc_id, rank) as doc_id, min(rank) as rank from n
 
 
 def _pairs(spark, sf_dir):
-    hits = _bm25(spark, sf_dir, 50)
-    pos = hits.where("rank = 1").select("query", "item")
-    return pos, training.hard_negatives(hits, pos, _matches(spark, sf_dir).select(F.col("doc_id").alias("item")))
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    lexical = retrieval.Lexical(docs, "doc_id", "text")
+    pos = lexical.top(asked, "item_id", "text", 1).select("query", "item")
+    banned = _matches(spark, sf_dir).select(F.col("doc_id").alias("item"))
+    return pos, training.mined(lambda q, k: lexical.top(q, "item_id", "text", k), asked, pos, banned, docs.count(), "item_id")
 
 
 @query(NEG + " select item_id as query, doc_id as item, rank::int as rank from ng")

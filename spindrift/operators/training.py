@@ -35,6 +35,22 @@ def hard_negatives(hits: DataFrame, positives: DataFrame, banned: DataFrame) ->
     return rest.groupBy("query").agg(F.min_by("item", "rank").alias("item"), F.min("rank").alias("rank"))
 
 
+def mined(top, queries: DataFrame, positives: DataFrame, banned: DataFrame, items: int, query_id: str, first: int = 50) -> DataFrame:
+    """``hard_negatives`` over the ranking of all items: ``top(queries, k)`` gives the k best hits.
+
+    Queries whose k best are all banned are ranked again with eight times as
+    many, until each has a negative or all ``items`` are ranked.
+    """
+    found, k = None, first
+    while True:
+        got = hard_negatives(top(queries, k), positives, banned).persist()
+        found = got if found is None else found.unionByName(got)
+        queries = queries.join(got.select(F.col("query").alias(query_id)), query_id, "left_anti").persist()
+        if k >= items or not queries.limit(1).count():
+            return found
+        k = min(items, 8 * k)
+
+
 def pairs(positives: DataFrame, negatives: DataFrame) -> DataFrame:
     return positives.select("query", "item", F.lit(1).alias("label")).unionByName(negatives.select("query", "item", F.lit(0).alias("label")))
 

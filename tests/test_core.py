@@ -220,3 +220,15 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         ingest.append_chunks(src, str(tmp_path / "out"), str(tmp_path / "cp"), size=2, overlap=0).awaitTermination()
     assert sorted(r.chunk_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1::0", "1::1", "2::0"]
+
+
+def test_hard_negatives_beyond_many_banned_copies(spark, tmp_path):
+    """A question whose 50 best hits are all banned still gets its negative, with its rank among all."""
+    from spindrift import catalogue
+
+    passage = "the red fox jumped over nine lazy dogs near the river"
+    docs = [(i, passage, "en", "s", len(passage)) for i in range(70)] + [(100, "a red fox slept", "en", "s", 15), (101, "nothing alike", "en", "s", 13)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [tuple(r)[1:] for r in catalogue.hard_negatives(spark, str(tmp_path)).select("query", "item", "rank").collect()]
+    assert len(got) == 1 and got[0][0] in (100, 101) and got[0][1] > 50
