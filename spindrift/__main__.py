@@ -1,27 +1,110 @@
-"""python -m spindrift COMMAND: chunk, index, ask, query, queries."""
+"""python -m spindrift [--config FILE] COMMAND: build, ingest, clean, chunk, index, diff-check, ask, smoke-test, eval, serve, query, queries.
+
+A work folder holds manifest, raw, articles, chunks, parents and index.
+"""
 
 from __future__ import annotations
 
 import argparse
+import datetime
+import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import catalogue
 from .plans import config, pipeline
+from .sources import corpus
+
+SMOKE = ("What rare risk has been linked to this medicine?", "What new safety measures apply to people under 55?", "What is the recommended dose for a headache?")
+
+
+def _get(url: str) -> str:
+    from urllib.request import urlopen
+
+    with urlopen(url, timeout=30) as f:
+        return f.read().decode("utf-8", "replace")
+
+
+def ingest(spark, cfg, work: str, results=None, get=_get, pause: float = 1.0) -> None:
+    """Search results (from the API unless given) to the manifest, and the pages that aren't there yet."""
+    c = cfg.corpus
+    if results is None:
+        results = corpus.search(spark, c.search_api, "drug_safety_update", c.published_after, c.published_before, c.max_articles)
+    m = corpus.select_links(results, "link", "public_timestamp", c.link_prefix, c.published_after, c.published_before, c.max_articles, c.base_url)
+    m = m.join(results.select(F.concat(F.lit(c.base_url), "link").alias("url"), "title"), "url")
+    corpus.write_lines(m.select("url", "slug", "title", "published_date"), f"{work}/manifest")
+    manifest = corpus.read_lines(spark, f"{work}/manifest", "manifest")
+    from pyspark.errors import AnalysisException
+
+    try:
+        cached = spark.read.parquet(f"{work}/raw").select("name")
+    except AnalysisException:
+        cached = spark.createDataFrame([], "name string")
+    corpus.fetch_all(manifest, cached, get, pause=pause).write.mode("append").parquet(f"{work}/raw")
+
+
+def clean(spark, work: str, strict: bool = True, body=corpus.BODY) -> None:
+    manifest, raw = corpus.read_lines(spark, f"{work}/manifest", "manifest"), spark.read.parquet(f"{work}/raw").select("slug", "html").dropDuplicates(["slug"])
+    corpus.require_pages(manifest, raw)
+    corpus.clean(manifest, raw, strict, body)[0].write.mode("overwrite").parquet(f"{work}/articles")
+
+
+def chunk(spark, cfg, work: str) -> None:
+    rows, parents = pipeline.chunks(cfg, spark.read.parquet(f"{work}/articles"))
+    rows.write.mode("overwrite").parquet(f"{work}/chunks")
+    if parents is not None:
+        parents.write.mode("overwrite").parquet(f"{work}/parents")
+
+
+def index(spark, cfg, work: str) -> int:
+    parents = spark.read.parquet(f"{work}/parents") if cfg.chunk.strategy == "small_to_big" else None
+    return pipeline.index(spark.read.parquet(f"{work}/chunks"), parents).write(f"{work}/index")
+
+
+def build(spark, cfg, work: str, **kw) -> int:
+    ingest(spark, cfg, work, **kw)
+    clean(spark, work)
+    chunk(spark, cfg, work)
+    return index(spark, cfg, work)
+
+
+def ask(spark, cfg, work: str, questions) -> list:
+    q = spark.createDataFrame([(str(i), x) for i, x in enumerate(questions)], "query string, question string")
+    return pipeline.answer(cfg, pipeline.Index.read(spark, f"{work}/index"), q).orderBy("query").collect()
+
+
+def evaluate(spark, cfg, work: str, gold_path: str, limit: int | None, retrieval_only: bool, stamp: str) -> str:
+    """Metrics of a gold set, written as the run's row; its path."""
+    from .operators import evaluation
+
+    gold, idx = corpus.load_gold(spark, gold_path), pipeline.Index.read(spark, f"{work}/index")
+    metrics, ranks = pipeline.evaluate(cfg, idx, gold, limit=limit)
+    tag = "retrieval" if retrieval_only else "full"
+    if not retrieval_only:
+        rows = pipeline.judged(cfg, idx, gold if limit is None else evaluation.limited(gold, limit))
+        metrics = metrics.crossJoin(evaluation.answer_counts(rows))
+        ranks = rows.drop("sources").withColumnRenamed("id", "query").join(ranks, "query", "left")
+    return pipeline.write_result(pipeline.result_row(metrics, ranks, cfg, stamp, corpus.gold_stamp("v1", None), tag), f"{work}/results")
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="spindrift", description=__doc__)
+    p.add_argument("--config")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, words in (("chunk", "articles (JSON lines) to chunks"), ("index", "articles to an index")):
-        c = sub.add_parser(name, help=words)
-        c.add_argument("articles")
-        c.add_argument("out")
-        c.add_argument("--config")
+    for name, words in (("build", "search results to an index"), ("ingest", "search results to pages"), ("clean", "pages to articles"), ("chunk", "articles to chunks"), ("index", "chunks to an index"), ("diff-check", "whether the oldest and newest page agree in structure"), ("smoke-test", "answers to a few questions")):
+        sub.add_parser(name, help=words).add_argument("work")
     c = sub.add_parser("ask", help="answer a question from an index")
-    c.add_argument("index")
+    c.add_argument("work")
     c.add_argument("question")
-    c.add_argument("--config")
+    c = sub.add_parser("eval", help="metrics of a gold set")
+    c.add_argument("work")
+    c.add_argument("gold")
+    c.add_argument("--limit", type=int)
+    c.add_argument("--retrieval-only", action="store_true")
+    c = sub.add_parser("serve", help="answer over HTTP")
+    c.add_argument("work")
+    c.add_argument("--port", type=int, default=8000)
     c = sub.add_parser("query", help="run a named query over a folder of tables")
     c.add_argument("name")
     c.add_argument("tables")
@@ -30,25 +113,35 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "queries":
         print("\n".join(catalogue.QUERIES))
         return 0
+    if a.command == "ask" and not 3 <= len(a.question) <= 500:
+        p.error("a question has 3 to 500 characters")
     spark = SparkSession.builder.appName("spindrift").getOrCreate()
     if a.command == "query":
         catalogue.QUERIES[a.name](spark, a.tables).show(50, truncate=False)
         return 0
     cfg = config.load(a.config) if a.config else config.Config()
-    if a.command == "ask":
-        if not 3 <= len(a.question) <= 500:
-            p.error("a question has 3 to 500 characters")
-        q = spark.createDataFrame([("q", a.question)], "query string, question string")
-        row = pipeline.answer(cfg, pipeline.Index.read(spark, a.index), q).first()
-        print(row.answer, *row.sources, sep="\n")
-        return 0
-    rows, parents = pipeline.chunks(cfg, spark.read.json(a.articles))
-    if a.command == "chunk":
-        rows.write.mode("overwrite").json(a.out)
+    if a.command in ("ask", "smoke-test"):
+        for r in ask(spark, cfg, a.work, [a.question] if a.command == "ask" else SMOKE):
+            print(r.question, r.answer, *r.sources, sep="\n")
+    elif a.command == "diff-check":
+        pages = spark.read.parquet(f"{a.work}/raw").join(corpus.read_lines(spark, f"{a.work}/manifest", "manifest"), "slug")
+        corpus.same_structure(pages, "published_date", "html").show(truncate=False)
+    elif a.command == "eval":
+        print(evaluate(spark, cfg, a.work, a.gold, a.limit, a.retrieval_only, datetime.datetime.now().isoformat(timespec="seconds")))
+    elif a.command == "serve":
+        from . import serve
+
+        idx = pipeline.Index.read(spark, f"{a.work}/index")
+
+        def one(question):
+            r = pipeline.answer(cfg, idx, spark.createDataFrame([("q", question)], "query string, question string")).first()
+            return {"answer": r.answer, "sources": r.sources}
+
+        serve.server(serve.State(one), a.port).serve_forever()
     else:
-        pipeline.index(rows, parents).write(a.out)
+        {"build": lambda: build(spark, cfg, a.work), "ingest": lambda: ingest(spark, cfg, a.work), "clean": lambda: clean(spark, a.work), "chunk": lambda: chunk(spark, cfg, a.work), "index": lambda: index(spark, cfg, a.work)}[a.command]()
     return 0
 
 
 if __name__ == "__main__":
-    raise SystemExit(main())
+    sys.exit(main())

@@ -123,28 +123,37 @@ def chunk_stats(spark, sf_dir):
 
 # --- retrieval
 
-IDF = f"""
-with d as (select doc_id, {TOK.format("text")} as w from documents),
+
+
+def bm25_sql(source: str = "documents", item: str = "doc_id", asked: str = "benchmark", query: str = "item_id") -> str:
+    """d, tot, df, lo, idf, q, tf, sc, al, bm: every item ranked for every query; ``bm`` has (query, doc_id, score, rank) under the query's own name."""
+    return f"""d as (select {item} as doc_id, {TOK.format("text")} as w from {source}),
 tot as (select count(*) as n, avg(len(w)) as avgdl from d),
 df as (select term, count(*) as df from (select doc_id, unnest(list_distinct(w)) as term from d) group by term),
-raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, tot),
-idf as (select term, df, case when raw < 0 then (select avg(raw) * 0.25 from raw) else raw end as idf from raw)"""
-BM25 = IDF + f""",
-q as (select item_id, term, count(*) as times from (select item_id, unnest({TOK.format("text")}) as term from benchmark) group by all),
+rawidf as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as r from df, tot),
+lo as (select avg(r) * 0.25 as low from rawidf),
+idf as (select term, df, case when r < 0 then low else r end as idf from rawidf, lo),
+q as (select {query}, term, count(*) as times from (select {query}, unnest({TOK.format("text")}) as term from {asked}) group by all),
 tf as (select doc_id, len(w) as dl, term, count(*) as tf from (select doc_id, w, unnest(w) as term from d) where term in (select term from q) group by all),
-sc as (select item_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) as score from tf join q using (term) join idf using (term), tot group by all),
-al as (select item_id, doc_id, max(score) as score from (select * from sc union all select distinct item_id, x.doc_id, 0 from benchmark, (select doc_id from documents order by doc_id limit 100) x) group by all),
-bm as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from al)"""
+sc as (select {query}, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) as score from tf join q using (term) join idf using (term), tot group by all),
+al as (select x.{query}, d.doc_id, coalesce(score, 0) as score from (select distinct {query} from {asked}) x cross join d left join sc on sc.{query} = x.{query} and sc.doc_id = d.doc_id),
+bm as (select {query}, doc_id, score, row_number() over (partition by {query} order by score desc, doc_id) as rank from al)"""
+
+
+BM25 = "with " + bm25_sql()
 BEST = 5
 
 
-@query(IDF + " select term, df, round(idf, 7) as idf from idf")
+@query(BM25 + " select term, df, round(idf, 7) as idf from idf")
 def bm25_idf(spark, sf_dir):
     return retrieval.Lexical(table(spark, sf_dir, "documents"), "doc_id", "text").idf.withColumn("idf", F.round("idf", 7))
 
 
 def _bm25(spark, sf_dir, k):
-    return retrieval.Lexical(table(spark, sf_dir, "documents"), "doc_id", "text").top(table(spark, sf_dir, "benchmark"), "item_id", "text", k)
+    lexical = retrieval.Lexical(table(spark, sf_dir, "documents"), "doc_id", "text")
+    hits = lexical.top(table(spark, sf_dir, "benchmark"), "item_id", "text", k)
+    lexical.reset()
+    return hits
 
 
 @query(BM25 + f" select item_id, doc_id, round(score, 6) as score, rank::int as rank from bm where rank <= {BEST}")
@@ -182,22 +191,6 @@ def dense_parent_collapse(spark, sf_dir):
     return retrieval.collapse(hits, parents, 5).withColumn("score", F.round("score", 7))
 
 
-@query(DENSE + """,
-lx as (select query, item, row_number() over (partition by query order by round(-abs(query - item)::double, 9) desc, item) as rank from s where query <> item and abs(query - item) <= 50),
-f as (select coalesce(a.query, b.query) as query, coalesce(a.item, b.item) as item, a.rank as ar, b.rank as br from (select * from de where rank <= 50) a full join (select * from lx where rank <= 50) b on a.query = b.query and a.item = b.item),
-g as (select query, item, coalesce(1.0::double / (60 + ar), 0) + coalesce(1.0::double / (60 + br), 0) as score, ar, br from f),
-h as (select *, row_number() over (partition by query order by score desc, ar asc nulls last, br asc nulls last, item) as rank from g)
-select query, item, round(score, 9) as score, rank::int as rank from h where rank <= 10""")
-def rrf_fusion(spark, sf_dir):
-    """Fuses the vector ranking with a ranking by nearness of id, which has the ids up to 50 away."""
-    d = _dense(spark, sf_dir, 50)
-    e = table(spark, sf_dir, "embeddings")
-    near = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.explode(F.sequence(F.col("vec_id") - 50, F.col("vec_id") + 50)).alias("item"))
-    near = near.join(e.select(F.col("vec_id").alias("item")), "item").where("query <> item")
-    lx = retrieval.ranked(near.withColumn("score", -F.abs(F.col("query") - F.col("item")).cast("double")), "query", "item", "score", 50)
-    return retrieval.fuse(d, lx, 10).select("query", "item", F.round("score", 9).alias("score"), "rank")
-
-
 JAC = f"""
 h as (select bm.item_id, bm.doc_id, bm.rank as base_rank, list_distinct({TOK.format("b.text")}) as a, list_distinct({TOK.format("x.text")}) as c from bm join benchmark b using (item_id) join documents x using (doc_id) where bm.rank <= 50),
 j as (select item_id, doc_id, base_rank, round(case when len(a) + len(c) = 0 then 0 else len(list_intersect(a, c))::double / len(list_distinct(list_concat(a, c))) end, 9) as s from h),
@@ -227,11 +220,6 @@ def _hits(spark, sf_dir, k):
     return _bm25(spark, sf_dir, k).join(d, "item")
 
 
-@query(BM25 + f" select item_id as query, rank::int as rank, left(replace(text, chr(10), ' '), 140) as snippet, left(split_part({URL}, '/', -1), 55) as source from bm join documents using (doc_id) where rank <= 3")
-def hybrid_audit(spark, sf_dir):
-    return answers.audit(_hits(spark, sf_dir, 3))
-
-
 @query(f"select doc_id, {NORM.format('text')} as norm from documents")
 def normalize_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.normalize("text").alias("norm"))
@@ -252,7 +240,7 @@ def passage_containment(spark, sf_dir):
     return _matches(spark, sf_dir)
 
 
-RANKS = BM25.replace("with d as", MATCH.replace("with b as", "with b0 as", 1).replace("from b where", "from b0 where") .replace(", d as", ", d0 as", 1).replace("from d)", "from d0)") + ",\nd as", 1) + """,
+RANKS = MATCH.replace("with b as", "with b0 as", 1).replace("from b where", "from b0 where").replace(", d as", ", d0 as", 1).replace("from d)", "from d0)") + ",\n" + bm25_sql() + """,
 fr as (select item_id, min(rank) as r from (select * from bm where rank <= 10) join hit using (item_id, doc_id) group by item_id),
 rr as (select item_id, r from benchmark left join fr using (item_id))"""
 
@@ -312,9 +300,8 @@ def latency_summary(spark, sf_dir):
 @query(LAT + " select a.event_type as retrieval, b.event_type as generation, round(a.median_s + b.median_s, 2) as end_to_end_s from l a join l b on a.event_type < b.event_type")
 def end_to_end_latency(spark, sf_dir):
     """Sums of medians for each pair of event types, standing for retrieval and generation."""
-    s = evaluation.latency(table(spark, sf_dir, "events"), "event_type", "value").select("event_type", "median_s")
-    a, b = s.toDF("retrieval", "x"), s.toDF("generation", "y")
-    return a.join(b, F.col("retrieval") < F.col("generation")).select("retrieval", "generation", F.round(F.col("x") + F.col("y"), 2).alias("end_to_end_s"))
+    s = evaluation.latency(table(spark, sf_dir, "events"), "event_type", "value")
+    return evaluation.end_to_end(s, s, "event_type").where("retrieval < generation")
 
 
 @query("""
@@ -451,7 +438,7 @@ def leakage_exclusion(spark, sf_dir):
 
 
 NEG = RANKS + """,
-pos as (select item_id, doc_id from bm where rank = 1), ne as (select item_id, doc_id, rank from bm where rank <= 50 and (item_id, doc_id) not in (select item_id, doc_id from pos) and doc_id not in (select doc_id from hit)),
+pos as (select item_id, doc_id from bm where rank = 1), ne as (select item_id, doc_id, rank from bm where (item_id, doc_id) not in (select item_id, doc_id from pos) and doc_id not in (select doc_id from hit)),
 ng as (select item_id, arg_min(doc_id, rank) as doc_id, min(rank) as rank from ne group by item_id)"""
 
 
@@ -573,3 +560,6 @@ def json_verdict(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
     own = F.coalesce(F.from_json(answers.json_part("raw"), "k bigint")["k"], F.lit(-1))
     return e.select("event_id", answers.faithful("raw").alias("faithful"), answers.correctness("raw").alias("label"), answers.passed("raw").alias("passed"), own.cast("long").alias("k"))
+
+
+from . import catalogue_pipeline  # noqa: E402,F401  (adds its queries)

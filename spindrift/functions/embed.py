@@ -13,15 +13,39 @@ DIMS = 256
 
 
 def hashed(text, dims: int = DIMS):
-    """A unit vector of ``dims`` doubles; texts without tokens get zeros. Tokens are hashed in the JVM, Arrow carries the hashes."""
+    """A unit vector of ``dims`` doubles; texts without tokens get zeros. Tokens are hashed in the JVM (48 bits of md5, so that any engine can repeat them), Arrow carries the hashes."""
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def f(hashes: pd.Series) -> pd.Series:
         def one(h):
             h = np.asarray(h, np.int64)
-            v = np.bincount(h % dims, np.where((h >> 32) & 1, -1.0, 1.0), dims)
+            v = np.bincount(h % dims, np.where((h // dims) % 2 == 1, -1.0, 1.0), dims)
             return v / (np.sqrt((v * v).sum()) or 1.0)
 
         return hashes.map(one)
 
-    return f(F.transform(lexical_tokens(text), lambda t: F.xxhash64(t)))
+    return f(F.transform(lexical_tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 12), 16, 10).cast("long")))
+
+
+_models: dict = {}
+
+
+def model(name: str, load):
+    """The model of this name in this Python worker: ``load(name)`` runs once a worker and name, not once a batch."""
+    if name not in _models:
+        _models[name] = load(name)
+    return _models[name]
+
+
+def encoded(name: str, load):
+    """An embedder (a function from a text column to unit vectors) by a model: ``load(name)`` gives a function from a list of texts to vectors."""
+
+    def embedder(text):
+        @F.pandas_udf(ArrayType(DoubleType()))
+        def f(texts: pd.Series) -> pd.Series:
+            v = np.asarray(model(name, load)([t or "" for t in texts]), np.float64).reshape(len(texts), -1)
+            return pd.Series(list(v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)), dtype=object)
+
+        return f(F.col(text) if isinstance(text, str) else text)
+
+    return embedder

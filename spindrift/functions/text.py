@@ -45,6 +45,48 @@ def space_tokens(c) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(_col(c)), F.lit(r"\S+"), F.lit(0)), F.array().cast("array<string>"))
 
 
+class Subwords:
+    """A tokenizer file of the tokenizers library as chunk tokens: ``tokens`` gives a text's pieces (no special ones), ``joined`` the decoded text of pieces.
+
+    Word pieces and pieces with word ends decode to lower-cased, newly spaced
+    text. The file must stand where the executors can read it.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _load(self):
+        from .embed import model
+
+        def load(path):
+            from tokenizers import Tokenizer
+
+            return Tokenizer.from_file(path)
+
+        return model(self.path, load)
+
+    def tokens(self, c) -> Column:
+        from pyspark.sql.types import ArrayType
+
+        load = self._load
+
+        @F.pandas_udf(ArrayType(StringType()))
+        def f(s: pd.Series) -> pd.Series:
+            return pd.Series([x.tokens for x in load().encode_batch([t or "" for t in s], add_special_tokens=False)], dtype=object)
+
+        return f(_col(c))
+
+    def joined(self, c) -> Column:
+        load = self._load
+
+        @F.pandas_udf(StringType())
+        def f(s: pd.Series) -> pd.Series:
+            tok = load()
+            return s.map(lambda x: tok.decode([tok.token_to_id(t) for t in x], skip_special_tokens=True).strip())
+
+        return f(_col(c))
+
+
 def sentences(c) -> Column:
     """Stripped non-empty sentences; null has none."""
     parts = F.transform(F.split(F.coalesce(_col(c), F.lit("")), SENTENCE), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))

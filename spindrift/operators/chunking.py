@@ -20,10 +20,17 @@ def _windows(tokens: Column, size: int, stride: int) -> Column:
     return F.transform(at, lambda i: F.slice(tokens, i * stride + 1, size))
 
 
-def fixed(docs: DataFrame, id_col: str, text_col: str, size: int = 512, overlap: int = 50, tokens=T.space_tokens) -> DataFrame:
-    """(id, chunk_no, chunk_id, text) of overlapping windows; empty windows are dropped, their numbers stay used."""
+def _spaced(tokens: Column) -> Column:
+    return F.array_join(tokens, " ")
+
+
+def fixed(docs: DataFrame, id_col: str, text_col: str, size: int = 512, overlap: int = 50, tokens=T.space_tokens, joined=_spaced) -> DataFrame:
+    """(id, chunk_no, chunk_id, text) of overlapping windows; empty windows are dropped, their numbers stay used.
+
+    ``tokens`` and ``joined`` go from text to tokens and back, such as ``text.Subwords``.
+    """
     out = docs.select(F.col(id_col).alias("id"), F.posexplode(windows(tokens(text_col), size, overlap)).alias("chunk_no", "w"))
-    out = out.select("id", "chunk_no", F.concat_ws("::", F.col("id").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"), F.array_join("w", " ").alias("text"))
+    out = out.select("id", "chunk_no", F.concat_ws("::", F.col("id").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"), F.trim(joined(F.col("w"))).alias("text"))
     return out.where(F.trim("text") != "")
 
 
@@ -100,6 +107,15 @@ def merge_small(sections: Column, floor: int, tokens=T.space_tokens) -> Column:
     return F.aggregate(sections, start, step, lambda a: F.when(a["carry"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["carry"]))))
 
 
+def section_stats(sectioned: DataFrame, id_col: str, group: str, sections_col: str, size: int = 512, overlap: int = 50, floor: int = 0, tokens=T.space_tokens) -> tuple[DataFrame, DataFrame]:
+    """(by group, by article): articles, sections (after merging), chunks, and sections too long for one chunk."""
+    s = F.col(sections_col) if floor <= 0 else merge_small(F.col(sections_col), floor, tokens)
+    n = F.transform(s, lambda x: F.struct((F.size(tokens(x)) > size).alias("capped"), F.when(F.size(tokens(x)) > size, F.size(windows(tokens(x), size, overlap))).otherwise((F.trim(x) != "").cast("int")).alias("n")))
+    each = sectioned.select(F.col(id_col), F.col(group), n.alias("_n")).select(id_col, group, F.size("_n").alias("n_sections"), F.aggregate("_n", F.lit(0), lambda a, x: a + x["n"]).alias("n_chunks"), F.size(F.filter("_n", lambda x: x["capped"])).alias("n_capped"))
+    by = each.groupBy(group).agg(F.count("*").alias("n_articles"), *[F.sum(c).alias(c) for c in ("n_sections", "n_chunks", "n_capped")])
+    return by, each
+
+
 def header_aware(sectioned: DataFrame, id_col: str, sections_col: str, size: int = 512, overlap: int = 50, floor: int = 0) -> DataFrame:
     """Articles with an array of sections to chunks: small sections merged, long ones windowed, numbered in order."""
     s = F.col(sections_col) if floor <= 0 else merge_small(F.col(sections_col), floor)

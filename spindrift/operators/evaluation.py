@@ -21,8 +21,10 @@ def containment(passages: DataFrame, texts: DataFrame, passage_id: str, passage:
     No pair is compared without evidence: a pair that matches shares one of the
     passage's n - ceil(share n) + 1 rarest tokens or, as a part, its rarest
     inner token, so texts meet passages on those tokens and only such pairs are
-    checked in full. Passages of one or two tokens have no inner token and are
-    searched for as parts directly. Empty passages match nothing.
+    checked in full. Passages of one or two tokens have no inner token: one
+    token must be part of a token of the text, the first of two must end one, so
+    they meet the vocabulary's parts and ends by equality. Empty passages match
+    nothing.
     """
     p = passages.select(F.col(passage_id).alias("pid"), T.normalize(passage, entities).alias("np")).where("np <> ''").withColumn("pt", F.split("np", " "))
     t = texts.select(F.col(text_id).alias("tid"), T.normalize(text, entities).alias("nt")).where("nt is not null")
@@ -35,11 +37,51 @@ def containment(passages: DataFrame, texts: DataFrame, passage_id: str, passage:
     known = known.withColumn("inner", inner).withColumn("r", F.row_number().over(w)).withColumn("ri", F.row_number().over(v))
     keys = known.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1) | (F.col("inner") & (F.col("ri") == 1))).select("pid", "token").distinct()
     pairs = keys.join(seen, "token").select("pid", "tid").distinct()
+    if short := [r.n for r in p.where(F.size("pt") < 3).select(F.length(F.element_at("pt", 1)).alias("n")).distinct().collect()]:  # lengths of words
+        pairs = pairs.unionByName(_short(p, t, sorted(short))).distinct()
     whole = F.contains("nt", "np")
     part = T.let(F.split("nt", " "), lambda w: F.size(F.filter(F.col("pt"), lambda x: F.array_contains(w, x)))) >= share * F.size("pt") - 1e-9
     checked = pairs.join(p, "pid").join(t, "tid").where(whole | part).select("pid", "tid")
-    short = p.where(F.size("pt") < 3).join(t, whole).select("pid", "tid")
-    return checked.unionByName(short).distinct().select(F.col("pid").alias(passage_id), F.col("tid").alias(text_id))
+    return checked.distinct().select(F.col("pid").alias(passage_id), F.col("tid").alias(text_id))
+
+
+def _short(p: DataFrame, t: DataFrame, lengths: list[int]) -> DataFrame:
+    """(pid, tid) where a text may hold a passage of one or two tokens; ``lengths`` are those of their first tokens."""
+    held = t.select("tid", F.explode(F.array_distinct(F.split("nt", " "))).alias("token"))
+    n, size = F.length("token"), F.array(*[F.lit(x) for x in lengths])
+    words = held.select("token").distinct()
+    fits = F.filter(size, lambda k: k <= n)
+    inside = words.select("token", F.explode(F.array_distinct(F.flatten(F.transform(fits, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring("token", i, k)))))).alias("first"))
+    ends = words.select("token", F.explode(F.transform(fits, lambda k: F.right("token", k))).alias("first"))
+    first = p.select("pid", F.size("pt").alias("k"), F.element_at("pt", 1).alias("first"))
+    met = inside.join(first.where("k = 1"), "first").unionByName(ends.join(first.where("k = 2"), "first")).select("pid", "token")
+    return met.join(held, "token").select("pid", "tid").distinct()
+
+
+def any_of(matches: DataFrame, passages: DataFrame, key: str, passage_id: str, text_id: str) -> DataFrame:
+    """Distinct (key, text_id) where a text holds any of the key's passages: matches (passage_id, text_id), passages (key, passage_id)."""
+    return matches.join(passages.select(key, passage_id), passage_id).select(key, text_id).distinct()
+
+
+def limited(gold: DataFrame, n: int, order: str = "id") -> DataFrame:
+    """The first n answerable items and the first max(1, n // 4) unanswerable ones."""
+    ask, rest = gold.where("answerable").orderBy(order).limit(n), gold.where("not answerable").orderBy(order).limit(max(1, n // 4))
+    return ask.unionByName(rest)
+
+
+def end_to_end(retrieval: DataFrame, generation: DataFrame, name: str) -> DataFrame:
+    """Sums of the medians of each named retrieval and generation summary."""
+    a, b = retrieval.select(F.col(name).alias("retrieval"), F.col("median_s").alias("_x")), generation.select(F.col(name).alias("generation"), F.col("median_s").alias("_y"))
+    return a.crossJoin(F.broadcast(b)).select("retrieval", "generation", F.round(F.col("_x") + F.col("_y"), 2).alias("end_to_end_s"))
+
+
+def chunk_averages(articles: DataFrame, chunks: DataFrame, article: str, parent: str | None = None) -> DataFrame:
+    """One row: chunks, articles and chunks an article to one decimal, and children a parent where ``parent`` is given; 0 where there are none."""
+    n = articles.agg(F.count("*").alias("n_articles"))
+    c = chunks.agg(F.count("*").alias("n_chunks"), F.count_distinct(parent or article).alias("_p"))
+    per = lambda d: F.when(F.col(d) > 0, F.round(F.col("n_chunks") / F.col(d), 1)).otherwise(F.lit(0.0))
+    more = [F.col("_p").alias("n_parents"), per("_p").alias("children_per_parent")] if parent else []
+    return c.crossJoin(F.broadcast(n)).select("n_chunks", "n_articles", per("n_articles").alias("chunks_per_article"), *more)
 
 
 def first_relevant(hits: DataFrame, matches: DataFrame, queries: DataFrame) -> DataFrame:

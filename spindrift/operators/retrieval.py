@@ -14,8 +14,38 @@ from ..functions import text as T
 DP = 9
 #: Query vectors multiplied at once.
 BLOCK = 4096
-#: Queries whose term weights are broadcast at once.
-TERMS_BLOCK = 256
+#: Queries, and term weights of queries, that are broadcast at once.
+QUERIES, WEIGHTS = 1 << 15, 1 << 20
+#: Scores that a task holds at once.
+CELLS = 1 << 21
+
+
+class Best:
+    """The k best (score, item) of each of n queries so far; of equal scores the lower item."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.score, self.item = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, s: np.ndarray, items: np.ndarray) -> None:
+        """Scores of all queries (rows) for some items (columns)."""
+        if not self.k:
+            return
+        last, low = self.score[:, -1:], self.item[:, -1:]
+        q, d = np.nonzero((s > last) | ((s == last) & (items < low)))
+        if not len(q):
+            return
+        rows = np.unique(q)
+        q = np.concatenate([np.repeat(rows, self.k), q])
+        score = np.concatenate([self.score[rows].ravel(), s[q[len(rows) * self.k :], d]])
+        item = np.concatenate([self.item[rows].ravel(), items[d]])
+        o = np.lexsort((item, -score, q))
+        n = np.bincount(q, minlength=len(s))[rows]
+        o = o[np.arange(len(o)) - np.repeat(np.cumsum(n) - n, n) < self.k]
+        self.score[rows], self.item[rows] = score[o].reshape(-1, self.k), item[o].reshape(-1, self.k)
+
+    def batch(self, ids: np.ndarray) -> pa.RecordBatch:
+        ok = np.isfinite(self.score)
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], ok.shape)[ok]), pa.array(self.item[ok]), pa.array(self.score[ok])], names=["query", "item", "score"])
 
 
 def ranked(scored: DataFrame, query: str, item: str, score: str, k: int, ties=()) -> DataFrame:
@@ -44,20 +74,13 @@ def dense(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id:
 
         def run(batches):
             ids, m = sent.value
-            best_s, best_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                s = np.round(m @ x.T, DP)
-                for a in range(0, len(ids), 512):
-                    z = min(len(ids), a + 512)
-                    alls = np.concatenate([best_s[a:z], s[a:z]], 1)
-                    alli = np.concatenate([best_i[a:z], np.broadcast_to(b.column(0).to_numpy(), (z - a, b.num_rows))], 1)
-                    o = np.lexsort((alli, -alls), axis=1)[:, :k]
-                    best_s[a:z], best_i[a:z] = np.take_along_axis(alls, o, 1), np.take_along_axis(alli, o, 1)
-            ok = np.isfinite(best_s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], ok.shape)[ok]), pa.array(best_i[ok]), pa.array(best_s[ok])], names=["query", "item", "score"])
+            best, step = Best(len(ids), k), max(1, CELLS // len(ids))
+            for batch in batches:
+                for lo in range(0, batch.num_rows, step):
+                    b = batch.slice(lo, step)
+                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                    best.add(np.round(m @ x.T, DP), b.column(0).to_numpy())
+            yield best.batch(ids)
 
         return rows.mapInArrow(run, "query long, item long, score double")
 
@@ -85,88 +108,102 @@ def collapse(children: DataFrame, parents: DataFrame, k: int, pool: int | None =
 
 
 class Lexical:
-    """BM25 (k1 1.5, b 0.75; a negative idf becomes a quarter of the mean idf of the vocabulary) over (id, text) rows."""
+    """BM25 (k1 1.5, b 0.75; a negative idf becomes a quarter of the mean idf of the vocabulary) over (id, text) rows.
+
+    The vocabulary's counts come from one pass over the texts and are kept until
+    ``reset``, which a changed corpus needs.
+    """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25):
-        self.k1, self.b = k1, b
+        self.k1, self.b, self.epsilon = k1, b, epsilon
         self.docs = docs.select(F.col(id_col).alias("item"), T.lexical_tokens(text_col).alias("tokens"))
-        self.total = self.docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-        df = self.docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        raw = df.crossJoin(F.broadcast(self.total.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-        mean = raw.agg((F.avg("raw") * epsilon).alias("low"))
-        self.idf = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("low")).otherwise(F.col("raw")).alias("idf"))
-
-    def scores(self, queries: DataFrame, query_id: str, text_col: str) -> DataFrame:
-        """(query, item, score) of all pairs that share a term. Only the queries' terms are counted and shuffled."""
-        terms = queries.select(F.col(query_id).alias("query"), F.explode(T.lexical_tokens(text_col)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-        weight = terms.join(self.idf.select("term", "idf"), "term").select("query", "term", (F.col("times") * F.col("idf")).alias("w"))
-        wanted = terms.select("term").distinct()
-        rows = self.docs.select("item", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-        tf = rows.groupBy("item", "dl", "term").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(self.total.select("avgdl")))
-        norm = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
-        return tf.select("item", "term", norm.alias("x")).join(weight, "term").groupBy("query", "item").agg(F.round(F.sum(F.col("w") * F.col("x")), DP).alias("score"))
+        self._counts = None
+
+    @property
+    def counts(self) -> DataFrame:
+        """(term, df, dl): documents of each term; the row of the null term has the number of documents and of their tokens."""
+        if self._counts is None:
+            none = F.array(F.lit(None).cast("string"))
+            each = self.docs.select(F.size("tokens").alias("dl"), F.explode(F.concat(F.array_distinct("tokens"), none)).alias("term"))
+            self._counts = each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl")).persist()
+        return self._counts
+
+    def reset(self) -> None:
+        """Forget the counts."""
+        if self._counts is not None:
+            self._counts.unpersist()
+        self._counts = None
+
+    @property
+    def size(self) -> tuple[int, float]:
+        """Documents and mean number of tokens."""
+        r = self.counts.where("term is null").first()
+        return (r.df, (r.dl / r.df) or 1.0) if r else (0, 1.0)
+
+    @property
+    def idf(self) -> DataFrame:
+        n = self.size[0]
+        raw = self.counts.where("term is not null").select("term", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+        mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+        return raw.select("term", "df", F.when(F.col("raw") < 0, mean * self.epsilon).otherwise(F.col("raw")).alias("idf"))
+
+    def weights(self, queries: DataFrame, query_id: str, text_col: str) -> DataFrame:
+        """(query, ws): each query's known terms with idf times occurrences."""
+        terms = queries.select(F.col(query_id).cast("long").alias("query"), F.explode(T.lexical_tokens(text_col)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+        weight = terms.join(self.idf.select("term", "idf"), "term").groupBy("query").agg(F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("w"))).alias("ws"))
+        return queries.select(F.col(query_id).cast("long").alias("query")).distinct().join(weight, "query", "left")
 
     def top(self, queries: DataFrame, query_id: str, text_col: str, k: int) -> DataFrame:
         """(query, item, score, rank), the k best of every query; ids are integers.
 
-        Every item is ranked: where fewer than k share a term, those first in
-        position follow with score 0. Term weights of a block of queries are
-        broadcast; a task turns each item's counts into scores for the whole
-        block and keeps its k best, so the shuffle holds k rows per query and
+        Every item is ranked: one that shares no term scores 0 and stands before
+        those of negative scores, equal scores go by position. Weights of up to
+        ``QUERIES`` queries are broadcast at once, bounded in number; a task
+        turns its items' counts into scores for all of them in one pass over the
+        texts and keeps k a query, so the shuffle holds k rows per query and
         task instead of a row for each shared term.
         """
         from .. import ship
 
         spark = self.docs.sparkSession
         ship(spark)
-        terms = queries.select(F.col(query_id).cast("long").alias("query"), F.explode(T.lexical_tokens(text_col)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-        weight = terms.join(self.idf.select("term", "idf"), "term").groupBy("query").agg(F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("w"))).alias("ws"))
-        every = queries.select(F.col(query_id).cast("long").alias("query")).distinct().join(weight, "query", "left")
-        avgdl, k1, b = float(self.total.first()["avgdl"] or 1.0) or 1.0, self.k1, self.b
+        avgdl, k1, b = self.size[1], self.k1, self.b
         src = self.docs.select(F.col("item").cast("long").alias("item"), "tokens")
 
         def one(block):
             names = sorted({w.term for r in block for w in r.ws or ()})
             at = {t: i for i, t in enumerate(names)}
-            m = np.zeros((len(names), len(block)))
-            for j, r in enumerate(block):
-                for w in r.ws or ():
-                    m[at[w.term], j] = w.w
-            sent = spark.sparkContext.broadcast((np.array([r["query"] for r in block]), names, m))
+            cells = sorted((at[w.term], j, w.w) for j, r in enumerate(block) for w in r.ws or ())
+            term, who, weight = np.array([c[0] for c in cells], np.int64), np.array([c[1] for c in cells], np.int64), np.array([c[2] for c in cells], float)
+            sent = spark.sparkContext.broadcast((np.array([r["query"] for r in block], np.int64), names, np.searchsorted(term, np.arange(len(names) + 1)), who, weight))
 
             def run(batches):
-                ids, names, m = sent.value
-                known = pa.array(names, pa.string())
-                best_s, best_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+                ids, names, ptr, who, weight = sent.value
+                known, best, step = pa.array(names, pa.string()), Best(len(ids), k), max(1, CELLS // max(1, len(ids)))
                 for batch in batches:
-                    for lo in range(0, batch.num_rows, 1024):
-                        part = batch.slice(lo, 1024)
+                    for lo in range(0, batch.num_rows, step):
+                        part = batch.slice(lo, step)
                         size = np.diff(part.column(1).offsets.to_numpy())
                         term = pc.fill_null(pc.index_in(part.column(1).flatten(), known), -1).to_numpy(zero_copy_only=False)
                         doc = np.repeat(np.arange(len(size)), size)[term >= 0]
                         key, tf = np.unique(doc * np.int64(max(1, len(names))) + term[term >= 0], return_counts=True)
                         doc, term = np.divmod(key, max(1, len(names)))
                         x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / avgdl))
-                        s, cut = np.zeros((len(size), len(ids))), np.searchsorted(doc, np.arange(len(size) + 1))
-                        for d in range(len(size)):
-                            if cut[d] < cut[d + 1]:
-                                s[d] = x[cut[d] : cut[d + 1]] @ m[term[cut[d] : cut[d + 1]]]
-                        s = np.round(np.maximum(s, 0), DP).T
-                        alls = np.concatenate([best_s, s], 1)
-                        alli = np.concatenate([best_i, np.broadcast_to(part.column(0).to_numpy(), s.shape)], 1)
-                        o = np.lexsort((alli, -alls), axis=1)[:, :k]
-                        best_s, best_i = np.take_along_axis(alls, o, 1), np.take_along_axis(alli, o, 1)
-                ok = np.isfinite(best_s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], ok.shape)[ok]), pa.array(best_i[ok]), pa.array(best_s[ok])], names=["query", "item", "score"])
+                        n = ptr[term + 1] - ptr[term]
+                        cell = np.repeat(ptr[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        s = np.bincount(who[cell] * len(size) + np.repeat(doc, n), np.repeat(x, n) * weight[cell], len(ids) * len(size))
+                        best.add(np.round(s, DP).reshape(len(ids), -1), part.column(0).to_numpy())
+                yield best.batch(ids)
 
             return src.mapInArrow(run, "query long, item long, score double")
 
-        parts, block = [], []
-        for r in every.toLocalIterator():
+        parts, block, held = [], [], 0
+        for r in self.weights(queries, query_id, text_col).toLocalIterator():
             block.append(r)
-            if len(block) == TERMS_BLOCK:
+            held += len(r.ws or ())
+            if len(block) == QUERIES or held >= WEIGHTS:
                 parts.append(one(block))
-                block = []
+                block, held = [], 0
         if block or not parts:
             parts.append(one(block))
         out = parts[0]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..tables import numbered
 from .evaluation import containment
 
 
@@ -19,14 +21,22 @@ def without_leaks(chunks: DataFrame, passages: DataFrame, chunk_id: str, chunk_t
 
 
 def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """Adds ``place``, a seeded order of the rows: by md5 of seed and key, ties by key."""
-    return rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("place", F.row_number().over(Window.orderBy("_h", key))).drop("_h")
+    """Adds ``place`` from 1, a seeded order of the rows: by md5 of seed and key, ties by key."""
+    hashed = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    return numbered(hashed, "_h", key, name="place").withColumn("place", F.col("place") + 1).drop("_h")
 
 
-def until_target(rows: DataFrame, place: str, count: str, target: int) -> DataFrame:
-    """Rows in order while fewer than ``target`` were counted before: the last may overshoot."""
-    before = F.coalesce(F.sum(count).over(Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_b", before).where(F.col("_b") < target).drop("_b")
+def until_target(rows: DataFrame, place: str, count: str, target: int, block: int = 1 << 16) -> DataFrame:
+    """Rows in order while fewer than ``target`` were counted before: the last may overshoot.
+
+    Sums of blocks of places say where each block starts, so that only their
+    sums stand in one task; blocks that start beyond the target are left out.
+    """
+    rows = rows.withColumn("_k", F.floor(F.col(place) / block))
+    until = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_k").agg(F.sum(count).alias("_s")).select("_k", F.coalesce(F.sum("_s").over(until.orderBy("_k")), F.lit(0)).alias("_b"))
+    inner = F.coalesce(F.sum(count).over(until.partitionBy("_k").orderBy(place)), F.lit(0))
+    return rows.join(sums.where(F.col("_b") < target), "_k").withColumn("_b", F.col("_b") + inner).where(F.col("_b") < target).drop("_b", "_k")
 
 
 def hard_negatives(hits: DataFrame, positives: DataFrame, banned: DataFrame) -> DataFrame:
@@ -58,11 +68,57 @@ def pairs(positives: DataFrame, negatives: DataFrame) -> DataFrame:
 def split(rows: DataFrame, key: str, share: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds ``part``: exactly max(1, floor(n share)) rows are val, the first in the seeded order."""
     s = shuffled(rows, key, seed)
-    n = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy()) * share))
-    return s.withColumn("part", F.when(F.col("place") <= n, "val").otherwise("train")).drop("place")
+    n = s.agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("_n"))
+    return s.crossJoin(F.broadcast(n)).withColumn("part", F.when(F.col("place") <= F.col("_n"), "val").otherwise("train")).drop("place", "_n")
 
 
 def questions(raw: str, most: int):
     """Generated lines to questions: leading numbering stripped, kept if over 12 characters and ending in a question mark, the first ``most``."""
     lines = F.transform(F.split(F.coalesce(F.col(raw), F.lit("")), "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^[0-9.\-) ]+", "")))
     return F.slice(F.filter(lines, lambda x: (F.length(x) > 12) & x.endswith("?")), 1, most)
+
+
+def pair_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("label").agg(F.count("*").alias("n"))
+
+
+def pair_features(rows: DataFrame, question: str, text: str) -> DataFrame:
+    """Adds ``features`` of a question and a text: Jaccard similarity, share of the question's words held, share of its adjacent pairs held, log length."""
+    from pyspark.ml.functions import array_to_vector
+
+    def share(part, whole):
+        return F.when(F.size(part) > 0, F.size(F.array_intersect(part, whole)) / F.size(part)).otherwise(F.lit(0.0))
+
+    def two(c):
+        t = T.lexical_tokens(c)
+        n = F.size(t)
+        return F.when(n > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.slice(t, i, 2))))).otherwise(F.array().cast("array<string>"))
+
+    q, t = F.array_distinct(T.lexical_tokens(question)), F.array_distinct(T.lexical_tokens(text))
+    union = F.size(F.array_union(q, t))
+    jaccard = F.when(union > 0, F.size(F.array_intersect(q, t)) / union).otherwise(F.lit(0.0))
+    return rows.withColumn("features", array_to_vector(F.array(jaccard, share(q, t), share(two(question), two(text)), F.log1p(F.size(t)))))
+
+
+def fit_scorer(train: DataFrame, val: DataFrame, question: str, text: str, label: str = "label", rounds: int = 50, penalty: float = 0.01):
+    """(model, report): a pair scorer by logistic regression on ``pair_features`` (the offline stand-in for tuning a cross-encoder on the same loss).
+
+    The report has average precision on val before (question's words held) and
+    after, on a part of train as large as val, and the gap of the last two.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    from .evaluation import average_precision
+
+    a, b = pair_features(train, question, text), pair_features(val, question, text)
+    model = LogisticRegression(labelCol=label, maxIter=rounds, regParam=penalty).fit(a.select("features", F.col(label).cast("double").alias(label)))
+
+    def precision(rows, score):
+        rows = rows.select(F.lit(0).alias("g"), F.monotonically_increasing_id().alias("i"), score.alias("s"), F.col(label).cast("int").alias("y"))
+        got = average_precision(rows, "g", "i", "s", "y").first()
+        return round(got.average_precision, 4) if got else 0.0
+
+    after = lambda rows: precision(model.transform(rows.drop(label).withColumn(label, rows[label])), vector_to_array("probability")[1])
+    before, val_after, probe = precision(b, vector_to_array("features")[1]), after(b), after(a.limit(val.count()))
+    return model, {"val_before": before, "val_after": val_after, "train_probe": probe, "gap": round(probe - val_after, 4)}

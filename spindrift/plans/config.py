@@ -8,7 +8,10 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Corpus:
-    link_prefix: str = "http"
+    #: Where the search source is asked, and what stands before its links.
+    search_api: str = ""
+    base_url: str = ""
+    link_prefix: str = ""
     published_after: str = "0000-01-01"
     published_before: str = "9999-12-31"
     max_articles: int = 200
@@ -38,11 +41,17 @@ class Retriever:
     top_k: int = 5
     rrf_k: int = 60
     reranker_enabled: bool = False
+    reranker_model: str = "overlap"
     rerank_top_n: int = 50
 
 
 @dataclass(frozen=True)
-class Answer:
+class Llm:
+    provider: str = "offline"
+    model: str = "extractive"
+    temperature: float = 0.0
+    max_tokens: int = 800
+    judge_model: str = "token-overlap"
     metadata_enabled: bool = False
 
 
@@ -52,7 +61,7 @@ class Config:
     chunk: Chunk = field(default_factory=Chunk)
     embedding: Embedding = field(default_factory=Embedding)
     retriever: Retriever = field(default_factory=Retriever)
-    answer: Answer = field(default_factory=Answer)
+    llm: Llm = field(default_factory=Llm)
 
 
 def load(path: str) -> Config:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..functions import embed
 from ..functions import text as T
 from ..operators import answers, chunking, evaluation, retrieval
@@ -17,8 +18,8 @@ from .config import Config
 def articles(cfg: Config, results: DataFrame, raw: DataFrame, strict: bool = True, body=corpus.BODY) -> tuple[DataFrame, DataFrame]:
     """(articles, rejected) from search results (link, public_timestamp, title) and raw pages (slug, html)."""
     c = cfg.corpus
-    m = corpus.select_links(results, "link", "public_timestamp", c.link_prefix, c.published_after, c.published_before, c.max_articles)
-    m = m.join(results.select(F.col("link").alias("url"), "title"), "url")
+    m = corpus.select_links(results, "link", "public_timestamp", c.link_prefix, c.published_after, c.published_before, c.max_articles, c.base_url)
+    m = m.join(results.select(F.concat(F.lit(c.base_url), "link").alias("url"), F.trim("title").alias("title")), "url")
     return corpus.clean(m, raw, strict, body)
 
 
@@ -51,16 +52,22 @@ class Index:
     rows: DataFrame
     parents: DataFrame | None = None
 
-    def write(self, path: str) -> None:
+    def write(self, path: str) -> int:
+        """Write the index; the number of its chunks."""
         self.rows.write.mode("overwrite").parquet(f"{path}/chunks")
         if self.parents is not None:
             self.parents.write.mode("overwrite").parquet(f"{path}/parents")
+        return self.rows.count()
 
     @staticmethod
     def read(spark, path: str) -> Index:
+        """The index in a folder; raises FileNotFoundError where there is none."""
         from pyspark.errors import AnalysisException
 
-        rows = spark.read.parquet(f"{path}/chunks")
+        try:
+            rows = spark.read.parquet(f"{path}/chunks")
+        except AnalysisException as e:
+            raise FileNotFoundError(f"no index in {path}; build it first") from e
         try:
             return Index(rows, spark.read.parquet(f"{path}/parents"))
         except AnalysisException:
@@ -68,20 +75,19 @@ class Index:
 
 
 def index(chunk_rows: DataFrame, parents: DataFrame | None = None, embedder=embed.hashed) -> Index:
-    """Positions follow the chunk ids' order, by a sorted partition-wise count, without a global sort in one task."""
-    from pyspark.sql import Window
-
-    ordered = chunk_rows.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").withColumn("_p", F.spark_partition_id())
-    n = ordered.groupBy("_p").agg(F.count("*").alias("_n"))
-    base = n.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    rows = ordered.join(base, "_p").withColumn("position", F.col("_b") + F.row_number().over(Window.partitionBy("_p").orderBy("chunk_id")) - 1)
-    return Index(rows.drop("_p", "_b").withColumn("embedding", embedder("text")), parents)
+    """Chunks with positions from 0 in the order of their ids, and vectors, written once. Raises where there is no chunk."""
+    rows = tables.numbered(chunk_rows, "chunk_id")
+    done = tables.cut(rows.withColumn("embedding", embedder("text")), "index")
+    tables.drop(rows)
+    if done.isEmpty():
+        raise ValueError("no chunks to index; chunk the articles first")
+    return Index(done, parents)
 
 
 def retrieve(cfg: Config, idx: Index, questions: DataFrame, k: int | None = None, embedder=embed.hashed, scorer=retrieval.overlap_score) -> DataFrame:
     """Ranked hits (query, rank, score, source_url, text, ...) for questions (query, question)."""
     r = cfg.retriever
-    k = r.top_k if k is None else k
+    k = k or r.top_k
     n = r.rerank_top_n if r.reranker_enabled else k
     # vectors are searched by number; the questions' own ids come back at the end
     q = questions.select("query", "question", F.xxhash64("query").alias("no")).withColumn("embedding", embedder(F.concat(F.lit(cfg.embedding.query_prefix), F.col("question"))))
@@ -90,7 +96,9 @@ def retrieve(cfg: Config, idx: Index, questions: DataFrame, k: int | None = None
     if r.type == "hybrid":
         pool = retrieval.pool_size(n)
         d = retrieval.dense(as_query, rows, pool, "position", "position", "embedding")
-        lx = retrieval.Lexical(rows, "position", "text").top(q, "no", "question", pool)
+        lexical = retrieval.Lexical(rows, "position", "text")
+        lx = lexical.top(q, "no", "question", pool)
+        lexical.reset()
         hits = retrieval.fuse(d, lx, n, r.rrf_k)
     elif r.type != "dense":
         raise ValueError(f"unknown retriever {r.type!r}")
@@ -113,18 +121,49 @@ def retrieve(cfg: Config, idx: Index, questions: DataFrame, k: int | None = None
 def answer(cfg: Config, idx: Index, questions: DataFrame, metadata: DataFrame | None = None, model=answers.extractive, **kw) -> DataFrame:
     """(query, question, answer, sources) for every question."""
     hits = retrieve(cfg, idx, questions, **kw)
-    shown = answers.enrich(hits, metadata) if cfg.answer.metadata_enabled and metadata is not None else hits
-    p = answers.prompts(questions, answers.context(shown, metadata=cfg.answer.metadata_enabled and metadata is not None))
+    shown = answers.enrich(hits, metadata) if cfg.llm.metadata_enabled and metadata is not None else hits
+    p = answers.prompts(questions, answers.context(shown, metadata=cfg.llm.metadata_enabled and metadata is not None))
     return answers.generate(p, model, ("query", "question")).join(answers.sources(hits), "query", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
 
 
-def evaluate(cfg: Config, idx: Index, gold: DataFrame, k: int = 10, **kw) -> tuple[DataFrame, DataFrame]:
-    """(metrics, per item) of retrieval over the answerable gold items."""
-    ask = gold.where("answerable").select(F.col("id").alias("query"), "question")
-    hits = retrieve(cfg, idx, ask, k, **kw)
-    passages = gold.where("answerable").select("id", F.posexplode("supporting_passages").alias("n", "p")).select(F.concat_ws("#", "id", F.col("n").cast("string")).alias("pid"), "id", F.col("p.passage_text").alias("passage"))
-    texts = hits.select("chunk_id", "text").dropDuplicates(["chunk_id"])
-    ok = evaluation.containment(passages, texts, "pid", "passage", "chunk_id", "text", entities=True)
-    ok = ok.join(passages.select("pid", "id"), "pid").select(F.col("id").alias("query"), F.col("chunk_id").alias("item"))
-    ranks = evaluation.first_relevant(hits.select("query", F.col("chunk_id").alias("item"), "rank"), ok, ask)
+def evaluate(cfg: Config, idx: Index, gold: DataFrame, k: int = 10, limit: int | None = None, **kw) -> tuple[DataFrame, DataFrame]:
+    """(metrics, per item) of retrieval over the answerable gold items (``limit``: the first of them)."""
+    ask = corpus.answerable(gold if limit is None else evaluation.limited(gold, limit))
+    q = ask.select(F.col("id").alias("query"), "question")
+    hits = retrieve(cfg, idx, q, k, **kw)
+    passages = ask.select("id", F.posexplode("supporting_passages").alias("n", "p")).select(F.concat_ws("#", "id", F.col("n").cast("string")).alias("pid"), F.col("id").alias("query"), F.col("p.passage_text").alias("passage"))
+    texts = hits.select(F.col("chunk_id").alias("item"), "text").dropDuplicates(["item"])
+    ok = evaluation.any_of(evaluation.containment(passages, texts, "pid", "passage", "item", "text", entities=True), passages, "query", "pid", "item")
+    ranks = evaluation.first_relevant(hits.select("query", F.col("chunk_id").alias("item"), "rank"), ok, q)
     return evaluation.retrieval_metrics(ranks), ranks
+
+
+def judged(cfg: Config, idx: Index, gold: DataFrame, metadata: DataFrame | None = None, model=answers.extractive, judge=answers.overlap_judge, **kw) -> DataFrame:
+    """(id, question, answer, sources, answerable, refused, label, faithful) for every gold item: answers, and their judge's verdicts."""
+    q = gold.select(F.col("id").alias("query"), "question")
+    hits = retrieve(cfg, idx, q, **kw)
+    got = answer(cfg, idx, q, metadata, model, **kw).select(F.col("query").alias("id"), "answer", "sources")
+    rows = gold.select("id", "question", "answer_key", "answerable").join(got, "id").join(answers.context(hits).withColumnRenamed("query", "id"), "id", "left")
+    rows = rows.withColumn("faith", answers.faithfulness_prompt("answer", "context")).withColumn("right", answers.correctness_prompt("question", "answer_key", "answer"))
+    keep = ("id", "question", "answer", "sources", "answerable", "right")
+    rows = answers.generate(rows.withColumnRenamed("faith", "prompt").drop("answer").join(got.select("id", "answer"), "id"), judge, keep, "raw_faith")
+    rows = answers.generate(rows.withColumnRenamed("right", "prompt"), judge, ("id", "question", "answer", "sources", "answerable", "raw_faith"), "raw_right")
+    return rows.select("id", "question", "answer", "sources", "answerable", T.is_refusal("answer").alias("refused"), answers.correctness("raw_right").alias("label"), answers.faithful("raw_faith").alias("faithful"))
+
+
+def result_row(metrics: DataFrame, per_item: DataFrame, cfg: Config, stamp: str, gold_set: str, tag: str = "retrieval") -> DataFrame:
+    """One row of a run: stamp, tag, gold set, settings, metrics, and every item by id (a gold set's items stand in the one row)."""
+    import dataclasses
+    import json
+
+    items = per_item.agg(F.array_sort(F.collect_list(F.struct(*sorted(per_item.columns, key=lambda c: (c not in ("id", "query"), c))))).alias("per_item"))
+    row = metrics.select(F.struct(*metrics.columns).alias("metrics")).crossJoin(F.broadcast(items))
+    return row.select(F.lit(stamp).alias("timestamp"), F.lit(tag).alias("tag"), F.lit(gold_set).alias("gold_set"), F.lit(json.dumps(dataclasses.asdict(cfg), sort_keys=True)).alias("config"), "metrics", "per_item")
+
+
+def write_result(row: DataFrame, folder: str) -> str:
+    """Write a run's row as JSON under its stamp and tag; the path."""
+    r = row.select("timestamp", "tag").first()
+    path = f"{folder}/{r.timestamp.replace(':', '')}_{r.tag}.json"
+    row.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return path

@@ -14,7 +14,10 @@ MANIFEST = "url string, slug string, title string, published_date string"
 ARTICLE = "source_url string, slug string, title string, summary string, body_text string, published_date string"
 CHUNK = "chunk_id string, source_url string, text string, parent_id string"
 GOLD = "id string, question string, answer_key string, register string, type string, phrasing string, answerable boolean, supporting_passages array<struct<source_url:string,passage_text:string>>"
-SCHEMAS = {"manifest": MANIFEST, "articles": ARTICLE, "chunks": CHUNK, "gold": GOLD}
+SNAPSHOT = "snapshot_id string, n_articles long, date_min string, date_max string"
+PARENT = "parent_id string, source_url string, text string"
+PAIR = "query string, item string, label int"
+SCHEMAS = {"manifest": MANIFEST, "articles": ARTICLE, "chunks": CHUNK, "parents": PARENT, "gold": GOLD, "snapshot": SNAPSHOT, "pairs": PAIR}
 # Selectors of the published pages, and block tags.
 #: Containers of an article's body, the first that a page has wins: (attribute, value) or a tag.
 BODY = (("data-module", "govspeak"), ("class", "govuk-govspeak"), "article")
@@ -32,16 +35,65 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def select_links(results: DataFrame, link: str, stamp: str, prefix: str, after: str, before: str, most: int) -> DataFrame:
+def search(spark: SparkSession, api: str, kind: str, after: str, before: str, most: int, get=None) -> DataFrame:
+    """Results (link, public_timestamp, title) of a search API, which filters, orders and counts itself. ``get`` reads a URL's JSON."""
+    from urllib.parse import urlencode
+
+    asked = {"filter_content_store_document_type": kind, "filter_public_timestamp": f"from:{after},to:{before}", "order": "public_timestamp", "count": str(most), "fields": "title,link,public_timestamp"}
+    found = (get or _json)(f"{api}?{urlencode(asked)}").get("results", [])
+    return spark.createDataFrame([(r.get("link", ""), r.get("public_timestamp", ""), (r.get("title") or "").strip()) for r in found], "link string, public_timestamp string, title string")
+
+
+def _json(url: str) -> dict:
+    import json
+    from urllib.request import urlopen
+
+    with urlopen(url, timeout=30) as f:
+        return json.load(f)
+
+
+def select_links(results: DataFrame, link: str, stamp: str, prefix: str, after: str, before: str, most: int, base: str = "") -> DataFrame:
     """Search results to manifest rows: links below a path, stamped within [after, before], oldest first, at most ``most``."""
     day = F.left(F.col(stamp), F.lit(10))
     rows = results.where(F.col(link).startswith(prefix) & (day >= after) & (day <= before))
-    return rows.select(F.col(link).alias("url"), T.last_segment(link).alias("slug"), day.alias("published_date")).orderBy("published_date", "url").limit(most)
+    return rows.select(F.concat(F.lit(base), link).alias("url"), T.last_segment(link).alias("slug"), day.alias("published_date")).orderBy("published_date", "url").limit(most)
+
+
+def to_fetch(manifest: DataFrame, cached: DataFrame, force: bool = False) -> DataFrame:
+    """Manifest rows whose page isn't cached yet (cached: file names), or all of them, with the file's name."""
+    named = manifest.withColumn("name", T.raw_name("slug"))
+    return named if force else named.join(cached.select("name"), "name", "left_anti")
+
+
+def fetch_all(manifest: DataFrame, cached: DataFrame, get, force: bool = False, pause: float = 1.0, workers: int = 1) -> DataFrame:
+    """(name, slug, html) of the pages still to fetch, by ``get(url)``; each of ``workers`` tasks waits ``pause`` seconds between pages."""
+    src = to_fetch(manifest, cached, force).select("name", "slug", "url").repartition(workers)
+
+    def run(batches):
+        import time
+
+        first = True
+        for pdf in batches:
+            html = []
+            for url in pdf["url"]:
+                if not first:
+                    time.sleep(pause)
+                first = False
+                html.append(get(url))
+            yield pdf[["name", "slug"]].assign(html=html)
 
+    return src.mapInPandas(run, "name string, slug string, html string")
 
-def to_fetch(manifest: DataFrame, cached: DataFrame) -> DataFrame:
-    """Manifest rows whose page isn't cached yet (cached: file names)."""
-    return manifest.withColumn("name", T.raw_name("slug")).join(cached.select("name"), "name", "left_anti")
+
+def missing_pages(manifest: DataFrame, raw: DataFrame) -> DataFrame:
+    """Slugs of the manifest that have no page."""
+    return manifest.join(raw.where("html is not null").select("slug"), "slug", "left_anti").select("slug").distinct()
+
+
+def require_pages(manifest: DataFrame, raw: DataFrame) -> None:
+    """Raise where an article has no page: it would vanish from the corpus unseen."""
+    if some := [r.slug for r in missing_pages(manifest, raw).orderBy("slug").limit(5).collect()]:
+        raise FileNotFoundError(f"articles without a page, the first: {', '.join(some)}")
 
 
 class _Page(HTMLParser):
@@ -153,13 +205,13 @@ def extract(pages: DataFrame, html: str, body=BODY) -> DataFrame:
 
 
 def clean(manifest: DataFrame, raw: DataFrame, strict: bool = True, body=BODY) -> tuple[DataFrame, DataFrame]:
-    """(articles, rejected): manifest joined with raw (slug, html), page chrome and empty bodies refused.
+    """(articles, rejected): manifest joined with raw (slug, html); missing pages, page chrome and empty bodies refused.
 
     ``strict`` makes the articles fail on the first refused page when they are
     read; else such pages are only left to ``rejected``.
     """
-    x = extract(manifest.join(raw, "slug"), "html", body)
-    why = F.when(F.col("article.body").isNull(), "no body container").when(F.trim("article.body") == "", "empty body").when(F.size(T.boilerplate_found("article.body")) > 0, "boilerplate")
+    x = extract(manifest.join(raw, "slug", "left"), "html", body)
+    why = F.when(F.col("html").isNull(), "no page").when(F.col("article.body").isNull(), "no body container").when(F.trim("article.body") == "", "empty body").when(F.size(T.boilerplate_found("article.body")) > 0, "boilerplate")
     x = x.withColumn("problem", why)
     title = F.coalesce(F.nullif("article.title", F.lit("")), F.col("title"))
     rows = x.select(F.col("url").alias("source_url"), "slug", title.alias("title"), F.col("article.summary").alias("summary"), F.col("article.body").alias("body_text"), "published_date", F.col("article.sections").alias("sections"), "problem")
@@ -198,6 +250,22 @@ def snapshot(articles: DataFrame, slug: str, date: str) -> DataFrame:
     return articles.agg(F.left(F.sha2(F.array_join(F.array_sort(F.collect_list(slug)), "\n"), 256), F.lit(12)).alias("snapshot_id"), F.count("*").alias("n_articles"), F.min(d).alias("date_min"), F.max(d).alias("date_max"))
 
 
+def write_snapshot(snap: DataFrame, path: str) -> None:
+    snap.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS["snapshot"]).json(path)
+
+
+def answerable(gold: DataFrame) -> DataFrame:
+    return gold.where("answerable")
+
+
+def unanswerable(gold: DataFrame) -> DataFrame:
+    return gold.where("not answerable")
+
+
 def gold_problems(gold: DataFrame) -> DataFrame:
     """(id, problem) for every broken rule of a gold item, repeated ids included."""
     p = F.col("supporting_passages")
@@ -235,5 +303,11 @@ def unknown_sources(gold: DataFrame, known_urls: DataFrame) -> DataFrame:
 
 
 def gold_stamp(version: str, snap: DataFrame | None) -> str:
-    row = snap.first() if snap is not None else None
+    """The gold set's version and the corpus it belongs to, unknown where no snapshot can be read."""
+    from pyspark.errors import PySparkException
+
+    try:
+        row = snap.first() if snap is not None else None
+    except PySparkException:
+        row = None
     return f"{version}+corpus:{row.snapshot_id if row else 'unknown'}"
