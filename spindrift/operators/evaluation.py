@@ -36,12 +36,12 @@ def containment(passages: DataFrame, texts: DataFrame, passage_id: str, passage:
     w, v = Window.partitionBy("pid").orderBy("df", "token", "at"), Window.partitionBy("pid", "inner").orderBy("df", "token", "at")
     known = known.withColumn("inner", inner).withColumn("r", F.row_number().over(w)).withColumn("ri", F.row_number().over(v))
     keys = known.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1) | (F.col("inner") & (F.col("ri") == 1))).select("pid", "token").distinct()
-    pairs = keys.join(seen, "token").select("pid", "tid").distinct()
+    pairs = keys.join(seen, "token").select("pid", "tid")
     if short := [r.n for r in p.where(F.size("pt") < 3).select(F.length(F.element_at("pt", 1)).alias("n")).distinct().collect()]:  # lengths of words
-        pairs = pairs.unionByName(_short(p, t, sorted(short))).distinct()
+        pairs = pairs.unionByName(_short(p, t, sorted(short)))
     whole = F.contains("nt", "np")
     part = T.let(F.split("nt", " "), lambda w: F.size(F.filter(F.col("pt"), lambda x: F.array_contains(w, x)))) >= share * F.size("pt") - 1e-9
-    checked = pairs.join(p, "pid").join(t, "tid").where(whole | part).select("pid", "tid")
+    checked = pairs.distinct().join(p, "pid").join(t, "tid").where(whole | part).select("pid", "tid")
     return checked.distinct().select(F.col("pid").alias(passage_id), F.col("tid").alias(text_id))
 
 
@@ -55,7 +55,7 @@ def _short(p: DataFrame, t: DataFrame, lengths: list[int]) -> DataFrame:
     ends = words.select("token", F.explode(F.transform(fits, lambda k: F.right("token", k))).alias("first"))
     first = p.select("pid", F.size("pt").alias("k"), F.element_at("pt", 1).alias("first"))
     met = inside.join(first.where("k = 1"), "first").unionByName(ends.join(first.where("k = 2"), "first")).select("pid", "token")
-    return met.join(held, "token").select("pid", "tid").distinct()
+    return met.join(held, "token").select("pid", "tid")
 
 
 def any_of(matches: DataFrame, passages: DataFrame, key: str, passage_id: str, text_id: str) -> DataFrame:

@@ -218,9 +218,8 @@ def pool_size(k: int, times: int = 10, least: int = 50) -> int:
 
 def fuse(dense_hits: DataFrame, lexical_hits: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two (query, item, rank) tables; ties: dense ranks first, then lexical ranks."""
-    a = dense_hits.select("query", "item", F.col("rank").alias("dense_rank"), F.lit(None).cast("int").alias("lexical_rank"))
-    b = lexical_hits.select("query", "item", F.lit(None).cast("int").alias("dense_rank"), F.col("rank").alias("lexical_rank"))
-    both = a.unionByName(b).groupBy("query", "item").agg(F.max("dense_rank").alias("dense_rank"), F.max("lexical_rank").alias("lexical_rank"))
+    # joined and not united: Spark 4.1 takes a union of equally dealt inputs as dealt so itself, which fails where an input's exchange is reused
+    both = dense_hits.select("query", "item", F.col("rank").alias("dense_rank")).join(lexical_hits.select("query", "item", F.col("rank").alias("lexical_rank")), ["query", "item"], "full_outer")
     term = lambda c: F.coalesce(1.0 / (rrf_k + F.col(c)), F.lit(0.0))
     scored = both.withColumn("score", term("dense_rank") + term("lexical_rank"))
     return ranked(scored, "query", "item", "score", k, (F.asc_nulls_last("dense_rank"), F.asc_nulls_last("lexical_rank")))

@@ -119,6 +119,6 @@ def fit_scorer(train: DataFrame, val: DataFrame, question: str, text: str, label
         got = average_precision(rows, "g", "i", "s", "y").first()
         return round(got.average_precision, 4) if got else 0.0
 
-    after = lambda rows: precision(model.transform(rows.drop(label).withColumn(label, rows[label])), vector_to_array("probability")[1])
+    after = lambda rows: precision(model.transform(rows), vector_to_array("probability")[1])
     before, val_after, probe = precision(b, vector_to_array("features")[1]), after(b), after(a.limit(val.count()))
     return model, {"val_before": before, "val_after": val_after, "train_probe": probe, "gap": round(probe - val_after, 4)}

@@ -112,7 +112,7 @@ def test_bm25_agrees_with_a_loop(spark):
     idf = {t: low if x < 0 else x for t, x in raw.items()}
     for q, text in enumerate(queries):
         s = [round(sum(idf.get(t, 0) * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / avg)) for t in text.split()), 9) for d in toks]
-        want = sorted(range(n), key=lambda i: (-max(s[i], 0), i))
+        want = sorted(range(n), key=lambda i: (-s[i], i))
         assert [i for i, _ in got[q]] == want, (q, got[q], s)
 
 
@@ -228,7 +228,189 @@ def test_hard_negatives_beyond_many_banned_copies(spark, tmp_path):
 
     passage = "the red fox jumped over nine lazy dogs near the river"
     docs = [(i, passage, "en", "s", len(passage)) for i in range(70)] + [(100, "a red fox slept", "en", "s", 15), (101, "nothing alike", "en", "s", 13)]
+    docs += [(200 + i, f"filler{i} other{i}", "en", "s", 9) for i in range(300)]  # so that the passage's words are rare and its copies rank first
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = [tuple(r)[1:] for r in catalogue.hard_negatives(spark, str(tmp_path)).select("query", "item", "rank").collect()]
     assert len(got) == 1 and got[0][0] in (100, 101) and got[0][1] > 50
+
+
+def test_fused_hits_agree_in_two_branches(spark):
+    """Prompts and sources read the same hits, also where Spark reuses an exchange."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    rows = spark.createDataFrame([(f"c{i:03d}", f"u{i}", " ".join(rng.choice(words) for _ in range(12))) for i in range(200)], "chunk_id string, source_url string, text string")
+    idx = pipeline.index(rows)
+    q = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(5))) for i in range(12)], "query long, question string")
+    cfg = config.Config(retriever=config.Retriever(type="hybrid"))
+    alone = {}
+    for r in pipeline.retrieve(cfg, idx, q, 2).collect():
+        alone.setdefault(r["query"], set()).add(r.source_url)
+    got = {r["query"]: set(r.sources) for r in pipeline.answer(cfg, idx, q, k=2).collect()}
+    assert got == alone and all(len(v) <= 2 for v in got.values())
+
+
+def test_index_keeps_every_row(spark):
+    """Positions 0..n-1 by chunk id, over several partitions that adaptive execution joins."""
+    rows = spark.range(0, 6000, 1, 16).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("chunk_id"), F.lit("u").alias("source_url"), F.concat(F.repeat(F.lit("word "), 300), F.col("id").cast("string")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        got = pipeline.index(rows).rows.select("position", "chunk_id").orderBy("position").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert [r.position for r in got] == list(range(6000)) and [r.chunk_id for r in got] == sorted(f"c{i}" for i in range(6000))
+    with pytest.raises(ValueError, match="no chunks"):
+        pipeline.index(rows.limit(0))
+    with pytest.raises(FileNotFoundError):
+        pipeline.Index.read(spark, "/nowhere/at/all")
+
+
+def test_bm25_ranks_negative_scores_last(spark):
+    """Where the mean idf is negative, an item without the term stands before those that hold it."""
+    df = spark.createDataFrame([(0, "common"), (1, "common"), (2, "common"), (3, "")], "i int, t string")
+    lexical = retrieval.Lexical(df, "i", "t")
+    got = [(r.item, r.score) for r in lexical.top(spark.createDataFrame([(0, "common")], "i int, t string"), "i", "t", 4).orderBy("rank").collect()]
+    assert [i for i, _ in got] == [3, 0, 1, 2] and got[0][1] == 0 > got[1][1]
+    lexical.reset()
+    assert lexical._counts is None and lexical.size == (4, 0.75)
+
+
+def test_short_passages_meet_inner_words(spark):
+    p = spark.createDataFrame([(1, "or"), (2, "lo wor"), (3, "wor lo"), (4, "x"), (5, "hello")], "p int, t string")
+    d = spark.createDataFrame([(1, "hello world"), (2, "or else"), (3, "lo, wor"), (4, None)], "d int, t string")
+    got = {(r.p, r.d) for r in evaluation.containment(p, d, "p", "t", "d", "t").collect()}
+    assert got == {(1, 1), (1, 2), (1, 3), (2, 1), (2, 3), (3, 3), (5, 1)}
+
+
+def test_best_keeps_the_first_of_ties():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    s, items = rng.integers(0, 4, (5, 60)).astype(float), rng.permutation(60)
+    best = retrieval.Best(5, 7)
+    for a in range(0, 60, 13):
+        best.add(s[:, a : a + 13], items[a : a + 13])
+    for q in range(5):
+        o = sorted(range(60), key=lambda j: (-s[q, j], items[j]))[:7]
+        assert best.item[q].tolist() == items[o].tolist() and best.score[q].tolist() == s[q, o].tolist()
+
+
+def test_subwords(spark):
+    from tokenizers import Tokenizer
+
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    text = "The Pharmacovigilance team's 12 reports, again and again and again."
+    sub = T.Subwords(path)
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "i int, t string")
+    got = {(r.id, r.chunk_no): r.text for r in chunking.fixed(df, "i", "t", 6, 2, sub.tokens, sub.joined).collect()}
+    ids, want, at = tok.encode(text, add_special_tokens=False).ids, {}, 0
+    while True:
+        want[1, len(want)] = tok.decode(ids[at : at + 6], skip_special_tokens=True).strip()
+        if at + 6 >= len(ids):
+            break
+        at += 4
+    assert got == want
+
+
+def test_reference_settings_load(tmp_path):
+    f = tmp_path / "c.yaml"
+    f.write_text("corpus:\n  search_api: http://x/s.json\n  base_url: http://x\n  published_after: '2022-01-01'\n  published_before: '2026-07-01'\n  max_articles: 200\nchunk:\n  strategy: fixed\n  size_tokens: 512\n  overlap_tokens: 50\nembedding:\n  model_name: m\n  query_prefix: 'find: '\nretriever:\n  type: hybrid\n  top_k: 5\n  rrf_k: 60\n  reranker_enabled: false\n  reranker_model: r\n  rerank_top_n: 50\nllm:\n  provider: p\n  model: m\n  temperature: 0.0\n  max_tokens: 800\n  judge_model: j\n")
+    c = config.load(str(f))
+    assert c.llm.judge_model == "j" and not c.llm.metadata_enabled and c.retriever.reranker_model == "r"
+
+
+def test_missing_pages(spark):
+    m = spark.createDataFrame([("u/a", "a", "A", "2024-01-01"), ("u/b", "b", "B", "2024-01-02")], "url string, slug string, title string, published_date string")
+    raw = spark.createDataFrame([("a", PAGE)], "slug string, html string")
+    good, bad = corpus.clean(m, raw, strict=False)
+    assert [r.slug for r in good.collect()] == ["a"] and [(r.slug, r.problem) for r in bad.collect()] == [("b", "no page")]
+    with pytest.raises(FileNotFoundError, match="b"):
+        corpus.require_pages(m, raw)
+    corpus.require_pages(m.where("slug = 'a'"), raw)
+
+
+def test_search_and_fetch(spark):
+    asked = []
+
+    def get(url):
+        asked.append(url)
+        return {"results": [{"link": "/drug/a", "public_timestamp": "2024-02-03T04:05", "title": " A "}, {"link": "/other/b", "public_timestamp": "2024-02-04T04:05"}]}
+
+    r = corpus.search(spark, "http://x/s.json", "kind", "2024-01-01", "2024-12-31", 7, get)
+    m = corpus.select_links(r, "link", "public_timestamp", "/drug/", "2024-01-01", "2024-12-31", 7, "http://x")
+    assert [tuple(x) for x in m.collect()] == [("http://x/drug/a", "a", "2024-02-03")]
+    assert "count=7" in asked[0] and "from%3A2024-01-01%2Cto%3A2024-12-31" in asked[0]
+    pages = corpus.fetch_all(m, spark.createDataFrame([], "name string"), lambda url: f"<p>{url}</p>", pause=0)
+    got = pages.collect()
+    assert [(x.slug, x.html) for x in got] == [("a", "<p>http://x/drug/a</p>")]
+    assert corpus.fetch_all(m, pages.select("name"), len, pause=0).count() == 0
+    assert corpus.to_fetch(m, pages.select("name"), force=True).count() == 1
+
+
+def test_judge_sheet_and_controls(spark):
+    assert all(r.caught for r in answers.probe_judge(spark, answers.overlap_judge).collect())
+    assert not any(r.caught for r in answers.probe_judge(spark, lambda p: ['{"faithful": true, "label": "correct"}'] * len(p)).collect())
+    rows = spark.createDataFrame([("q1", "Q?", "key", "ans", ["http://x/a"], True, False, "wrong", False), ("q2", "R?", None, "no", [], False, True, "wrong", False)], "id string, question string, answer_key string, answer string, sources array<string>, answerable boolean, refused boolean, label string, faithful boolean")
+    text = answers.judge_sheet(rows, ["q2", "q1"], "j", "m", "now")
+    assert text.index("## q2 (UNANSWERABLE)") < text.index("## q1 (answerable)") and "**Judge:** wrong, faithful False" in text
+
+
+def test_judged_run_and_command_line(spark, tmp_path):
+    from spindrift import __main__ as cli
+
+    html = "<h1>{}</h1><article><p>{}</p></article>"
+    texts = {"a": "Insulin pumps may fail. Check the alarm.", "b": "Paracetamol dose is limited. Ask a doctor."}
+    results = spark.createDataFrame([(f"http://x/{k}", "2024-01-0%d" % (i + 1), k.upper()) for i, k in enumerate(texts)], "link string, public_timestamp string, title string")
+    cfg = config.Config(chunk=config.Chunk(size_tokens=16, overlap_tokens=4), retriever=config.Retriever(type="hybrid", top_k=1))
+    work = str(tmp_path / "work")
+    cli.ingest(spark, cfg, work, results, lambda url: html.format(url, texts[url[-1]]), pause=0)
+    cli.clean(spark, work, body=("article",))
+    cli.chunk(spark, cfg, work)
+    assert cli.index(spark, cfg, work) == 2
+    assert "pumps" in cli.ask(spark, cfg, work, ["insulin pump alarm"])[0].answer
+    gold = tmp_path / "gold.jsonl"
+    item = '{{"id":"{}","question":"{}","answer_key":"{}","register":"either","type":"{}","phrasing":"verbatim","answerable":{},"supporting_passages":[{}]}}\n'
+    gold.write_text(item.format("q1", "insulin pump alarm", "pumps may fail", "single_passage", "true", '{"source_url":"http://x/a","passage_text":"pumps may fail"}') + item.format("q2", "moon", "", "unanswerable", "false", ""))
+    path = cli.evaluate(spark, cfg, work, str(gold), 1, False, "2024-01-01T00:00:00")
+    row = spark.read.json(path).first()
+    assert path.endswith("2024-01-01T000000_full.json") and row.metrics.recall_at_1 == 1 and row.metrics.correct == 1 and row.metrics.unanswerable == 1
+    assert len(row.per_item) == 2
+
+
+def test_server():
+    from spindrift import serve
+
+    state = serve.State()
+    assert serve.respond(state, "GET", "/")[0] == 200 and serve.respond(state, "GET", "/health")[1]["retriever_ready"] is False
+    ask = lambda q: serve.respond(state, "POST", "/ask", q)
+    assert ask(b'{"question": "what?"}')[0] == 503 and ask(b'{"question": "a"}')[0] == ask(b"[]")[0] == ask(b"x")[0] == 422
+    state.ask = lambda q: {"answer": q.upper(), "sources": ["u"]}
+    assert ask(b'{"question": "what?"}') == (200, {"question": "what?", "answer": "WHAT?", "sources": ["u"], "disclaimer": serve.DISCLAIMER})
+    assert serve.respond(state, "GET", "/other")[0] == 404
+
+
+def test_pair_scorer(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        t = [rng.choice(words) for _ in range(20)]
+        rows.append((" ".join(t[3:9] if i % 2 else [rng.choice(words) for _ in range(6)]), " ".join(t), i % 2))
+    df = spark.createDataFrame(rows, "q string, t string, label int")
+    model, report = training.fit_scorer(df.limit(90), df.subtract(df.limit(90)), "q", "t")
+    assert report["val_after"] >= 0.95 and abs(report["gap"]) <= 0.05 and model.coefficients.size == 4
+
+
+def test_model_loads_once_a_name():
+    seen = []
+    a = embed.model("one", lambda n: seen.append(n) or object())
+    assert embed.model("one", lambda n: 1 / 0) is a and embed.model("two", len) == 3 and seen == ["one"]
+
+
+def test_sweep(spark):
+    from spindrift import tables
+
+    t = tables.cut(spark.range(3), "t")
+    assert t.count() == 3 and tables.sweep(spark) >= 1 and tables.sweep(spark) == 0
