@@ -65,10 +65,11 @@ class Encoder:
     def encode(self, col: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty), each with ``end`` behind it, and the bounds of the texts.
 
-        Words are told apart by 64-bit hashes of their lower-cased bytes, each
+        Words are found by 64-bit hashes of their lower-cased bytes, each
         distinct word of the column is looked up once, and new ones go to the
-        model. (Two of a million remembered words agree with odds below 1e-7.)
-        Texts that aren't plain go the slow way of ``_one``.
+        model. The bytes of every word are compared with those remembered: texts
+        in which a hash stands for another word, and those that aren't plain, go
+        the slow way of ``_one``.
         """
         data, bounds = strings(col)
         n = len(bounds) - 1
@@ -90,7 +91,8 @@ class Encoder:
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
         h = mix((sums[ends] - sums[starts]) * down[starts])
         distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
-        at = self._slots(distinct, lambda k: low[starts[where[k]] : ends[where[k]]].tobytes().decode("utf-8", "replace"))
+        at = self._slots(distinct, lambda k: low[starts[where[k]] : ends[where[k]]].tobytes())
+        slow |= set((np.searchsorted(bounds, starts[self._unlike(low, starts, ends - starts, at[back])], "right") - 1).tolist())
         size, place = self.size[at][back], self.place[at][back]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(place - total[:-1], size) + np.arange(total[-1])]
@@ -113,21 +115,34 @@ class Encoder:
         at = np.searchsorted(self.keys, distinct)
         new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != distinct if len(self.keys) else np.ones(len(distinct), bool))
         if len(new):
-            got = [self._word(spell(k)) for k in new.tolist()]
+            raw = [spell(k) for k in new.tolist()]
+            got = [self._word(w.decode("utf-8", "replace")) for w in raw]
             n = np.array([len(x) for x in got], np.int64)
             spot = self.fill + np.cumsum(n) - n
             while self.fill + n.sum() > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
             self.pool[self.fill : self.fill + n.sum()] = [i for x in got for i in x]
             self.fill += int(n.sum())
+            long = np.array([len(w) for w in raw], np.int64)
+            self.length, self.spelt = np.insert(self.length, at[new], long), np.insert(self.spelt, at[new], len(self.letters) + np.cumsum(long) - long)
+            self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(raw), np.uint8)])
             self.keys, self.size, self.place = np.insert(self.keys, at[new], distinct[new]), np.insert(self.size, at[new], n), np.insert(self.place, at[new], spot)
             at = np.searchsorted(self.keys, distinct)
         return at
 
+    def _unlike(self, low: np.ndarray, starts: np.ndarray, n: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Words (by number) whose bytes aren't those remembered in their slot."""
+        same = self.length[slot] == n
+        starts, n, slot, word = starts[same], n[same], slot[same], np.flatnonzero(same)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        off = low[np.repeat(starts, n) + step] != self.letters[np.repeat(self.spelt[slot], n) + step]
+        return np.concatenate([np.flatnonzero(~same), np.unique(np.repeat(word, n)[off])]) if off.any() else np.flatnonzero(~same)
+
     def _word(self, w: str) -> list[int]:
         return [x.id for x in self.tok.model.tokenize(w if w.isascii() else "".join([_BYTE[b] for b in w.encode()]))]
 
     def forget(self) -> None:
+        self.length, self.spelt, self.letters = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
         self.keys, self.size, self.place, self.pool, self.fill = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
 
 
