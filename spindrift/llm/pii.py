@@ -9,6 +9,7 @@ trusted pattern finds then becomes a span of the pattern's kind.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
@@ -20,8 +21,6 @@ from .shared import attach, cut
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring, least summed trust of a pattern's instances, least share of them, least trust of a new instance.
 ROUNDS, SUPPORT, SHARE, TRUST = 3, 3.0, 0.6, 0.8
-#: Longest mail-like word that is a candidate, and characters on either side in which context words are looked for.
-LONGEST, AROUND = 64, 48
 KIND = "struct<base:array<struct<start:bigint,k:int,end:bigint>>,seeds:array<struct<k:int,start:bigint,end:bigint,inst:string,pats:array<string>>>>"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,6 +32,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CHAIN = re.compile(r"\(?[0-9][0-9().\x20-]*[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile("[0-9]")
+_SPACE = re.compile(r"\s")
 
 
 def luhn(digits: str) -> bool:
@@ -72,33 +72,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def others(text: str, base: list) -> list[tuple[int, int]]:
-    """Mail-like words and chains of 7 to 19 digits that touch no base span."""
+    """Whole words with an @ inside and chains of 7 to 19 digits that touch no base span."""
     found = []
     at = text.find("@")
     while at >= 0:
         a = z = at
-        while a > 0 and at - a < LONGEST and not text[a - 1].isspace():
+        while a > 0 and not text[a - 1].isspace():
             a -= 1
-        while z < len(text) and z - at < LONGEST and not text[z].isspace():
-            z += 1
-        if at - a < LONGEST and z - at < LONGEST and z - a > 4:
+        z = m.start() if (m := _SPACE.search(text, at)) else len(text)
+        if z - a > 4:
             found.append((a, z))
         at = text.find("@", z + 1)
     if _DIGITS.search(text):
         found += [m.span() for m in _CHAIN.finditer(text) if m.end() - m.start() >= 7 and 7 <= sum(c.isdigit() for c in m.group()) <= 19]
-    return [(a, z) for a, z in found if not any(s < z and a < e for s, _, e in base)]
+    held, at, out = sorted(base), 0, []
+    for a, z in sorted(found):
+        while at < len(held) and held[at][2] <= a:
+            at += 1
+        if at == len(held) or held[at][0] >= z:
+            out.append((a, z))
+    return out
 
 
-def contexts(text: str, a: int, z: int) -> list[str]:
-    """Lexical patterns around a span: one and two words before, one before with one after."""
-    left, right = _WORD.findall(text[max(0, a - AROUND) : a].lower()), _WORD.search(text[z : z + AROUND].lower())
-    if not left:
+def contexts(words: tuple, a: int, z: int) -> list[str]:
+    """Lexical patterns around a span, from the text's words (starts, ends, lower-cased): one and two words before, one before with one after, at any distance."""
+    starts, ends, names = words
+    left, right = bisect.bisect_right(ends, a) - 1, bisect.bisect_left(starts, z)
+    if left < 0:
         return []
-    out = ["1 " + left[-1]]
-    if len(left) > 1:
-        out.append(f"2 {left[-2]} {left[-1]}")
-    if right:
-        out.append(f"b {left[-1]} {right.group()}")
+    out = ["1 " + names[left]]
+    if left:
+        out.append(f"2 {names[left - 1]} {names[left]}")
+    if right < len(names):
+        out.append(f"b {names[left]} {names[right]}")
     return out
 
 
@@ -110,7 +116,9 @@ def _find():
             b = base_spans(t)
             base.append([{"start": a, "k": k, "end": z} for a, k, z in b])
             rows = [(k, a, z) for a, k, z in b] + [(-1, a, z) for a, z in others(t, b)]
-            seeds.append([{"k": k, "start": a, "end": z, "inst": re.sub(r"[\s().-]", "", t[a:z].lower()), "pats": contexts(t, a, z)} for k, a, z in rows])
+            words = [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(t)] if rows else []
+            words = tuple(zip(*words, strict=True)) if words else ((), (), ())
+            seeds.append([{"k": k, "start": a, "end": z, "inst": re.sub(r"[\s().-]", "", t[a:z].lower()), "pats": contexts(words, a, z)} for k, a, z in rows])
         kind = [pa.list_(pa.struct([("start", pa.int64()), ("k", pa.int32()), ("end", pa.int64())])), pa.list_(pa.struct([("k", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("inst", pa.string()), ("pats", pa.list_(pa.string()))]))]
         return pa.StructArray.from_arrays([pa.array(base, kind[0]), pa.array(seeds, kind[1])], names=["base", "seeds"])
 
