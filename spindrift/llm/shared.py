@@ -2,47 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
+from ..tables import cut, drop, folder
 
+__all__ = ["arrow", "attach", "components", "cut", "drop", "folder", "free"]
 
-def arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow, on workers that have this package."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+#: Parts into which a node's edges are dealt when they meet its least neighbour.
+SALTS = 8
 
 
-def folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (in tests on one machine) one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spindrift-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+def arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow, on workers that have this package. ``run`` gets its columns by place: under their names, dots in them would fail."""
+    ship(df.sparkSession)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write a table to the shared folder and read it again, so that lost executors cost no earlier work."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._spindrift_path = path
-    return out
+def free(taken, name: str) -> str:
+    """name, with underscores behind it until no column of ``taken`` is called so (letter case aside)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete tables that ``cut`` wrote and nothing reads any more."""
-    for df in tables:
-        if path := getattr(df, "_spindrift_path", None):
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) with the m of their u from ``least`` (u, m), a row a node. Each node's edges are dealt to ``SALTS`` tasks by v, so no hub is one task."""
+    each = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    return edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(each, ["u", "_s"]).drop("_s")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -63,9 +52,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         seen = (n, check)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _met(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("u", "v", "m")
+        small = _met(large, least).select("u", "v", "m")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
         new = cut(small.distinct(), "edges")
         drop(e)
@@ -78,11 +67,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def attach(docs: DataFrame, text_col: str, make, kind: str, keep: list[str] | None = None, name: str = "found") -> DataFrame:
     """``keep`` columns of docs (all by default) and a struct ``name`` of type ``kind`` made from each whole text.
 
+    Where docs keep a column of that name, the struct is called ``free(keep, name)``.
+
     ``make()`` runs once a task and returns a function from an Arrow string
     column, in pieces of bounded size, to a struct column. Narrow: no shuffle.
     """
     keep = docs.columns if keep is None else keep
-    cols = [F.col(f"`{c}`") for c in keep] + [F.col(f"`{text_col}`").alias("_text_")]
+    name = free(keep, name)
+    cols = [F.col(f"`{c}`") for c in keep] + [F.col(f"`{text_col}`").alias(free([*keep, name], "_text_"))]
     src = docs.select(*cols)
     schema = docs.select(*cols[:-1], F.lit(None).cast(kind).alias(name)).schema
     names, at = [*keep, name], len(keep)
