@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import ALNUM, LOWER, grams, mix, strings, word_hashes, words
-from .shared import attach
+from .shared import arrow, attach, cut, drop, free
 
 WINDOW = 10
-#: Windows of benchmark text in one broadcast; a larger benchmark is searched in several.
+#: Words of benchmark text in one broadcast; a larger benchmark is searched in several passes.
 BLOCK = 500_000
 KIND = "struct<n_words:bigint,n_hit:bigint,items:array<string>,hits:array<struct<first:int,last:int>>>"
 
@@ -146,22 +146,54 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col="text", item_c
 
     Null and empty texts have no words and no hits; items without words match
     nothing; repeated items count once each; an empty benchmark hits nothing.
-    Patterns are compiled in blocks of at most ``block`` words of benchmark
-    text, each broadcast by itself, so that no broadcast grows with the table.
+    Benchmark text is met in blocks of about ``block`` words. The driver and a
+    task hold one block: with several, the table is searched once a block and
+    written in between.
     """
-    sc, blocks, now, size = docs.sparkSession.sparkContext, [], [], 0
+    spark = docs.sparkSession
+    name, more = free(docs.columns if keep is None else keep, name), free([*docs.columns, name], "_more_")
+    out = written = sent = None
+    for tables, last in _blocks(benchmark, item_col, item_text, window, block):
+        if out is not None:
+            out = cut(out, "searched")
+            drop(*[written] if written is not None else [])
+            written = out
+            sent.unpersist()
+        sent = spark.sparkContext.broadcast(tables)
+
+        def make(sent=sent):
+            return lambda col: scan(col, sent.value)
+
+        if out is None:
+            out = attach(docs, text_col, make, KIND, keep if last else None, name)
+        else:
+            out = _both(attach(out, text_col, make, KIND, None, more), name, more)
+    return out if keep is None else out.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{name}`"))
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, window: int, block: int):
+    """Compiled patterns of about ``block`` words of benchmark text each, one block at a time, and whether it is the last."""
+    now, size = [], 0
     for item, text in benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("string"), item_text).toLocalIterator():
-        now.append((item or "", text))
-        size += len(text.split())
         if size >= block:
-            blocks.append(sc.broadcast(compile_patterns(now, window)))
+            yield compile_patterns(now, window), False
             now, size = [], 0
-    blocks.append(sc.broadcast(compile_patterns(now, window)))
+        now.append((item or "", text))
+        size += len(text.split())
+    yield compile_patterns(now, window), True
+
+
+def _both(docs: DataFrame, name: str, more: str) -> DataFrame:
+    """docs with the two structs merged into the first."""
+    keep = [c for c in docs.columns if c not in (name, more)]
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{name}`"), F.col(f"`{more}`"))
+    n = len(keep)
 
-    def make():
-        return lambda col: _merged([scan(col, b.value) for b in blocks])
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], _merged([b.column(n), b.column(n + 1)])], names=[*keep, name])
 
-    return attach(docs, text_col, make, KIND, keep, name)
+    return arrow(src, run, src.drop(more).schema)
 
 
 def decontaminate_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

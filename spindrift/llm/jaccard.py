@@ -203,8 +203,9 @@ def _traverse(rows: DataFrame, offer: int, once: bool) -> DataFrame:
     return arrow(rows.repartition("route", "i", "j").sortWithinPartitions("route", "i", "j").select("route", "i", "j", "block", "node", "n", "label", "sig", "routes"), run, "a long, b long")
 
 
-def _bloom(ids: DataFrame, bits: int = 24):
-    """A Bloom filter of fixed size over a long column, in two probes."""
+def _bloom(ids: DataFrame, least: int = 20, most: int = 28):
+    """A Bloom filter over a long column, in two probes, of 16 bits an id up to 32 MB (beyond, more pass; none is lost)."""
+    bits = min(most, max(least, (16 * ids.count()).bit_length()))
     h = F.explode(F.array(F.xxhash64("id"), F.xxhash64("id", F.lit(1))))
     at = ids.select(h.alias("h")).select(F.expr(f"h & {(1 << bits) - 1}").alias("p"))
     got = at.groupBy(F.expr("p >> 6").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("v")).toPandas()
@@ -305,7 +306,9 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     chosen = rows.join(best.withColumn("_best", F.lit(True)), "_key", "left").where("_best or _n = 0").select("_key", F.expr("_n > 0 and _rows > 1").alias("_many"))
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key")).join(chosen, "_key")
-    once = row.where("_many").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")
+    # of rows alike in id and text the one of least hash, so that reruns agree (maps have no hash)
+    plain = [F.col(f"_row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    once = row.where("_many").groupBy("_key").agg(F.min_by("_row", F.xxhash64(*plain)).alias("_row")).select("_row.*")
     return row.where("not _many").select("_row.*").unionByName(once)
 
 

@@ -43,7 +43,7 @@ def frame(spark, rows=None):
 
 def clash(df):
     """Extra columns of the names that operators use inside."""
-    for c in ("id", "node", "found", "n", "size", "score", "kept", "_text_"):
+    for c in ("id", "node", "found", "_found_", "_mix", "_more_", "_row", "_key", "_s", "n", "size", "draw", "score", "kept", "_text_", "a.b"):
         df = df.withColumn(c, F.lit("?"))
     return df
 
@@ -172,6 +172,33 @@ def test_vectors(spark):
     assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
 
 
+def test_vector_recall_at_the_threshold(spark):
+    """Recall on planted pairs of cosine 0.95 to 0.99, against their exact cosines; hubs of many links stay whole."""
+    rng = np.random.default_rng(8)
+    n, d = 1500, 64
+    for cosine, least in ((0.951, 0.985), (0.96, 0.995), (0.98, 1.0)):
+        x = rng.standard_normal((n, d))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        o = rng.standard_normal((n, d))
+        o -= (o * x).sum(1, keepdims=True) * x
+        y = cosine * x + np.sqrt(1 - cosine**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+        rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+        got = neardup.vector_report(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        found = got.where("n_links = 1 and vec_id >= %d and component_id = vec_id - %d" % (n, n)).count()
+        assert found >= least * n and got.where("n_links > 1").count() == 0
+    hub = np.ones(d) / np.sqrt(d)
+    rows = [(i, (hub + 0.01 * rng.standard_normal(d)).tolist()) for i in range(3000)]
+    got = neardup.vector_report(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got.where("component_id = 0 and n_links = 2999").count() == 3000
+    assert neardup.vector_report(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_empty_tables(spark):
+    none, lab = frame(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert langid.language_report(none).count() == pieces.count_report(none).count() == 0
+    assert toxicity.toxicity_report(none, lab).count() == lm.loss_report(none, lab).count() == 0
+
+
 def test_decontamination(spark):
     rows = corpus()
     tail = next(r[1] for r in rows if r[0] == 48)
@@ -195,7 +222,14 @@ def test_decontamination(spark):
     same(decontaminate.decontaminate_report(clash(frame(spark)), bench), want)
     small = decontaminate.decontaminate(frame(spark), bench, block=5, keep=["doc_id"]).select("doc_id", "found.n_hit")
     same(small, [(w[0], w[2]) for w in want])
+    # several blocks keep every column and merge runs and items
+    cols = [c for c in clash(frame(spark)).columns]
+    one, many = (decontaminate.decontaminate(clash(frame(spark)), bench, block=b) for b in (10**6, 5))
+    assert one.columns == many.columns == [*cols, "found_"]
+    pick = lambda df: df.select("doc_id", "text", "found_")
+    same(pick(many), [tuple(r) for r in pick(one).collect()])
     assert not decontaminate.decontaminate_report(frame(spark), bench.limit(0)).where("contaminated").count()
+    assert decontaminate.decontaminate_report(frame(spark, []), bench).count() == 0
 
 
 def test_mixing(spark):
@@ -227,6 +261,17 @@ def test_mixing(spark):
     assert mixing.mix_report(frame(spark, [])).count() == 0
 
 
+def test_mixing_draws_apart_without_ids(spark):
+    """A third of the words under null ids and as many under one id: each source's taken words come near its target."""
+    rng = random.Random(14)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, prose(rng, rng.randrange(5, 40)), "en", f"s{i % 4}", 0) for i in range(3000)]
+    got = mixing.rates(frame(spark, rows))
+    by = got.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("copies").alias("most")).collect()
+    assert len(by) == 4 and all(abs(r.taken / r.target - 1) < 0.06 and r.most <= 2 for r in by)
+    again = sorted((r.size, r.copies) for r in mixing.rates(frame(spark, rows).repartition(7)).collect())
+    assert again == sorted((r.size, r.copies) for r in got.collect())
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(2)
     for ids in (rng.integers(0, 9, 5000), np.zeros(1000, int), np.arange(50), np.zeros(0, int), np.tile([1, 2, 3, 4], 700)):
@@ -243,6 +288,17 @@ def test_repair_round_trip():
     assert len(repair.write_shard(np.arange(1), np.tile([1, 2, 3, 4], 7000).astype(np.uint32), np.array([0, 28000]))) < 3000
 
 
+def test_words_of_one_hash_keep_their_ids(monkeypatch):
+    """Where two words share a hash, their texts are still encoded exactly."""
+    enc = repair.Encoder(repair.default_tokenizer())
+    texts = ["the cat sat", "a dog ran", "the dog sat by the cat", "über cats", "the cat"]
+    monkeypatch.setattr(repair, "mix", lambda h: h & np.uint64(1))
+    for _ in range(2):
+        ids, at = enc.encode(pa.array(texts), 2)
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == [*enc.tok.encode(t, add_special_tokens=False).ids, 2]
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
@@ -285,6 +341,38 @@ def test_piece_counts(spark):
     assert len(got) == len(corpus()) and all(r.n_tokens >= r.n_words and not r.n_unknown for r in got)
 
 
+def test_piece_counts_of_texts():
+    """Whole texts against greedy longest match word by word, a very long one included."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocab = set(json.load(f)["model"]["vocab"])
+    auto, known = pieces.loaded(public_tokenizers.path("word_bpe_49k.json"))
+
+    def brute(text):
+        total = unknown = n = 0
+        for w in re.findall(r"\w+|[^\w\s]+", text.lower()):
+            s, k, i = pieces.spell(w), 0, 0
+            n += 1
+            while i < len(s):
+                for j in range(len(s), i, -1):
+                    if s[i:j] in vocab or j == len(s) and s[i:j] + "</w>" in vocab:
+                        break
+                else:
+                    k = 0
+                    break
+                k, i = k + 1, j
+            total, unknown = total + (k or 1), unknown + (not k)
+        return n, total, unknown
+
+    rng = random.Random(15)
+    texts = [prose(rng, 30) + " Naïve, über-cool 日本 x_y!! 3.14", "", "...", " ".join(prose(rng, 5) for _ in range(8000))]
+    for t in texts:
+        assert pieces.count_text(t, auto, known) == brute(t)
+
+
 def test_language(spark):
     rng = random.Random(7)
     sets = {"aa": "kalo mipo tuna riva", "bb": "strumpf grund zwerg knecht", "cc": "ouvre bleau chaise peu"}
@@ -319,6 +407,20 @@ def test_toxicity(spark):
     assert toxicity.toxicity_report(frame(spark, rows), lab.limit(0)).where("score <> 0.5").count() == 0
 
 
+def test_toxicity_fit_against_plain_descent():
+    """The blocked accelerated fit against plain gradient steps on the dense matrix."""
+    rng = np.random.default_rng(3)
+    x = rng.random((60, 25)) < 0.3
+    y, weight, ratio = (rng.random(60) < 0.4).astype(float), rng.random(60) + 0.5, rng.standard_normal(25)
+    at = np.concatenate([[0], np.cumsum(x.sum(1))])
+    w, b = toxicity.fit(at, np.nonzero(x)[1], y, weight, ratio, penalty=1.0, rounds=3000)
+    z, v, c = x * ratio, np.zeros(25), 0.0
+    for _ in range(60_000):
+        g = weight * (1 / (1 + np.exp(-(z @ v + c))) - y)
+        v, c = v - 0.01 * (z.T @ g + v), c - 0.01 * g.sum()
+    assert np.allclose(w, v, atol=1e-4) and abs(b - c) < 1e-4
+
+
 def test_toxicity_sample_holds_unlike_texts(spark, monkeypatch):
     """Neither copies nor labels without a text use up the sample, and a shared passage doesn't make texts copies."""
     rng = random.Random(13)
@@ -381,6 +483,37 @@ def test_personal_data_learns_contexts(spark):
     assert got[50].spans == "phone:18:30" and got[50].n_phone == 0 and got[51].spans == ""
 
 
+def test_personal_data_learns_each_kind(spark):
+    """Planted identifiers that no base pattern takes, of each kind, among decoys: precision and recall of what the method adds."""
+    rng = random.Random(16)
+    luhn = lambda d: next(d + str(k) for k in range(10) if pii.luhn(d + str(k)))
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    known = {"email": lambda: f"write to mailbox {prose(rng, 1)}@{prose(rng, 1)}.org today", "ip": lambda: f"server with address {rng.randrange(256)}.{rng.randrange(256)}.1.2 answered", "card": lambda: f"charged my card {luhn(number(15))} twice", "phone": lambda: f"please call phone +49 30 {number(7)} thanks"}
+    hidden = {"email": (lambda: f"{prose(rng, 1)}@localhost", "write to mailbox {} today"), "ip": (lambda: f"10.{rng.randrange(100, 256)}.{rng.randrange(100, 256)}", "server with address {} answered"), "card": (lambda: next(d for d in iter(lambda: number(16), None) if not pii.luhn(d)), "charged my card {} twice"), "phone": (lambda: f"030 {number(7)}", "please call phone {} thanks")}
+    rows, want = [], {}
+    for k, make in known.items():
+        rows += [(len(rows) + i, f"{prose(rng, 6)} {make()} {prose(rng, 4)}", None, None, 0) for i in range(60)]
+    for k, (make, frame_) in hidden.items():
+        for _ in range(20):
+            one, head = make(), prose(rng, 5) + " "
+            rows.append((len(rows), head + frame_.format(one) + " " + prose(rng, 3), None, None, 0))
+            a = len(head) + frame_.index("{}")
+            want[rows[-1][0]] = f"{k}:{a}:{a + len(one)}"
+    for _ in range(60):  # numbers and words with an @ in other contexts
+        rows.append((len(rows), f"{prose(rng, 4)} item {number(3)} {number(5)} costs {prose(rng, 2)} x@{prose(rng, 1)} {prose(rng, 2)}", None, None, 0))
+    # a far context, and a very long word
+    rows.append((9000, "please call phone" + " ." * 60 + " 030 7654321", None, None, 0))
+    rows.append((9001, "write to mailbox " + "q" * 200 + "@" + "r" * 200 + " today", None, None, 0))
+    got = {r.doc_id: r for r in pii.personal_data_report(frame(spark, rows)).collect()}
+    n = {r[0]: sum((got[r[0]].n_email, got[r[0]].n_ip, got[r[0]].n_card, got[r[0]].n_phone)) for r in rows}
+    assert all(n[i] == 1 for i in range(240)) and not any(n[i] for i in want)
+    added = {i: set(filter(None, got[i].spans.split(","))) for i in got if not n[i]}
+    right = sum(want[i] in added[i] for i in want)
+    assert right >= 0.9 * len(want) and sum(len(s) for s in added.values()) - right <= 0.05 * right + 2
+    assert got[9000].spans.startswith("phone:") and got[9001].spans == "email:17:418"
+    assert pii.personal_data_report(frame(spark, [])).count() == 0
+
+
 def test_loss_difference(spark):
     rng = random.Random(10)
     rows = [(i, " ".join(rng.choice(WORDS[:8] if i % 2 else WORDS[6:]) for _ in range(60)), None, None, 0) for i in range(80)]
@@ -448,6 +581,15 @@ def test_word_kernel():
         assert len(set(names.values())) == len(names)
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
