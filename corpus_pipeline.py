@@ -14,8 +14,9 @@ from spindrift.llm import decontaminate, jaccard, langid, mixing, repair, shared
 
 
 def _without(docs, found, bad):
-    """The rows of docs for which ``bad`` isn't true, without the struct that ``found`` added."""
-    return found.where(~F.coalesce(bad, F.lit(False))).drop("_found_")
+    """The rows of docs without those for which the condition ``bad`` holds of the struct that ``found`` added."""
+    name = shared.free(docs.columns, "_found_")
+    return found.where(~F.coalesce(bad(F.col(f"`{name}`")), F.lit(False))).drop(name)
 
 
 def reject_toxic(spark, docs, sf_dir):
@@ -23,7 +24,7 @@ def reject_toxic(spark, docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.where(~langid.held_out(5, 0)))
     found = toxicity.score(docs, model, name="_found_")
-    return _without(docs, found, F.col("_found_.predicted") == 1)
+    return _without(docs, found, lambda x: x["predicted"] == 1)
 
 
 def one_of_each_group(spark, docs, sf_dir):
@@ -34,7 +35,7 @@ def one_of_each_group(spark, docs, sf_dir):
 def remove_benchmark(spark, docs, sf_dir):
     """Drop documents in which a window of the benchmark occurs."""
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name="_found_")
-    return _without(docs, found, F.col("_found_.n_hit") > 0)
+    return _without(docs, found, lambda x: x["n_hit"] > 0)
 
 
 def mix_sources(spark, docs, sf_dir):
