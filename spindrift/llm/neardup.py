@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import as_long, mix
-from .shared import arrow, components, cut
+from .shared import SALTS, arrow, components, cut, drop
 
 COSINE = 0.95
 #: With w = 1.5, one of 48 tables of 12 values holds a pair at the threshold with probability 0.996 and one of cosine 0.98
@@ -186,10 +186,14 @@ def near_vectors(vectors: DataFrame, id_col="vec_id", vec_col="embedding", least
     got = cut(_links(met.join(full.select("node", "copies", "v"), "node"), least, (tables, k, width, seed)), "links")
     n = got.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
     labels = components(got.where("n = 0").select("a", "b"))
+    drop(full)
     low = labels.join(nodes.select("node", "low"), "node").groupBy("label").agg(F.min("low").alias("least"))
     whole = nodes.select("node", "low", "copies").join(n, "node", "left").join(labels.join(low, "label").select("node", "least"), "node", "left")
     whole = whole.select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "low").alias("component"))
-    return named.select("id", "node").join(whole, "node", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+    # rows of one vector are dealt to several tasks, as it may stand on a third of all
+    whole = whole.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = named.select("id", "node", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_s"))
+    return dealt.join(whole, ["node", "_s"], "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
 def vector_report(vectors: DataFrame) -> DataFrame:
