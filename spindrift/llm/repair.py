@@ -21,6 +21,8 @@ SHARD = 1 << 20
 BATCH = 4096
 LEAST = 24
 GAIN = 0.03
+#: Words whose bytes are compared at once, and bytes of text that are encoded at once.
+SLICE, TEXT = 1 << 14, PIECE >> 2
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIQQ")
 
@@ -124,25 +126,33 @@ class Encoder:
             self.pool[self.fill : self.fill + n.sum()] = [i for x in got for i in x]
             self.fill += int(n.sum())
             long = np.array([len(w) for w in raw], np.int64)
-            self.length, self.spelt = np.insert(self.length, at[new], long), np.insert(self.spelt, at[new], len(self.letters) + np.cumsum(long) - long)
-            self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(raw), np.uint8)])
+            self.length, self.spelt = np.insert(self.length, at[new], long), np.insert(self.spelt, at[new], self.written + np.cumsum(long) - long)
+            while self.written + long.sum() > len(self.letters):
+                self.letters = np.concatenate([self.letters, np.zeros(len(self.letters), np.uint8)])
+            self.letters[self.written : self.written + long.sum()] = np.frombuffer(b"".join(raw), np.uint8)
+            self.written += int(long.sum())
             self.keys, self.size, self.place = np.insert(self.keys, at[new], distinct[new]), np.insert(self.size, at[new], n), np.insert(self.place, at[new], spot)
             at = np.searchsorted(self.keys, distinct)
         return at
 
     def _unlike(self, low: np.ndarray, starts: np.ndarray, n: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """Words (by number) whose bytes aren't those remembered in their slot."""
-        same = self.length[slot] == n
-        starts, n, slot, word = starts[same], n[same], slot[same], np.flatnonzero(same)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        off = low[np.repeat(starts, n) + step] != self.letters[np.repeat(self.spelt[slot], n) + step]
-        return np.concatenate([np.flatnonzero(~same), np.unique(np.repeat(word, n)[off])]) if off.any() else np.flatnonzero(~same)
+        out = [np.flatnonzero(self.length[slot] != n)]
+        for a in range(0, len(n), SLICE):  # some words at a time, so that no array is as long as the text
+            same = a + np.flatnonzero(self.length[slot[a : a + SLICE]] == n[a : a + SLICE])
+            k = n[same]
+            step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            off = low[np.repeat(starts[same], k) + step] != self.letters[np.repeat(self.spelt[slot[same]], k) + step]
+            if off.any():
+                out.append(np.unique(np.repeat(same, k)[off]))
+        return np.concatenate(out)
 
     def _word(self, w: str) -> list[int]:
         return [x.id for x in self.tok.model.tokenize(w if w.isascii() else "".join([_BYTE[b] for b in w.encode()]))]
 
     def forget(self) -> None:
-        self.length, self.spelt, self.letters = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        self.length, self.spelt, self.letters = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint8)
+        self.written = 0
         self.keys, self.size, self.place, self.pool, self.fill = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
 
 
@@ -337,7 +347,7 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="tex
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "payload": pa.array([write_shard(np.array(held), ids, bounds)], pa.binary())})
 
         for b in batches:
-            for p in pieces(b, 1, min(PIECE, 4 * shard)):
+            for p in pieces(b, 1, min(TEXT, 4 * shard)):
                 ids, bounds = enc.encode(p.column(1), end)
                 held += [-1 if i is None else i for i in p.column(0).to_pylist()]
                 got.append(ids)
