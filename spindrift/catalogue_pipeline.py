@@ -203,10 +203,10 @@ def generated_questions(spark, sf_dir):
     return table(spark, sf_dir, "documents").withColumn("raw", raw).select("doc_id", F.explode(training.questions("raw", 2)).alias("question"))
 
 
-@query("select * from (values ('against the key', true), ('claims beyond the context', true), ('leaves out facts', true), ('sure of itself without context', true)) t(\"case\", caught)")
+@query("select * from (values ('against the key', true), ('claims beyond the context', true), ('leaves out facts', true), ('sure of itself without context', true)) t(control, caught)")
 def judge_controls(spark, sf_dir):
     """The offline judge lets no negative control pass."""
-    return answers.probe_judge(spark, answers.overlap_judge).select("case", "caught")
+    return answers.probe_judge(spark, answers.overlap_judge).select(F.col("case").alias("control"), "caught")
 
 
 # --- evaluation
