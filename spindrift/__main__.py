@@ -16,7 +16,7 @@ from . import catalogue
 from .plans import config, pipeline
 from .sources import corpus
 
-SMOKE = ("What rare risk has been linked to this medicine?", "What new safety measures apply to people under 55?", "What is the recommended dose for a headache?")
+SMOKE = ("How should a faulty pump be reported?", "Which medicines do pregnant patients avoid?", "How long does bread need in the oven?")
 
 
 def _get(url: str) -> str:

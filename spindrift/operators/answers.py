@@ -120,10 +120,10 @@ def overlap_judge(prompts_in: list[str]) -> list[str]:
 
 #: Negative controls of a judge: (case, question, key, answer, context, whether it is about faithfulness); each must fail.
 CONTROLS = (
-    ("claims beyond the context", "", "", "Drug A can cause a rash. Most patients recover within two weeks and it also lowers blood pressure.", "A rash is a rare side effect of drug A.", True),
-    ("against the key", "When may drug B be used?", "Only when other medicines are unsuitable.", "It is the first choice for every common infection.", "", False),
-    ("sure of itself without context", "", "", "The usual starting dose is 500 mg once a day with a meal.", "", True),
-    ("leaves out facts", "What are the risks of drug C?", "Birth defects in about 11% of babies, disorders of development in up to 40% of children, and infertility in men.", "Disorders of development in up to 40% of children.", "", False),
+    ("claims beyond the context", "", "", "Inhaler A works less well when cold, and doctors prefer it for small children.", "Inhaler A works less well when cold.", True),
+    ("against the key", "Who may be given vaccine B?", "Adults over sixty without any history of allergy.", "Newborn babies only.", "", False),
+    ("sure of itself without context", "", "", "These tablets must be kept in a refrigerator.", "", True),
+    ("leaves out facts", "What is checked before drug C is started?", "Kidney function, blood pressure and a pregnancy test.", "Blood pressure is measured.", "", False),
 )
 
 
