@@ -21,8 +21,9 @@ SHARD = 1 << 20
 BATCH = 4096
 LEAST = 24
 GAIN = 0.03
-#: Words whose bytes are compared at once, and bytes of text that are encoded at once.
-SLICE, TEXT = 1 << 14, PIECE >> 2
+#: Words whose bytes are compared at once, bytes of text that are encoded at once, and words that a worker remembers (all are forgotten
+#: beyond; it changes no ids).
+SLICE, TEXT, WORDS = 1 << 14, PIECE >> 2, 400_000
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIQQ")
 
@@ -37,7 +38,7 @@ class Encoder:
     tokenizer that does not behave so on a trial text is used on whole texts.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = WORDS):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core

@@ -619,3 +619,18 @@ def test_pipeline(spark, tmp_path):
             assert rows[10][0] in before and rows[10][0] not in ids and len(before) - len(ids) <= 2
         docs = new
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_encoder_forgets_words_without_changing_ids():
+    path = repair.default_tokenizer()
+    letters = [chr(97 + i // 20) + chr(97 + i % 20) for i in range(400)]
+    texts = [f"{x}word {x}är other{i % 7} und Straße {i}" for i, x in enumerate(letters)]
+    few, all_ = repair.Encoder(path, 50), repair.Encoder(path)
+    for a in range(0, 400, 20):
+        col = pa.array(texts[a : a + 20])
+        got, ends = few.encode(col, 2)
+        want, bounds = all_.encode(col, 2)
+        assert got.tolist() == want.tolist() and ends.tolist() == bounds.tolist()
+        for i, t in enumerate(texts[a : a + 20]):
+            assert got[ends[i] : ends[i + 1]].tolist() == [*all_.tok.encode(t, add_special_tokens=False).ids, 2]
+    assert len(few.keys) < len(all_.keys)
