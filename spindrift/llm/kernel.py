@@ -7,6 +7,8 @@ of about ``PIECE`` bytes together, or one longer text.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,13 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
+def release() -> None:
+    """Give the memory that a task has freed back to the system. Workers serve many tasks and would keep it until they end."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):  # glibc only
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every input bit."""
     h = h ^ (h >> np.uint64(32))

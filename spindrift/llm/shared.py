@@ -15,9 +15,18 @@ SALTS = 8
 
 
 def arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow, on workers that have this package. ``run`` gets its columns by place: under their names, dots in them would fail."""
+    """df.mapInArrow, on workers that have this package and free what a task leaves. ``run`` gets its columns by place: under their names, dots in them would fail."""
     ship(df.sparkSession)
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+
+    def tidy(batches):
+        from .kernel import release
+
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(tidy, schema)
 
 
 def free(taken, name: str) -> str:
