@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import read
-from . import decontaminate, jaccard, langid, lm, mixing, neardup, pieces, pii, repair, toxicity
+from . import decontaminate, jaccard, langid, lines, lm, mixing, neardup, pieces, pii, repair, toxicity
 
 
 def table(spark, sf_dir: str, name: str):
@@ -50,11 +50,15 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op13_line_dedup(spark, sf_dir):
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_token_counts, op3_near_vectors, op4_toxicity, op5_repair_tokens, op6_jaccard_join, op7_loss_difference, op8_decontaminate, op9_personal_data, op10_mixing, pipeline)}
-ORACLES = {"op3_near_vectors": neardup.SQL, "op6_jaccard_join": jaccard.SQL, "op8_decontaminate": decontaminate.SQL, "op10_mixing": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_language, op2_token_counts, op3_near_vectors, op4_toxicity, op5_repair_tokens, op6_jaccard_join, op7_loss_difference, op8_decontaminate, op9_personal_data, op10_mixing, op13_line_dedup, pipeline)}
+ORACLES = {"op3_near_vectors": neardup.SQL, "op6_jaccard_join": jaccard.SQL, "op8_decontaminate": decontaminate.SQL, "op10_mixing": mixing.SQL, "op13_line_dedup": lines.SQL}
