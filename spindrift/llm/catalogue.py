@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import read
-from . import codes, decontaminate, jaccard, langid, lines, lm, mixing, neardup, pieces, pii, repair, toxicity
+from . import codes, decontaminate, jaccard, langid, lines, lm, mixing, neardup, pieces, pii, repair, toxicity, trie
 
 
 def table(spark, sf_dir: str, name: str):
@@ -50,6 +50,10 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return trie.trie_report(table(spark, sf_dir, "conversations"))
+
+
 def op12_vector_codes(spark, sf_dir):
     return codes.code_report(table(spark, sf_dir, "embeddings"))
 
@@ -64,5 +68,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_token_counts, op3_near_vectors, op4_toxicity, op5_repair_tokens, op6_jaccard_join, op7_loss_difference, op8_decontaminate, op9_personal_data, op10_mixing, op12_vector_codes, op13_line_dedup, pipeline)}
-ORACLES = {"op3_near_vectors": neardup.SQL, "op6_jaccard_join": jaccard.SQL, "op8_decontaminate": decontaminate.SQL, "op10_mixing": mixing.SQL, "op12_vector_codes": codes.SQL, "op13_line_dedup": lines.SQL}
+QUERIES = {f.__name__: f for f in (op1_language, op2_token_counts, op3_near_vectors, op4_toxicity, op5_repair_tokens, op6_jaccard_join, op7_loss_difference, op8_decontaminate, op9_personal_data, op10_mixing, op11_prefix_trie, op12_vector_codes, op13_line_dedup, pipeline)}
+ORACLES = {"op3_near_vectors": neardup.SQL, "op6_jaccard_join": jaccard.SQL, "op8_decontaminate": decontaminate.SQL, "op10_mixing": mixing.SQL, "op11_prefix_trie": trie.SQL, "op12_vector_codes": codes.SQL, "op13_line_dedup": lines.SQL}
