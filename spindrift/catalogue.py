@@ -125,14 +125,19 @@ def chunk_stats(spark, sf_dir):
 
 
 
-def bm25_sql(source: str = "documents", item: str = "doc_id", asked: str = "benchmark", query: str = "item_id") -> str:
-    """d, tot, df, lo, idf, q, tf, sc, al, bm: every item ranked for every query; ``bm`` has (query, doc_id, score, rank) under the query's own name."""
+def idf_sql(source: str = "documents", item: str = "doc_id") -> str:
+    """d, tot, df, lo, idf: the vocabulary's counts and weights."""
     return f"""d as (select {item} as doc_id, {TOK.format("text")} as w from {source}),
 tot as (select count(*) as n, avg(len(w)) as avgdl from d),
 df as (select term, count(*) as df from (select doc_id, unnest(list_distinct(w)) as term from d) group by term),
 rawidf as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as r from df, tot),
 lo as (select avg(r) * 0.25 as low from rawidf),
-idf as (select term, df, case when r < 0 then low else r end as idf from rawidf, lo),
+idf as (select term, df, case when r < 0 then low else r end as idf from rawidf, lo)"""
+
+
+def bm25_sql(source: str = "documents", item: str = "doc_id", asked: str = "benchmark", query: str = "item_id") -> str:
+    """d, tot, df, lo, idf, q, tf, sc, al, bm: every item ranked for every query; ``bm`` has (query, doc_id, score, rank) under the query's own name."""
+    return f"""{idf_sql(source, item)},
 q as (select {query}, term, count(*) as times from (select {query}, unnest({TOK.format("text")}) as term from {asked}) group by all),
 tf as (select doc_id, len(w) as dl, term, count(*) as tf from (select doc_id, w, unnest(w) as term from d) where term in (select term from q) group by all),
 sc as (select {query}, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) as score from tf join q using (term) join idf using (term), tot group by all),
@@ -140,11 +145,12 @@ al as (select x.{query}, d.doc_id, coalesce(score, 0) as score from (select dist
 bm as (select {query}, doc_id, score, row_number() over (partition by {query} order by score desc, doc_id) as rank from al)"""
 
 
+IDF_SQL = idf_sql()
 BM25 = "with " + bm25_sql()
 BEST = 5
 
 
-@query(BM25 + " select term, df, round(idf, 7) as idf from idf")
+@query("with " + IDF_SQL + " select term, df, round(idf, 7) as idf from idf")
 def bm25_idf(spark, sf_dir):
     return retrieval.Lexical(table(spark, sf_dir, "documents"), "doc_id", "text").idf.withColumn("idf", F.round("idf", 7))
 

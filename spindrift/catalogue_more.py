@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import tables
-from .catalogue import query, table
+from .catalogue import BEST, BM25, IDF_SQL, query, table
+from .operators import postings
 from .functions import text as T
 from .sources import search
 
@@ -41,3 +42,24 @@ def search_source_oldest(spark, sf_dir):
     search.register(spark)
     at = search.store(_results(spark, sf_dir), tables.place(spark, "results"))
     return search.oldest(spark, (F.col("document_type") == "en") & (F.col("published_date") >= "2024-02-01"), 50, path=at).select("document_type", "published_date", "link", "title")
+
+
+# --- a stored index
+
+
+def _stored(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return postings.Postings.build(postings.token_counts(d, "doc_id", "text"), postings.lengths(d, "doc_id", "text"), tables.place(spark, "postings"))
+
+
+@query(BM25 + f" select item_id, doc_id, round(score, 6) as score, rank::int as rank from bm where rank <= {BEST}")
+def bm25_stored(spark, sf_dir):
+    """Every benchmark text against all documents, through an index in a folder: no text is read at search."""
+    hits = _stored(spark, sf_dir).top(table(spark, sf_dir, "benchmark"), "item_id", "text", BEST)
+    return hits.select(F.col("query").alias("item_id"), F.col("item").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("with " + IDF_SQL + " select term, df, round(idf, 7) as idf from idf")
+def stored_terms(spark, sf_dir):
+    """The index's vocabulary."""
+    return _stored(spark, sf_dir).idf.withColumn("idf", F.round("idf", 7)).withColumn("df", F.col("df").cast("long"))
