@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import tables
-from .catalogue import BEST, BM25, IDF_SQL, query, table
+from .catalogue import BEST, BM25, IDF_SQL, idf_sql, query, table
 from .operators import postings
 from .functions import text as T
 from .sources import search
+from .streaming import increment
 
 # --- the search source
 
@@ -63,3 +64,17 @@ def bm25_stored(spark, sf_dir):
 def stored_terms(spark, sf_dir):
     """The index's vocabulary."""
     return _stored(spark, sf_dir).idf.withColumn("idf", F.round("idf", 7)).withColumn("df", F.col("df").cast("long"))
+
+
+@query("with " + idf_sql("documents where doc_id % 10 <> 7") + " select term, df, round(idf, 7) as idf from idf")
+def incremental_terms(spark, sf_dir):
+    """Documents as a stream of changes in any order: each begins with another text, which is replaced, and a tenth is deleted."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text", "lang")
+    rows = d.select("item", F.lit(1).cast("long").alias("seq"), F.concat_ws(" ", "lang", F.left("text", F.lit(40))).alias("text"), F.lit(False).alias("gone"))
+    rows = rows.unionByName(d.select("item", F.lit(2).cast("long").alias("seq"), "text", F.lit(False).alias("gone")))
+    rows = rows.unionByName(d.where("item % 10 = 7").select("item", F.lit(3).cast("long").alias("seq"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("gone")))
+    feed, inc = tables.place(spark, "feed"), increment.Increment(spark, tables.place(spark, "increment"))
+    rows.repartition(3, F.xxhash64("item", "seq")).write.parquet(feed)
+    stream = spark.readStream.schema(increment.CHANGE).option("maxFilesPerTrigger", 1).parquet(feed)
+    inc.follow(stream, tables.place(spark, "progress")).awaitTermination()
+    return inc.idf().withColumn("idf", F.round("idf", 7))

@@ -15,8 +15,8 @@ HEAVY = 1 << 16
 LEAST = 1000
 
 
-def scan(df: DataFrame, keys: list[str], block: str, order: list[str], sums: dict[str, Column] | None = None, lags: dict[str, Column] | None = None) -> DataFrame:
-    """df with running sums (this row included) and the values of the row before, in each group of ``keys``.
+def scan(df: DataFrame, keys: list[str], block: str, order: list[str], sums: dict[str, Column] | None = None, lags: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
+    """df with running sums, the values of the row before and the last values that weren't null (sums and lasts with this row), in each group of ``keys``.
 
     ``block`` splits a group into consecutive parts of bounded size; ``order``
     tells the rows of a part apart, ascending. A part's sums and its last row go
@@ -26,24 +26,26 @@ def scan(df: DataFrame, keys: list[str], block: str, order: list[str], sums: dic
     none. df is read twice: hand in a written table. Columns of names that begin
     with ``_scan_`` are taken.
     """
-    sums, lags = sums or {}, lags or {}
+    sums, lags, lasts = sums or {}, lags or {}, lasts or {}
     at, part = [F.col(f"`{k}`") for k in keys], F.col(f"`{block}`")
     by = [F.col(f"`{o}`") for o in order]
-    src = df.select("*", *[c.alias(f"_scan_s_{n}") for n, c in sums.items()], F.struct(F.lit(0).alias("_"), *[c.alias(n) for n, c in lags.items()]).alias("_scan_l"))
-    ends = src.groupBy(*at, part).agg(*[F.sum(f"_scan_s_{n}").alias(f"_scan_s_{n}") for n in sums], F.max_by("_scan_l", F.struct(*by)).alias("_scan_l"))
+    src = df.select("*", *[c.alias(f"_scan_s_{n}") for n, c in sums.items()], *[c.alias(f"_scan_k_{n}") for n, c in lasts.items()], F.struct(F.lit(0).alias("_"), *[c.alias(n) for n, c in lags.items()]).alias("_scan_l"))
+    newest = [F.max_by(f"_scan_k_{n}", F.when(F.col(f"_scan_k_{n}").isNotNull(), F.struct(*by))).alias(f"_scan_k_{n}") for n in lasts]
+    ends = src.groupBy(*at, part).agg(*[F.sum(f"_scan_s_{n}").alias(f"_scan_s_{n}") for n in sums], *newest, F.max_by("_scan_l", F.struct(*by)).alias("_scan_l"))
     parts = Window.partitionBy(*at).orderBy(part)
     before = parts.rowsBetween(Window.unboundedPreceding, -1)
-    edge = ends.select(*at, part, *[F.sum(f"_scan_s_{n}").over(before).alias(f"_scan_s_{n}") for n in sums], F.lag("_scan_l").over(parts).alias("_scan_l")).where("_scan_l is not null")
+    edge = ends.select(*at, part, *[F.sum(f"_scan_s_{n}").over(before).alias(f"_scan_s_{n}") for n in sums], *[F.last(f"_scan_k_{n}", ignorenulls=True).over(before).alias(f"_scan_k_{n}") for n in lasts], F.lag("_scan_l").over(parts).alias("_scan_l")).where("_scan_l is not null")
     both = src.withColumn("_scan_real", F.lit(True)).unionByName(edge.withColumn("_scan_real", F.lit(False)), allowMissingColumns=True)
     rows = Window.partitionBy(*at, part).orderBy("_scan_real", *by)
     upto = rows.rowsBetween(Window.unboundedPreceding, 0)
     made = [F.coalesce(F.sum(f"_scan_s_{n}").over(upto), F.lit(0)).alias(n) for n in sums]
+    made += [F.last(f"_scan_k_{n}", ignorenulls=True).over(upto).alias(n) for n in lasts]
     before_it = F.lag("_scan_l").over(rows).alias("_scan_b") if lags else F.lit(None).alias("_scan_b")
     out = both.select(*[F.col(f"`{c}`") for c in df.columns], "_scan_real", *made, before_it).where("_scan_real")
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], *sums, *[F.col(f"_scan_b.`{n}`").alias(n) for n in lags])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *sums, *lasts, *[F.col(f"_scan_b.`{n}`").alias(n) for n in lags])
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lags: dict[str, Column] | None = None, place: str | None = None) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lags: dict[str, Column] | None = None, place: str | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
     """``scan`` over rows in the order of ``order`` (nulls first), for groups of any size; ``place`` names a column for the place in the group, from 0.
 
     Rows are dealt by ranges of keys and order, so a large group lies in several
@@ -53,7 +55,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     cols = [f"`{c}`" for c in (*keys, *order)]
     t = cut(df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_scan_m", F.monotonically_increasing_id()), "ranges")
     src = t.withColumn("_scan_p", F.shiftright("_scan_m", 33))
-    out = scan(src, keys, "_scan_p", ["_scan_m"], (sums or {}) | ({place: F.lit(1)} if place else {}), lags)
+    out = scan(src, keys, "_scan_p", ["_scan_m"], (sums or {}) | ({place: F.lit(1)} if place else {}), lags, lasts)
     out = out.withColumn(place, F.col(f"`{place}`") - 1) if place else out
     return out.drop("_scan_m", "_scan_p")
 
