@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import tables
-from .catalogue import BEST, BM25, IDF_SQL, idf_sql, query, table
-from .operators import postings
+from .catalogue import BEST, BM25, DENSE, GOLD, IDF_SQL, RANKS, _gold, _ranks, idf_sql, query, table
+from .operators import clusters, evaluation, postings, ranks, spans
 from .functions import text as T
 from .sources import search
 from .streaming import increment
@@ -78,3 +78,52 @@ def incremental_terms(spark, sf_dir):
     stream = spark.readStream.schema(increment.CHANGE).option("maxFilesPerTrigger", 1).parquet(feed)
     inc.follow(stream, tables.place(spark, "progress")).awaitTermination()
     return inc.idf().withColumn("idf", F.round("idf", 7))
+
+
+# --- joins in time, percentiles, grouping sets
+
+
+def _events(spark, sf_dir, kind):
+    return table(spark, sf_dir, "events").where(F.col("event_type") == kind)
+
+
+@query("""with v as (select user_id, ts, max(event_id) as event_id from events where event_type = 'view' group by all),
+q as (select event_id, user_id, ts from events where event_type = 'purchase')
+select q.event_id, v.event_id as version, v.ts as since from q asof left join v on q.user_id = v.user_id and q.ts >= v.ts""")
+def asof_version(spark, sf_dir):
+    """A user's purchases cite what the user has viewed last: the version that is current at the purchase, if any."""
+    got = spans.as_of(_events(spark, sf_dir, "purchase").select("event_id", "user_id", "ts"), _events(spark, sf_dir, "view").select("event_id", "user_id", "ts"), ["user_id"], "ts", "ts", "event_id")
+    return got.select("event_id", F.col("found.event_id").alias("version"), F.col("found.ts").alias("since"))
+
+
+@query("""with p as (select event_id, user_id, event_type, floor(epoch(ts))::bigint as s, floor(epoch(ts))::bigint + (value * 60)::int as e from events where value is not null)
+select a.event_id as click, b.event_id as error from p a join p b on a.user_id = b.user_id and a.event_type = 'click' and b.event_type = 'error' and a.s < a.e and b.s < b.e and a.s < b.e and b.s < a.e""")
+def overlapping_periods(spark, sf_dir):
+    """Clicks and errors of a user whose periods (as many minutes as their value says) overlap."""
+    began = F.unix_seconds(F.col("ts").cast("timestamp"))
+    p = lambda kind: _events(spark, sf_dir, kind).where("value is not null").select("event_id", "user_id", began.alias("s"), (began + F.bround(F.col("value") * 60, 0).cast("int")).alias("e"))
+    got = spans.overlaps(p("click"), p("error"), ["user_id"], "s", "e")
+    return got.select(F.col("a.event_id").alias("click"), F.col("b.event_id").alias("error"))
+
+
+@query("select l_returnflag, l_linestatus, count(*) as n, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 4) as p{int(p * 100)}" for p in (0.05, 0.5, 0.99)) + " from lineitem where l_extendedprice is not null group by all")
+def price_percentiles(spark, sf_dir):
+    """Exact percentiles of a few groups that each hold much of the table."""
+    got = ranks.percentiles(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", {"p5": 0.05, "p50": 0.5, "p99": 0.99})
+    return got.select("l_returnflag", "l_linestatus", "n", *[F.round(c, 4).alias(c) for c in ("p5", "p50", "p99")])
+
+
+@query(RANKS + f""", it as (select item_id::varchar as id, r from rr), gg as (select register, type, phrasing, r from it join {GOLD} using (id))
+select register, type, phrasing, grouping(register, type, phrasing)::bigint as level, count(*) as n, {", ".join(f"count(*) filter (where r <= {k}) as recall_at_{k}" for k in (1, 3, 5, 10))}, round(avg(coalesce(1.0::double / r, 0)), 4) as mrr from gg group by cube (register, type, phrasing)""")
+def metrics_by_kind(spark, sf_dir):
+    """recall@k and MRR of BM25 by register, type and phrasing of the gold items, with all their totals."""
+    items = _gold(spark, sf_dir).select(F.col("id").cast("long").alias("query"), "register", "type", "phrasing")
+    return evaluation.grouped_metrics(items.join(_ranks(spark, sf_dir), "query"), "first_relevant_rank", ["register", "type", "phrasing"])
+
+
+@query(DENSE + " select query, item, round(score, 7) as score, rank::int as rank from de where rank <= 10")
+def dense_pruned(spark, sf_dir):
+    """Vectors of ids divisible by 20 against all, through clusters that are skipped where their bound is too low."""
+    e = table(spark, sf_dir, "embeddings")
+    index = clusters.Clusters.build(e, "vec_id", "embedding", tables.place(spark, "clusters"))
+    return index.top(e.where("vec_id % 20 = 0"), "vec_id", "embedding", 10).withColumn("score", F.round("score", 7))

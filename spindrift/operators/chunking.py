@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import cut
+from .ranks import percentiles
+from .scans import by_place, lookup, running
 
 
 def windows(tokens: Column, size: int, overlap: int) -> Column:
@@ -57,22 +60,28 @@ def buffered(sents: Column, reach: int = 1) -> Column:
     return T.let(sents, near)
 
 
+def _neighbours(vectors: DataFrame, group: str, order: str, vec: str) -> DataFrame:
+    """(group, order, _place, _before, gap): each unit vector's cosine distance to the one before it in its group, null for the first."""
+    rows = running(vectors.select(group, order, vec), [group], [order], lags={"_before": F.col(order), "_vec": F.col(vec)}, place="_place")
+    return rows.select(group, order, "_place", "_before", F.when(F.col("_vec").isNotNull(), 1 - T.dot(vec, "_vec")).alias("gap"))
+
+
 def gaps(vectors: DataFrame, group: str, order: str, vec: str) -> DataFrame:
-    """(group, order, gap): cosine distance of each unit vector to the next one of its group; none for the last."""
-    w = Window.partitionBy(group).orderBy(order)
-    return vectors.withColumn("_next", F.lead(vec).over(w)).where("_next is not null").select(group, order, (1 - T.dot(vec, "_next")).alias("gap"))
+    """(group, order, gap): cosine distance of each unit vector to the next one of its group; none for the last. A group may hold most of the table."""
+    return _neighbours(vectors, group, order, vec).where("gap is not null").select(group, F.col("_before").alias(order), "gap")
 
 
 def thresholds(gap_rows: DataFrame, group: str, percent: float = 90.0) -> DataFrame:
-    return gap_rows.groupBy(group).agg(F.percentile("gap", percent / 100).alias("threshold"))
+    """(group, threshold): exact percentiles, no group in one row."""
+    return percentiles(gap_rows, [group], "gap", {"threshold": percent / 100}).select(group, "threshold")
 
 
 def semantic_groups(vectors: DataFrame, group: str, order: str, vec: str, percent: float = 90.0) -> DataFrame:
     """(group, order, part): a new part follows each gap strictly above the group's percentile."""
-    g = gaps(vectors, group, order, vec)
-    cuts = g.join(thresholds(g, group, percent), group).select(F.col(group), F.col(order), (F.col("gap") > F.col("threshold")).cast("int").alias("cut"))
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return vectors.select(group, order).join(cuts, [group, order], "left").select(group, order, F.coalesce(F.sum("cut").over(w), F.lit(0)).alias("part"))
+    near = cut(_neighbours(vectors, group, order, vec), "neighbours")
+    wide = lookup(near, thresholds(near, group, percent), group, "left")
+    wide = cut(wide.select(group, order, "_place", F.coalesce((F.col("gap") > F.col("threshold")).cast("int"), F.lit(0)).alias("_cut")), "wide")
+    return by_place(wide, [group], "_place", {"part": F.col("_cut")}).select(group, order, "part")
 
 
 def capped(chunks: DataFrame, text_col: str, size: int, overlap: int, tokens=T.space_tokens) -> DataFrame:

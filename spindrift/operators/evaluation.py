@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranks import at_ranks
+from .scans import running
 
 #: Share of a passage's tokens that a text must hold.
 OVERLAP = 0.9
@@ -121,26 +123,37 @@ def answer_counts(rows: DataFrame) -> DataFrame:
 def latency(samples: DataFrame, name: str, value: str) -> DataFrame:
     """n, median, nearest-rank p95, least and greatest by name, to two decimals.
 
-    p95 is the value at place round(0.95 (n - 1)), half to even, found by a
-    running count over distinct values, so no group's samples are collected.
+    p95 is the value at place round(0.95 (n - 1)), half to even. Ranks come from
+    running counts over distinct values, dealt by ranges, so no name's samples
+    are collected or pass through one window.
     """
-    by = samples.where(F.col(value).isNotNull()).groupBy(name, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(name).orderBy(value)
-    at = by.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(name)))
-    target = F.bround(F.col("n") * 0.95 - 0.95, 0).cast("long")
-    lo, hi = F.floor((F.col("n") - 1) / 2) + 1, F.ceil((F.col("n") - 1) / 2) + 1
-    pick = lambda k: F.min(F.when(F.col("upto") >= k, F.col(value)))
-    out = at.groupBy(name).agg(F.max("n").alias("n"), ((pick(lo) + pick(hi)) / 2).alias("median_s"), pick(target + 1).alias("p95_s"), F.min(value).alias("min_s"), F.max(value).alias("max_s"))
-    return out.select(name, "n", *[F.round(c, 2).alias(c) for c in ("median_s", "p95_s", "min_s", "max_s")])
+    lo, hi = lambda n: F.floor((n - 1) / 2) + 1, lambda n: F.ceil((n - 1) / 2) + 1
+    p95 = lambda n: F.bround(n * 0.95 - 0.95, 0).cast("long") + 1
+    got = at_ranks(samples, [name], value, {"_lo": lo, "_hi": hi, "p95_s": p95, "min_s": lambda n: F.lit(1), "max_s": lambda n: n})
+    return got.select(name, "n", *[F.round(c, 2).alias(a) for a, c in (("median_s", (F.col("_lo") + F.col("_hi")) / 2), ("p95_s", F.col("p95_s")), ("min_s", F.col("min_s")), ("max_s", F.col("max_s")))])
 
 
 def average_precision(scored: DataFrame, group: str, item: str, score: str, label: str) -> DataFrame:
-    """Mean precision at each positive by group, ranked by score, ties by item."""
-    w = Window.partitionBy(group).orderBy(F.desc(score), item)
-    r = scored.select(group, (F.col(label) == 1).alias("hit"), F.row_number().over(w).alias("rank"), F.sum((F.col(label) == 1).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
+    """Mean precision at each positive by group, ranked by score, ties by item. A group may hold most of the rows."""
+    rows = scored.select(group, F.col(score).isNull().alias("_none"), (-F.col(score)).alias("_low"), F.col(item).alias("_item"), (F.col(label) == 1).alias("hit"))
+    r = running(rows, [group], ["_none", "_low", "_item"], sums={"hits": F.col("hit").cast("int")}, place="_place").withColumn("rank", F.col("_place") + 1)
     return r.groupBy(group).agg(F.coalesce(F.avg(F.when(F.col("hit"), F.col("hits") / F.col("rank"))), F.lit(0.0)).alias("average_precision"), F.count_if("hit").alias("positives"))
 
 
+def grouped_metrics(per_item: DataFrame, rank: str, dims: list[str], ks=(1, 3, 5, 10), totals: bool = True) -> DataFrame:
+    """(dims, level, n, recall_at_k..., mrr) for every combination of dims, and with ``totals`` for every subset of them: grouping sets in one pass.
+
+    ``level`` names the grouping set by its bits, the first of dims highest, 1
+    where a dimension is summed over; it tells such a row from one whose value
+    is null.
+    """
+    r = F.col(rank)
+    g = per_item.cube(*dims) if totals else per_item.groupBy(*dims)
+    level = F.grouping_id() if totals else F.lit(0).cast("long")
+    out = g.agg(level.cast("long").alias("level"), F.count("*").alias("n"), *[F.count_if(r <= k).alias(f"recall_at_{k}") for k in ks], F.round(F.avg(F.coalesce(1.0 / r, F.lit(0.0))), 4).alias("mrr"))
+    return out.select(*dims, "level", "n", *[f"recall_at_{k}" for k in ks], "mrr")
+
+
 def run_diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """(key, before, after, change) of two runs' items whose value differs or that only one has."""
     a, b = before.select(key, F.col(value).alias("before"), F.lit(1).alias("_a")), after.select(key, F.col(value).alias("after"), F.lit(1).alias("_b"))

@@ -26,22 +26,23 @@ class Best:
     def __init__(self, n: int, k: int):
         self.k, self.score, self.item = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
-    def add(self, s: np.ndarray, items: np.ndarray) -> None:
-        """Scores of all queries (rows) for some items (columns)."""
+    def add(self, s: np.ndarray, items: np.ndarray, of: np.ndarray | None = None) -> None:
+        """Scores of all queries, or of those numbered ``of`` (rows), for some items (columns)."""
         if not self.k:
             return
-        last, low = self.score[:, -1:], self.item[:, -1:]
+        of = np.arange(len(self.score)) if of is None else of
+        last, low = self.score[of, -1:], self.item[of, -1:]
         q, d = np.nonzero((s > last) | ((s == last) & (items < low)))
         if not len(q):
             return
         rows = np.unique(q)
         q = np.concatenate([np.repeat(rows, self.k), q])
-        score = np.concatenate([self.score[rows].ravel(), s[q[len(rows) * self.k :], d]])
-        item = np.concatenate([self.item[rows].ravel(), items[d]])
+        score = np.concatenate([self.score[of[rows]].ravel(), s[q[len(rows) * self.k :], d]])
+        item = np.concatenate([self.item[of[rows]].ravel(), items[d]])
         o = np.lexsort((item, -score, q))
         n = np.bincount(q, minlength=len(s))[rows]
         o = o[np.arange(len(o)) - np.repeat(np.cumsum(n) - n, n) < self.k]
-        self.score[rows], self.item[rows] = score[o].reshape(-1, self.k), item[o].reshape(-1, self.k)
+        self.score[of[rows]], self.item[of[rows]] = score[o].reshape(-1, self.k), item[o].reshape(-1, self.k)
 
     def batch(self, ids: np.ndarray) -> pa.RecordBatch:
         ok = np.isfinite(self.score)
