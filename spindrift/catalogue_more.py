@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import tables
-from .catalogue import BEST, BM25, DENSE, GOLD, IDF_SQL, RANKS, _gold, _ranks, idf_sql, query, table
-from .operators import clusters, evaluation, postings, ranks, spans
+from .catalogue import BEST, BM25, DENSE, GOLD, IDF_SQL, RANKS, _bm25, _gold, _ranks, idf_sql, query, table
+from .catalogue_pipeline import _entities
+from .functions import sections
+from .operators import clusters, evaluation, fitting, postings, ranks, spans
 from .functions import text as T
 from .sources import search
 from .streaming import increment
@@ -127,3 +129,33 @@ def dense_pruned(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     index = clusters.Clusters.build(e, "vec_id", "embedding", tables.place(spark, "clusters"))
     return index.top(e.where("vec_id % 20 = 0"), "vec_id", "embedding", 10).withColumn("score", F.round("score", 7))
+
+
+# --- sections and the fitted scorer
+
+_PARTED = "regexp_replace(replace(html, '</p>', '<h2>More</h2>'), '<p>|<b>', '', 'g')"
+_NODES = "list_filter(list_transform(regexp_split_to_array({}, '<!--[^>]*-->|<[^>]*>'), lambda x: " + _entities(r"regexp_replace(x, '^\s+|\s+$', '', 'g')") + "), lambda x: x <> '')"
+
+
+@query(rf"""with a as (select page_id, string_split(regexp_extract({_PARTED}, '(?s)<article>(.*?)</article>', 1), '<h2>') as s from pages where html is not null),
+p as (select page_id, unnest(range(0, len(s))) as i, unnest(s) as x from a),
+t as (select page_id, i, {_NODES.format("x")} as n, array_to_string({_NODES.format("regexp_extract(x, '(?s)<h1>(.*?)</h1>', 1)")}, '') as title from p)
+select page_id, i::int as section, case when i = 0 then title else n[1] end as heading, md5(case when i = 0 then title || chr(10) else '' end || array_to_string(n, chr(10))) as text_md5 from t where len(n) > 0""")
+def page_sections(spark, sf_dir):
+    """Pages with a heading at each paragraph's end, one row a section, by the table function in SQL."""
+    sections.register(spark, "sections")
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.replace("html", F.lit("</p>"), F.lit("<h2>More</h2>")), "<p>|<b>", "").alias("html"))
+    return spark.sql("select p.page_id, s.section, s.heading, md5(s.text) as text_md5 from {p} p, lateral sections(p.html, 'article') s", p=p)
+
+
+@query()
+def fitted_scorer(spark, sf_dir):
+    """A pair scorer fitted over the cluster on each benchmark text's best documents (the first is the answer, the others aren't), written, loaded, and the documents reranked by it."""
+    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    hits = tables.cut(_bm25(spark, sf_dir, 5).join(b.select(F.col("item_id").alias("query"), F.col("text").alias("q")), "query").join(d.select(F.col("doc_id").alias("item"), F.col("text").alias("t")), "item"), "hits")
+    rows = hits.withColumn("label", (F.col("rank") == 1).cast("int"))
+    val = F.pmod(F.crc32(F.col("query").cast("string").cast("binary")), F.lit(5)) == 0
+    best, _ = fitting.fit(rows.where(~val), rows.where(val), "q", "t", steps=20)
+    scorer = fitting.Scorer.load(spark, best.write(spark, tables.place(spark, "scorer")))
+    out = scorer.add(hits.select("query", "item", "rank", "q", "t"), "q", "t")
+    return out.select(F.col("query").alias("item_id"), F.col("item").alias("doc_id"), F.col("rank").alias("base_rank"), F.round("score", 6).alias("score"))
