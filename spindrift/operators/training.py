@@ -90,9 +90,7 @@ def pair_features(rows: DataFrame, question: str, text: str) -> DataFrame:
         return F.when(F.size(part) > 0, F.size(F.array_intersect(part, whole)) / F.size(part)).otherwise(F.lit(0.0))
 
     def two(c):
-        t = T.lexical_tokens(c)
-        n = F.size(t)
-        return F.when(n > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.slice(t, i, 2))))).otherwise(F.array().cast("array<string>"))
+        return T.let(T.lexical_tokens(c), lambda t: F.array_distinct(F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.size(t)), lambda a, b: F.concat_ws(" ", a, b))))
 
     q, t = F.array_distinct(T.lexical_tokens(question)), F.array_distinct(T.lexical_tokens(text))
     union = F.size(F.array_union(q, t))
