@@ -10,13 +10,18 @@ from ..tables import cut, drop, folder
 
 __all__ = ["arrow", "attach", "components", "cut", "drop", "folder", "free"]
 
+#: Bytes of an Arrow batch on its way to Python and back. Spark's own bound is 64 MB, of which JVM and worker hold several copies for each core.
+BATCH = 4 << 20
 #: Parts into which a node's edges are dealt when they meet its least neighbour.
 SALTS = 8
 
 
 def arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow, on workers that have this package and free what a task leaves. ``run`` gets its columns by place: under their names, dots in them would fail."""
-    ship(df.sparkSession)
+    spark, limit = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    ship(spark)
+    if spark.conf.get(limit, "67108864b") in ("67108864b", "67108864", "64m"):  # a user's own bound stands
+        spark.conf.set(limit, f"{BATCH}b")
 
     def tidy(batches):
         from .kernel import release
