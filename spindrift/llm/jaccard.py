@@ -214,8 +214,8 @@ def _bloom(ids: DataFrame, least: int = 20, most: int = 28):
     return ids.sparkSession.sparkContext.broadcast(out), bits
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(node, set) of the documents with these ids, and of few others. Texts aren't shuffled."""
+def _sets(docs: DataFrame, ids: DataFrame, n: int):
+    """(node, set) of the documents with these ids, and of few others, and the broadcast filter, to be destroyed when they are written. Texts aren't shuffled."""
     filt, bits = _bloom(ids)
 
     def run(batches):
@@ -230,14 +230,16 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 s = [s for s in shingle_sets(x.column(0), n) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(v) for v in s], pa.int64()), pa.array([as_long(v) for v in s], pa.list_(pa.int64()))], names=["node", "set"])
 
-    return arrow(docs.select("text", F.xxhash64("id"), F.xxhash64("id", F.lit(1))), run, "node long, set array<bigint>")
+    return arrow(docs.select("text", F.xxhash64("id"), F.xxhash64("id", F.lit(1))), run, "node long, set array<bigint>"), filt
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their whole sets."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = nodes.join(used, "node", "left_semi").select(F.col("low").alias("id"))
-    sets = cut(_sets(docs, ids, n).groupBy("node").agg(F.first("set").alias("set")), "sets")
+    found, filt = _sets(docs, ids, n)
+    sets = cut(found.groupBy("node").agg(F.first("set").alias("set")), "sets")
+    filt.destroy()
     both = pairs.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b")
     ok = F.size(F.array_intersect("p", "q")) * (NUM + DEN) >= NUM * (F.size("p") + F.size("q"))
     out = cut(both.where(ok).select("a", "b"), "links")

@@ -149,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col="text", id_col="doc_id",
 
     got = arrow(kept, held, "y int, at array<int>").toArrow().combine_chunks()
     drop(kept, folded)
+    sent.destroy()
     y, lists = got.column("y").to_numpy().astype(np.float32), got.column("at").combine_chunks()
     at = lists.offsets.to_numpy().astype(np.int64)
     share = np.where(y == 1, size[1] / total * len(y) / have[1], size[0] / total * len(y) / have[0])
