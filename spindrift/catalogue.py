@@ -453,7 +453,7 @@ def _pairs(spark, sf_dir):
     lexical = retrieval.Lexical(docs, "doc_id", "text")
     pos = lexical.top(asked, "item_id", "text", 1).select("query", "item")
     banned = _matches(spark, sf_dir).select(F.col("doc_id").alias("item"))
-    return pos, training.mined(lambda q, k: lexical.top(q, "item_id", "text", k), asked, pos, banned, docs.count(), "item_id")
+    return pos, training.mined(lexical, asked, pos, banned, "item_id", "text")
 
 
 @query(NEG + " select item_id as query, doc_id as item, rank::int as rank from ng")

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from . import tables
 from .catalogue import BEST, BM25, DENSE, GOLD, IDF_SQL, RANKS, _bm25, _gold, _ranks, idf_sql, query, table
-from .catalogue_pipeline import _entities
+from .catalogue_pipeline import BODY_SQL, _entities
 from .functions import sections
+from .functions import text as T
 from .operators import clusters, evaluation, fitting, postings, ranks, spans
 from .functions import text as T
+from .plans import config, pipeline
 from .sources import search
 from .streaming import increment
 
@@ -157,5 +159,28 @@ def fitted_scorer(spark, sf_dir):
     val = F.pmod(F.crc32(F.col("query").cast("string").cast("binary")), F.lit(5)) == 0
     best, _ = fitting.fit(rows.where(~val), rows.where(val), "q", "t", steps=20)
     scorer = fitting.Scorer.load(spark, best.write(spark, tables.place(spark, "scorer")))
-    out = scorer.add(hits.select("query", "item", "rank", "q", "t"), "q", "t")
-    return out.select(F.col("query").alias("item_id"), F.col("item").alias("doc_id"), F.col("rank").alias("base_rank"), F.round("score", 6).alias("score"))
+    return hits.select(F.col("query").alias("item_id"), F.col("item").alias("doc_id"), F.col("rank").alias("base_rank"), F.round(scorer.score("q", "t"), 6).alias("score"))
+
+
+# --- articles from results and pages
+
+_STAMP = "'2024-' || lpad((page_id % 12 + 1)::varchar, 2, '0') || '-01T00:00:00'"
+
+
+@query(f"""with r as (select url, {_STAMP} as stamp, page_id from pages union all select url, {_STAMP} || 'Z', page_id + 1000000 from pages where page_id % 50 = 0),
+m as (select url, split_part(url, '/', -1) as slug, left(stamp, 10) as published_date, 'p' || page_id as title from r where starts_with(url, 'http') and left(stamp, 10) between '2024-03-01' and '2024-10-31'),
+raw as (select split_part(url, '/', -1) as slug, min(html collate "C") as html from pages group by 1),
+b as (select m.*, {BODY_SQL} as t, trim(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) as h1 from m join raw using (slug)),
+x as (select *, array_to_string(t, chr(10)) as body from b)
+select url as source_url, slug, published_date, case when h1 = '' then title else 'page' end as title, md5(body) as body_md5 from x
+where trim(body) <> '' and len(list_filter([{", ".join(f"'{m}'" for m in T.BOILERPLATE)}], lambda k: contains(lower(body), k))) = 0""")
+def articles_of_results(spark, sf_dir):
+    """Articles of pages found by search, some of them twice: each result gives one article at most."""
+    p = table(spark, sf_dir, "pages")
+    stamp = F.concat(F.lit("2024-"), F.lpad((F.col("page_id") % 12 + 1).cast("string"), 2, "0"), F.lit("-01T00:00:00"))
+    results = p.select(F.col("url").alias("link"), stamp.alias("public_timestamp"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("title"))
+    again = p.where("page_id % 50 = 0").select(F.col("url").alias("link"), F.concat(stamp, F.lit("Z")).alias("public_timestamp"), F.concat(F.lit("p"), (F.col("page_id") + 1000000).cast("string")).alias("title"))
+    cfg = config.Config(corpus=config.Corpus(link_prefix="http", published_after="2024-03-01", published_before="2024-10-31", max_articles=2**31 - 1))
+    good, _ = pipeline.articles(cfg, results.unionByName(again), p.select(T.last_segment("url").alias("slug"), "html"), strict=False, body=("article",))
+    own = F.when(F.col("title").rlike("^p[0-9]+$"), F.col("title")).otherwise("page")
+    return good.select("source_url", "slug", "published_date", own.alias("title"), F.md5("body_text").alias("body_md5"))

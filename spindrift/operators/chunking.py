@@ -37,13 +37,13 @@ def fixed(docs: DataFrame, id_col: str, text_col: str, size: int = 512, overlap:
     return out.where(F.trim("text") != "")
 
 
-def small_to_big(docs: DataFrame, id_col: str, text_col: str, size: int = 512, child: int = 128, overlap: int = 16, tokens=T.space_tokens) -> tuple[DataFrame, DataFrame]:
+def small_to_big(docs: DataFrame, id_col: str, text_col: str, size: int = 512, child: int = 128, overlap: int = 16, tokens=T.space_tokens, joined=_spaced) -> tuple[DataFrame, DataFrame]:
     """Parents without overlap and the overlapping children inside each."""
     parents = docs.select(F.col(id_col).alias("id"), F.posexplode(windows(tokens(text_col), size, 0)).alias("p", "w"))
     parents = parents.withColumn("parent_id", F.concat(F.col("id").cast("string"), F.lit("::p"), F.col("p").cast("string")))
     children = parents.select("id", "parent_id", F.posexplode(windows(F.col("w"), child, overlap)).alias("c", "v"))
-    children = children.select("id", "parent_id", F.concat("parent_id", F.lit("::c"), F.col("c").cast("string")).alias("chunk_id"), F.array_join("v", " ").alias("text"))
-    return parents.select("id", "parent_id", F.array_join("w", " ").alias("text")), children
+    children = children.select("id", "parent_id", F.concat("parent_id", F.lit("::c"), F.col("c").cast("string")).alias("chunk_id"), joined(F.col("v")).alias("text"))
+    return parents.select("id", "parent_id", joined(F.col("w")).alias("text")), children
 
 
 def sentence_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -84,18 +84,20 @@ def semantic_groups(vectors: DataFrame, group: str, order: str, vec: str, percen
     return by_place(wide, [group], "_place", {"part": F.col("_cut")}).select(group, order, "part")
 
 
-def capped(chunks: DataFrame, text_col: str, size: int, overlap: int, tokens=T.space_tokens) -> DataFrame:
+def capped(chunks: DataFrame, text_col: str, size: int, overlap: int, tokens=T.space_tokens, joined=_spaced) -> DataFrame:
     """Texts of at most ``size`` tokens as they are, longer ones as windows; adds ``piece`` and ``text``."""
-    t = tokens(text_col)
-    parts = F.when(F.size(t) <= size, F.array(F.col(text_col))).otherwise(F.transform(windows(t, size, overlap), lambda w: F.array_join(w, " ")))
-    return chunks.select(*[c for c in chunks.columns if c != text_col], F.posexplode(parts).alias("piece", "text")).where(F.trim("text") != "")
+    keep = [c for c in chunks.columns if c != text_col]
+    rows = chunks.select(*keep, F.col(text_col).alias("_whole"), tokens(text_col).alias("_t"))
+    parts = F.when(F.size("_t") <= size, F.array(F.lit(None).cast("array<string>"))).otherwise(windows(F.col("_t"), size, overlap))
+    rows = rows.select(*keep, "_whole", F.posexplode(parts).alias("piece", "_w"))
+    return rows.select(*keep, "piece", F.when(F.col("_w").isNull(), F.col("_whole")).otherwise(joined(F.coalesce("_w", F.array().cast("array<string>")))).alias("text")).where(F.trim("text") != "")
 
 
-def semantic(sents: DataFrame, group: str, order: str, text_col: str, vec: str, size: int = 512, overlap: int = 50, percent: float = 90.0) -> DataFrame:
+def semantic(sents: DataFrame, group: str, order: str, text_col: str, vec: str, size: int = 512, overlap: int = 50, percent: float = 90.0, tokens=T.space_tokens, joined=_spaced) -> DataFrame:
     """Sentences with vectors to chunks: split at wide gaps, joined by spaces, long ones windowed. Chunks are numbered by (part, piece) within a group."""
     parts = semantic_groups(sents, group, order, vec, percent).join(sents.select(group, order, text_col), [group, order])
-    joined = parts.groupBy(group, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text_col))), lambda x: x[text_col]), " ").alias("_text"))
-    return capped(joined, "_text", size, overlap)
+    whole = parts.groupBy(group, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text_col))), lambda x: x[text_col]), " ").alias("_text"))
+    return capped(whole, "_text", size, overlap, tokens, joined)
 
 
 def merge_small(sections: Column, floor: int, tokens=T.space_tokens) -> Column:
@@ -125,11 +127,11 @@ def section_stats(sectioned: DataFrame, id_col: str, group: str, sections_col: s
     return by, each
 
 
-def header_aware(sectioned: DataFrame, id_col: str, sections_col: str, size: int = 512, overlap: int = 50, floor: int = 0) -> DataFrame:
+def header_aware(sectioned: DataFrame, id_col: str, sections_col: str, size: int = 512, overlap: int = 50, floor: int = 0, tokens=T.space_tokens, joined=_spaced) -> DataFrame:
     """Articles with an array of sections to chunks: small sections merged, long ones windowed, numbered in order."""
     s = F.col(sections_col) if floor <= 0 else merge_small(F.col(sections_col), floor)
     rows = sectioned.select(F.col(id_col).alias("id"), F.posexplode(s).alias("section", "_text"))
-    out = capped(rows, "_text", size, overlap)
+    out = capped(rows, "_text", size, overlap, tokens, joined)
     w = Window.partitionBy("id").orderBy("section", "piece")
     no = F.row_number().over(w) - 1
     return out.select("id", "section", F.concat_ws("::", F.col("id").cast("string"), no.cast("string")).alias("chunk_id"), "text")

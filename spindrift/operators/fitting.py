@@ -7,21 +7,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
 from ..tables import cut, drop
 from .evaluation import average_precision
-from .training import pair_features
+from ..functions.text import let
+from .training import pair_array
 
 MODEL = "weights array<double>, mean array<double>, scale array<double>, step int, precision double"
 
 
 @dataclass
 class Scorer:
-    """A logistic model on ``training.pair_features``; ``weights`` end in the bias."""
+    """A logistic model on ``training.pair_array``; ``weights`` end in the bias."""
 
     weights: np.ndarray
     mean: np.ndarray
@@ -29,11 +29,9 @@ class Scorer:
     step: int = 0
     precision: float = 0.0
 
-    def add(self, rows: DataFrame, question: str, text: str, name: str = "score") -> DataFrame:
-        """rows with the pair's probability."""
-        cols = rows.columns
-        x = pair_features(rows, question, text).withColumn("_features", vector_to_array("features"))
-        return x.select(*[F.col(f"`{c}`") for c in cols], _probability(self, F.col("_features")).alias(name))
+    def score(self, question: str, text: str):
+        """The probability that a text answers a question, for ``retrieval.rerank``; a Column that stays in the JVM."""
+        return let(pair_array(question, text), lambda x: _probability(self, x))
 
     def write(self, spark: SparkSession, path: str) -> str:
         row = [(self.weights.tolist(), self.mean.tolist(), self.scale.tolist(), self.step, self.precision)]
@@ -104,8 +102,7 @@ def fit(train: DataFrame, val: DataFrame, question: str, text: str, label: str =
     ship(spark)
 
     def featured(rows):
-        x = pair_features(rows.where(F.col(label).isNotNull()), question, text)
-        return cut(x.select(vector_to_array("features").alias("x"), F.col(label).cast("double").alias("y")), "features")
+        return cut(rows.where(F.col(label).isNotNull()).select(pair_array(question, text).alias("x"), F.col(label).cast("double").alias("y")), "features")
 
     a, b = featured(train), featured(val)
     d = F.size("x")

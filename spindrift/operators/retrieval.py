@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import cut
 
 #: Decimals of a score that decide a rank; ties go to the lower position.
 DP = 9
@@ -55,10 +56,18 @@ def ranked(scored: DataFrame, query: str, item: str, score: str, k: int, ties=()
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _done(hits: DataFrame, sent) -> DataFrame:
+    """A block's hits, written, its broadcast given up: however many blocks there are, one is held."""
+    out = cut(hits, "hits")
+    sent.destroy()
+    return out
+
+
 def dense(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str, vec: str) -> DataFrame:
     """(query, item, score, rank) of exact inner-product search in double precision.
 
-    The query vectors are broadcast in blocks of bounded size; each task
+    The query vectors are broadcast in blocks of bounded size, one at a time (a
+    block's hits are written before the next is sent); each task
     multiplies its items with a block and keeps its k best for every query, so
     the shuffle holds k rows per query and task. Queries beyond a block start
     another pass. Ids are integers; null and empty vectors are left out.
@@ -83,16 +92,16 @@ def dense(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id:
                     best.add(np.round(m @ x.T, DP), b.column(0).to_numpy())
             yield best.batch(ids)
 
-        return rows.mapInArrow(run, "query long, item long, score double")
+        return rows.mapInArrow(run, "query long, item long, score double"), sent
 
     block: list = []
     for r in q.toLocalIterator():
         block.append(r)
         if len(block) == BLOCK:
-            parts.append(one(block))
+            parts.append(_done(*one(block)))
             block = []
     if block or not parts:
-        parts.append(one(block) if block else rows.selectExpr("item as query", "item", "0d as score").limit(0))
+        parts.append(one(block)[0] if block else rows.selectExpr("item as query", "item", "0d as score").limit(0))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -154,33 +163,62 @@ class Lexical:
         weight = terms.join(self.idf.select("term", "idf"), "term").groupBy("query").agg(F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("w"))).alias("ws"))
         return queries.select(F.col(query_id).cast("long").alias("query")).distinct().join(weight, "query", "left")
 
-    def top(self, queries: DataFrame, query_id: str, text_col: str, k: int) -> DataFrame:
-        """(query, item, score, rank), the k best of every query; ids are integers.
+    def top(self, queries: DataFrame, query_id: str, text_col: str, k: int, among: DataFrame | None = None) -> DataFrame:
+        """(query, item, score, rank), the k best of every query, or with ``among`` (item) the k best of those items; ids are integers.
 
         Every item is ranked: one that shares no term scores 0 and stands before
         those of negative scores, equal scores go by position. Weights of up to
-        ``QUERIES`` queries are broadcast at once, bounded in number; a task
+        ``QUERIES`` queries are broadcast at once, bounded in number, and written
+        off before the next; a task
         turns its items' counts into scores for all of them in one pass over the
         texts and keeps k a query, so the shuffle holds k rows per query and
         task instead of a row for each shared term.
         """
+        src = self.docs.select(F.col("item").cast("long").alias("item"), "tokens")
+        src = src if among is None else src.join(among.select(F.col("item").cast("long").alias("item")).distinct(), "item", "left_semi")
+
+        def fold(ids):
+            best = Best(len(ids), k)
+            return best.add, lambda: best.batch(ids)
+
+        out = self._folded(self.weights(queries, query_id, text_col), src, fold, "query long, item long, score double")
+        return ranked(out, "query", "item", "score", k)
+
+    def places(self, queries: DataFrame, query_id: str, text_col: str, found: DataFrame) -> DataFrame:
+        """(query, item, score, rank) of found (query, item, score), a row a query: its rank among all items. Items before it are counted in the tasks, not ranked."""
+        w = self.weights(queries, query_id, text_col).join(found.select("query", F.col("score").alias("least"), "item"), "query")
+
+        def fold(ids, least, item):
+            n = np.zeros(len(ids), np.int64)
+
+            def add(s, items):
+                n[:] += ((s > least[:, None]) | ((s == least[:, None]) & (items < item[:, None]))).sum(1)
+
+            return add, lambda: pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["query", "n"])
+
+        src = self.docs.select(F.col("item").cast("long").alias("item"), "tokens")
+        out = self._folded(w, src, fold, "query long, n long", ("least", "item"))
+        return found.select("query", "item", "score").join(out.groupBy("query").agg((F.sum("n") + 1).cast("int").alias("rank")), "query")
+
+    def _folded(self, weights: DataFrame, src: DataFrame, fold, schema: str, more: tuple = ()) -> DataFrame:
+        """What ``fold(ids, *more)`` makes of the scores of all items: it gives a function that takes (scores, items) of a piece, and one that ends a task with a batch."""
         from .. import ship
 
         spark = self.docs.sparkSession
         ship(spark)
         avgdl, k1, b = self.size[1], self.k1, self.b
-        src = self.docs.select(F.col("item").cast("long").alias("item"), "tokens")
 
         def one(block):
             names = sorted({w.term for r in block for w in r.ws or ()})
             at = {t: i for i, t in enumerate(names)}
             cells = sorted((at[w.term], j, w.w) for j, r in enumerate(block) for w in r.ws or ())
             term, who, weight = np.array([c[0] for c in cells], np.int64), np.array([c[1] for c in cells], np.int64), np.array([c[2] for c in cells], float)
-            sent = spark.sparkContext.broadcast((np.array([r["query"] for r in block], np.int64), names, np.searchsorted(term, np.arange(len(names) + 1)), who, weight))
+            sent = spark.sparkContext.broadcast((np.array([r["query"] for r in block], np.int64), names, np.searchsorted(term, np.arange(len(names) + 1)), who, weight, [np.array([r[c] for r in block]) for c in more]))
 
             def run(batches):
-                ids, names, ptr, who, weight = sent.value
-                known, best, step = pa.array(names, pa.string()), Best(len(ids), k), max(1, CELLS // max(1, len(ids)))
+                ids, names, ptr, who, weight, rest = sent.value
+                add, end = fold(ids, *rest)
+                known, step = pa.array(names, pa.string()), max(1, CELLS // max(1, len(ids)))
                 for batch in batches:
                     for lo in range(0, batch.num_rows, step):
                         part = batch.slice(lo, step)
@@ -193,24 +231,24 @@ class Lexical:
                         n = ptr[term + 1] - ptr[term]
                         cell = np.repeat(ptr[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                         s = np.bincount(who[cell] * len(size) + np.repeat(doc, n), np.repeat(x, n) * weight[cell], len(ids) * len(size))
-                        best.add(np.round(s, DP).reshape(len(ids), -1), part.column(0).to_numpy())
-                yield best.batch(ids)
+                        add(np.round(s, DP).reshape(len(ids), -1), part.column(0).to_numpy())
+                yield end()
 
-            return src.mapInArrow(run, "query long, item long, score double")
+            return src.mapInArrow(run, schema), sent
 
         parts, block, held = [], [], 0
-        for r in self.weights(queries, query_id, text_col).toLocalIterator():
+        for r in weights.toLocalIterator():
             block.append(r)
             held += len(r.ws or ())
             if len(block) == QUERIES or held >= WEIGHTS:
-                parts.append(one(block))
+                parts.append(_done(*one(block)))
                 block, held = [], 0
         if block or not parts:
-            parts.append(one(block))
+            parts.append(one(block)[0])
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return ranked(out, "query", "item", "score", k)
+        return out
 
 
 def pool_size(k: int, times: int = 10, least: int = 50) -> int:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..tables import numbered
+from ..tables import cut, numbered
 from .evaluation import containment
 
 
@@ -45,20 +45,22 @@ def hard_negatives(hits: DataFrame, positives: DataFrame, banned: DataFrame) ->
     return rest.groupBy("query").agg(F.min_by("item", "rank").alias("item"), F.min("rank").alias("rank"))
 
 
-def mined(top, queries: DataFrame, positives: DataFrame, banned: DataFrame, items: int, query_id: str, first: int = 50) -> DataFrame:
-    """``hard_negatives`` over the ranking of all items: ``top(queries, k)`` gives the k best hits.
+def mined(lexical, queries: DataFrame, positives: DataFrame, banned: DataFrame, query_id: str, text_col: str, first: int = 50) -> DataFrame:
+    """``hard_negatives`` over the ranking of all items by ``retrieval.Lexical``: (query, item, rank).
 
-    Queries whose k best are all banned are ranked again with eight times as
-    many, until each has a negative or all ``items`` are ranked.
+    Queries whose ``first`` best are all banned rank only the items that aren't,
+    and only as many as a query has positives and one; the rank among all items
+    is then counted. So no query asks for more than a bounded number of hits.
     """
-    found, k = None, first
-    while True:
-        got = hard_negatives(top(queries, k), positives, banned).persist()
-        found = got if found is None else found.unionByName(got)
-        queries = queries.join(got.select(F.col("query").alias(query_id)), query_id, "left_anti").persist()
-        if k >= items or not queries.limit(1).count():
-            return found
-        k = min(items, 8 * k)
+    found = cut(hard_negatives(lexical.top(queries, query_id, text_col, first), positives, banned), "negatives")
+    rest = cut(queries.join(found.select(F.col("query").alias(query_id)), query_id, "left_anti").select(query_id, text_col), "rest")
+    if not rest.limit(1).count():
+        return found
+    most = positives.groupBy("query").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    free = lexical.docs.select("item").join(banned.select("item").distinct(), "item", "left_anti")
+    hits = lexical.top(rest, query_id, text_col, most + 1, among=free).join(positives, ["query", "item"], "left_anti")
+    best = cut(hits.groupBy("query").agg(F.min_by(F.struct("item", "score"), "rank").alias("b")).select("query", "b.*"), "best")
+    return found.unionByName(lexical.places(rest, query_id, text_col, best).select("query", "item", "rank"))
 
 
 def pairs(positives: DataFrame, negatives: DataFrame) -> DataFrame:
@@ -82,9 +84,8 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("label").agg(F.count("*").alias("n"))
 
 
-def pair_features(rows: DataFrame, question: str, text: str) -> DataFrame:
-    """Adds ``features`` of a question and a text: Jaccard similarity, share of the question's words held, share of its adjacent pairs held, log length."""
-    from pyspark.ml.functions import array_to_vector
+def pair_array(question: str, text: str):
+    """Features of a question and a text as an array: Jaccard similarity, share of the question's words held, share of its adjacent pairs held, log length."""
 
     def share(part, whole):
         return F.when(F.size(part) > 0, F.size(F.array_intersect(part, whole)) / F.size(part)).otherwise(F.lit(0.0))
@@ -95,7 +96,14 @@ def pair_features(rows: DataFrame, question: str, text: str) -> DataFrame:
     q, t = F.array_distinct(T.lexical_tokens(question)), F.array_distinct(T.lexical_tokens(text))
     union = F.size(F.array_union(q, t))
     jaccard = F.when(union > 0, F.size(F.array_intersect(q, t)) / union).otherwise(F.lit(0.0))
-    return rows.withColumn("features", array_to_vector(F.array(jaccard, share(q, t), share(two(question), two(text)), F.log1p(F.size(t)))))
+    return F.array(jaccard, share(q, t), share(two(question), two(text)), F.log1p(F.size(t)))
+
+
+def pair_features(rows: DataFrame, question: str, text: str) -> DataFrame:
+    """Adds ``features``, the vector of ``pair_array``."""
+    from pyspark.ml.functions import array_to_vector
+
+    return rows.withColumn("features", array_to_vector(pair_array(question, text)))
 
 
 def fit_scorer(train: DataFrame, val: DataFrame, question: str, text: str, label: str = "label", rounds: int = 50, penalty: float = 0.01):

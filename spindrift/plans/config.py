@@ -26,6 +26,8 @@ class Chunk:
     child_overlap_tokens: int = 16
     header_min_section_tokens: int = 0
     semantic_breakpoint_percentile: float = 90.0
+    #: A file of the tokenizers library, whose pieces are counted in place of words.
+    tokenizer: str = ""
 
 
 @dataclass(frozen=True)

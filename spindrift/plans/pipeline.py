@@ -12,35 +12,37 @@ from ..functions import embed
 from ..functions import text as T
 from ..operators import answers, chunking, evaluation, retrieval
 from ..sources import corpus
+from . import models
 from .config import Config
 
 
 def articles(cfg: Config, results: DataFrame, raw: DataFrame, strict: bool = True, body=corpus.BODY) -> tuple[DataFrame, DataFrame]:
     """(articles, rejected) from search results (link, public_timestamp, title) and raw pages (slug, html)."""
     c = cfg.corpus
-    m = corpus.select_links(results, "link", "public_timestamp", c.link_prefix, c.published_after, c.published_before, c.max_articles, c.base_url)
-    m = m.join(results.select(F.concat(F.lit(c.base_url), "link").alias("url"), F.trim("title").alias("title")), "url")
+    m = corpus.select_links(results, "link", "public_timestamp", c.link_prefix, c.published_after, c.published_before, c.max_articles, c.base_url, "title")
     return corpus.clean(m, raw, strict, body)
 
 
-def chunks(cfg: Config, arts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(chunks, parents or None) of articles (slug, source_url, title, summary, body_text[, sections])."""
+def chunks(cfg: Config, arts: DataFrame, embedder=None) -> tuple[DataFrame, DataFrame | None]:
+    """(chunks, parents or None) of articles (slug, source_url, title, summary, body_text[, sections]), counted in the settings' tokens; semantic ones by the settings' embedder unless another is given."""
     c = cfg.chunk
+    to, back = models.tokens(cfg)
+    ways = {"tokens": to} | ({"joined": back} if back else {})
     rows = arts.withColumn("text", T.assembled("title", "summary", "body_text"))
     url = arts.select(F.col("slug").alias("id"), "source_url")
     chunking.strategy(c.strategy)
     if c.strategy == "fixed":
-        return chunking.fixed(rows, "slug", "text", c.size_tokens, c.overlap_tokens).join(url, "id").select("chunk_id", "source_url", "text"), None
+        return chunking.fixed(rows, "slug", "text", c.size_tokens, c.overlap_tokens, **ways).join(url, "id").select("chunk_id", "source_url", "text"), None
     if c.strategy == "small_to_big":
-        big, small = chunking.small_to_big(rows, "slug", "text", c.size_tokens, c.child_size_tokens, c.child_overlap_tokens)
+        big, small = chunking.small_to_big(rows, "slug", "text", c.size_tokens, c.child_size_tokens, c.child_overlap_tokens, **ways)
         return small.join(url, "id").select("chunk_id", "source_url", "text", "parent_id"), big.join(url, "id").select("parent_id", "source_url", "text")
     if c.strategy == "header_aware":
-        out = chunking.header_aware(rows, "slug", "sections", c.size_tokens, c.overlap_tokens, c.header_min_section_tokens)
+        out = chunking.header_aware(rows, "slug", "sections", c.size_tokens, c.overlap_tokens, c.header_min_section_tokens, **ways)
         return out.join(url, "id").select("chunk_id", "source_url", "text"), None
     s = chunking.sentence_rows(rows, "slug", "text")
     near = rows.select(F.col("slug").alias("id"), F.posexplode(chunking.buffered(T.sentences("text"))).alias("i", "buffered"))
-    vec = s.join(near, ["id", "i"]).withColumn("v", embed.hashed("buffered"))
-    out = chunking.semantic(vec, "id", "i", "sentence", "v", c.size_tokens, c.overlap_tokens, c.semantic_breakpoint_percentile)
+    vec = s.join(near, ["id", "i"]).withColumn("v", (embedder or models.embedder(cfg))("buffered"))
+    out = chunking.semantic(vec, "id", "i", "sentence", "v", c.size_tokens, c.overlap_tokens, c.semantic_breakpoint_percentile, **ways)
     out = out.withColumn("chunk_id", F.concat_ws("::", "id", F.col("part").cast("string"), F.col("piece").cast("string")))
     return out.join(url, "id").select("chunk_id", "source_url", "text"), None
 
@@ -84,9 +86,10 @@ def index(chunk_rows: DataFrame, parents: DataFrame | None = None, embedder=embe
     return Index(done, parents)
 
 
-def retrieve(cfg: Config, idx: Index, questions: DataFrame, k: int | None = None, embedder=embed.hashed, scorer=retrieval.overlap_score) -> DataFrame:
-    """Ranked hits (query, rank, score, source_url, text, ...) for questions (query, question)."""
+def retrieve(cfg: Config, idx: Index, questions: DataFrame, k: int | None = None, embedder=None, scorer=None) -> DataFrame:
+    """Ranked hits (query, rank, score, source_url, text, ...) for questions (query, question); embedder and scorer are those of the settings unless others are given."""
     r = cfg.retriever
+    embedder = embedder or models.embedder(cfg)
     k = k or r.top_k
     n = r.rerank_top_n if r.reranker_enabled else k
     # vectors are searched by number; the questions' own ids come back at the end
@@ -114,16 +117,16 @@ def retrieve(cfg: Config, idx: Index, questions: DataFrame, k: int | None = None
         hits = hits.join(rows.select(F.col("position").alias("item"), "chunk_id", "source_url", "text"), "item")
     hits = hits.join(q.select(F.col("no"), F.col("query").alias("_q"), "question"), hits["query"] == F.col("no")).drop("query", "no").withColumnRenamed("_q", "query")
     if r.reranker_enabled:
-        hits = retrieval.rerank(hits, scorer("question", "text"), k)
+        hits = retrieval.rerank(hits, (scorer or models.scorer(cfg))("question", "text"), k)
     return hits.where(F.col("rank") <= k)
 
 
-def answer(cfg: Config, idx: Index, questions: DataFrame, metadata: DataFrame | None = None, model=answers.extractive, **kw) -> DataFrame:
-    """(query, question, answer, sources) for every question."""
-    hits = retrieve(cfg, idx, questions, **kw)
+def answer(cfg: Config, idx: Index, questions: DataFrame, metadata: DataFrame | None = None, model=None, hits: DataFrame | None = None, **kw) -> DataFrame:
+    """(query, question, answer, sources) for every question, from ``hits`` if they are there already."""
+    hits = retrieve(cfg, idx, questions, **kw) if hits is None else hits
     shown = answers.enrich(hits, metadata) if cfg.llm.metadata_enabled and metadata is not None else hits
     p = answers.prompts(questions, answers.context(shown, metadata=cfg.llm.metadata_enabled and metadata is not None))
-    return answers.generate(p, model, ("query", "question")).join(answers.sources(hits), "query", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+    return answers.generate(p, model or models.generator(cfg), ("query", "question")).join(answers.sources(hits), "query", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
 
 
 def evaluate(cfg: Config, idx: Index, gold: DataFrame, k: int = 10, limit: int | None = None, **kw) -> tuple[DataFrame, DataFrame]:
@@ -138,11 +141,12 @@ def evaluate(cfg: Config, idx: Index, gold: DataFrame, k: int = 10, limit: int |
     return evaluation.retrieval_metrics(ranks), ranks
 
 
-def judged(cfg: Config, idx: Index, gold: DataFrame, metadata: DataFrame | None = None, model=answers.extractive, judge=answers.overlap_judge, **kw) -> DataFrame:
+def judged(cfg: Config, idx: Index, gold: DataFrame, metadata: DataFrame | None = None, model=None, judge=None, **kw) -> DataFrame:
     """(id, question, answer, sources, answerable, refused, label, faithful) for every gold item: answers, and their judge's verdicts."""
     q = gold.select(F.col("id").alias("query"), "question")
-    hits = retrieve(cfg, idx, q, **kw)
-    got = answer(cfg, idx, q, metadata, model, **kw).select(F.col("query").alias("id"), "answer", "sources")
+    judge = judge or models.judge(cfg)
+    hits = tables.cut(retrieve(cfg, idx, q, **kw), "hits")
+    got = answer(cfg, idx, q, metadata, model, hits).select(F.col("query").alias("id"), "answer", "sources")
     rows = gold.select("id", "question", "answer_key", "answerable").join(got, "id").join(answers.context(hits).withColumnRenamed("query", "id"), "id", "left")
     rows = rows.withColumn("faith", answers.faithfulness_prompt("answer", "context")).withColumn("right", answers.correctness_prompt("question", "answer_key", "answer"))
     keep = ("id", "question", "answer", "sources", "answerable", "right")

@@ -52,11 +52,11 @@ def _json(url: str) -> dict:
         return json.load(f)
 
 
-def select_links(results: DataFrame, link: str, stamp: str, prefix: str, after: str, before: str, most: int, base: str = "") -> DataFrame:
-    """Search results to manifest rows: links below a path, stamped within [after, before], oldest first, at most ``most``."""
+def select_links(results: DataFrame, link: str, stamp: str, prefix: str, after: str, before: str, most: int, base: str = "", title: str | None = None) -> DataFrame:
+    """Search results to manifest rows: links below a path, stamped within [after, before], oldest first, at most ``most``. A row stays a row, with its own title where the results have one."""
     day = F.left(F.col(stamp), F.lit(10))
     rows = results.where(F.col(link).startswith(prefix) & (day >= after) & (day <= before))
-    return rows.select(F.concat(F.lit(base), link).alias("url"), T.last_segment(link).alias("slug"), day.alias("published_date")).orderBy("published_date", "url").limit(most)
+    return rows.select(F.concat(F.lit(base), link).alias("url"), T.last_segment(link).alias("slug"), *([F.trim(title).alias("title")] if title else []), day.alias("published_date")).orderBy("published_date", "url").limit(most)
 
 
 def to_fetch(manifest: DataFrame, cached: DataFrame, force: bool = False) -> DataFrame:
@@ -205,12 +205,12 @@ def extract(pages: DataFrame, html: str, body=BODY) -> DataFrame:
 
 
 def clean(manifest: DataFrame, raw: DataFrame, strict: bool = True, body=BODY) -> tuple[DataFrame, DataFrame]:
-    """(articles, rejected): manifest joined with raw (slug, html); missing pages, page chrome and empty bodies refused.
+    """(articles, rejected): manifest joined with raw (slug, html); missing pages, page chrome and empty bodies refused. A row of the manifest gives one article at most: of several pages of a slug the least text counts.
 
     ``strict`` makes the articles fail on the first refused page when they are
     read; else such pages are only left to ``rejected``.
     """
-    x = extract(manifest.join(raw, "slug", "left"), "html", body)
+    x = extract(manifest.join(raw.groupBy("slug").agg(F.min("html").alias("html")), "slug", "left"), "html", body)
     why = F.when(F.col("html").isNull(), "no page").when(F.col("article.body").isNull(), "no body container").when(F.trim("article.body") == "", "empty body").when(F.size(T.boilerplate_found("article.body")) > 0, "boilerplate")
     x = x.withColumn("problem", why)
     title = F.coalesce(F.nullif("article.title", F.lit("")), F.col("title"))

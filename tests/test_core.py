@@ -414,3 +414,20 @@ def test_sweep(spark):
 
     t = tables.cut(spark.range(3), "t")
     assert t.count() == 3 and tables.sweep(spark) >= 1 and tables.sweep(spark) == 0
+
+
+def test_places_and_ranks_among_some(spark, monkeypatch):
+    """Ranks of given items by counting, over several blocks of queries, and the best of allowed items."""
+    monkeypatch.setattr(retrieval, "QUERIES", 2)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randrange(6)))) for i in range(80)], "i long, t string").repartition(3)
+    asked = spark.createDataFrame([(q, " ".join(rng.sample(words, 3))) for q in range(7)], "q long, t string")
+    lexical = retrieval.Lexical(docs, "i", "t")
+    whole = lexical.top(asked, "q", "t", 100).collect()
+    pick = spark.createDataFrame([(r.query, r.item, r.score) for r in whole if r["rank"] == 5 * r.query + 1], "query long, item long, score double")
+    assert sorted((r.query, r["rank"]) for r in lexical.places(asked, "q", "t", pick).collect()) == [(q, 5 * q + 1) for q in range(7)]
+    some = lexical.top(asked, "q", "t", 2, among=docs.where("i % 7 = 3").select(F.col("i").alias("item"))).collect()
+    for q in range(7):
+        assert [r.item for r in sorted(some, key=lambda r: r["rank"]) if r.query == q] == [r.item for r in sorted(whole, key=lambda r: r["rank"]) if r.query == q and r.item % 7 == 3][:2]
+    lexical.reset()

@@ -63,7 +63,7 @@ def test_weights_are_those_of_one_process(spark, tmp_path):
     # written, loaded and used
     again = fitting.Scorer.load(spark, best.write(spark, f"file://{tmp_path}/m"))
     assert (again.weights == best.weights).all() and (again.step, again.precision) == (best.step, best.precision)
-    got = again.add(spark.createDataFrame([("w1 w2 w3", "w1 w2 w3"), ("w1 w2 w3", "w9")], "q string, t string"), "q", "t").collect()
+    got = spark.createDataFrame([("w1 w2 w3", "w1 w2 w3"), ("w1 w2 w3", "w9")], "q string, t string").select(again.score("q", "t").alias("score")).collect()
     assert got[0].score > 0.5 > got[1].score
     with pytest.raises(FileNotFoundError, match="train one first"):
         fitting.Scorer.load(spark, f"file://{tmp_path}/none")
