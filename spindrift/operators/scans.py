@@ -66,17 +66,21 @@ def by_place(df: DataFrame, keys: list[str], place: str, sums: dict[str, Column]
     return scan(src, keys, "_scan_p", [place], sums, lags).drop("_scan_p")
 
 
-def lookup(big: DataFrame, small: DataFrame, on: str, how: str = "inner", heavy: int = HEAVY, least: int = LEAST) -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, on: str, how: str = "inner", heavy: int = HEAVY, least: int = LEAST, counts: DataFrame | None = None) -> DataFrame:
     """big joined with small, which has one row a key. A key that holds much of big is not one task.
 
     Keys with more than ``least`` rows and more than one in ``heavy`` rows of big
     number at most ``heavy``: their rows of small are broadcast, a table of a
     proven bound. The others are joined by a shuffle, in which no key has many
     rows. ``how`` is inner or left; null keys match nothing. big is read three
-    times: hand in a written table.
+    times: hand in a written table, or ``counts`` (key, n) of its rows, which spare two.
     """
-    total = big.count()
-    many = big.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_scan_n")).where((F.col("_scan_n") > least) & (F.col("_scan_n") * heavy > total)).select(on)
+    if counts is None:
+        counts = big.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("n"))
+        total = big.count()
+    else:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+    many = counts.withColumnRenamed("n", "_scan_n").where((F.col("_scan_n") > least) & (F.col("_scan_n") * heavy > total)).select(on)
     hot = cut(many, "heavy")
     if not hot.limit(1).count():
         drop(hot)
