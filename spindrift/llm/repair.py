@@ -329,12 +329,14 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="tex
     Each row's payload is one shard file. They stand in a Parquet table in the
     shared folder, so Spark's commit protocol makes a lost task's half-written
     files vanish and any store works. Documents are dealt by ranges of the id
-    (ties by a hash of the text, so one id on many rows is dealt over several).
+    (ties by a hash of the text, so one id on many rows is dealt over several, and
+    equal rows by a number of the row, as they may go anywhere among themselves).
     Null texts are empty, null ids come first and are written as -1, empty
     tables write no shard, repeated rows are written as often as they occur.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).withColumn("x", F.xxhash64("t"))
-    src = (src.repartitionByRange(partitions, "i", "x") if partitions else src.repartitionByRange("i", "x")).sortWithinPartitions("i", "x")
+    src = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).withColumn("x", F.xxhash64("t")).withColumn("r", F.monotonically_increasing_id())
+    by = ("i", "x", "r")
+    src = (src.repartitionByRange(partitions, *by) if partitions else src.repartitionByRange(*by)).sortWithinPartitions("i", "x").select("i", "t")
 
     def run(batches):
         from pyspark import TaskContext
