@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scans import lookup
 from .kernel import SPACED, as_long, grams, mix, pieces, strings, word_hashes, words
 from .shared import arrow, attach, components, cut, drop
 
@@ -292,7 +293,7 @@ def jaccard_groups(docs: DataFrame, id_col="doc_id", text_col="text", words_in:
         whole = whole.join(labels.join(least, "label").select("node", "label", "least"), "node", "left").select("node", F.coalesce("least", "low").alias("low"), F.coalesce("label", "node").alias("group"))
     else:
         whole = whole.withColumn("group", F.col("node"))
-    out = sketch.select("id", "text_hash", F.col("n").alias("n_shingles"), "node").join(whole, "node", "left")
+    out = lookup(sketch.select("id", "text_hash", F.col("n").alias("n_shingles"), "node"), whole, "node", "left")
     return out.select("id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("id")).alias("component"), "group")
 
 
@@ -305,9 +306,11 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     g = jaccard_groups(docs, id_col, text_col)
     best = g.where("n_shingles > 0").groupBy("group").agg(F.min_by("text_hash", F.struct("id", "text_hash")).alias("_key")).select("_key")
     rows = g.groupBy(F.col("text_hash").alias("_key")).agg(F.count("*").alias("_rows"), F.max("n_shingles").alias("_n"))
-    chosen = rows.join(best.withColumn("_best", F.lit(True)), "_key", "left").where("_best or _n = 0").select("_key", F.expr("_n > 0 and _rows > 1").alias("_many"))
+    chosen = rows.join(best.withColumn("_best", F.lit(True)), "_key", "left").where("_best or _n = 0").select("_key", F.expr("_n > 0 and _rows > 1").alias("_many"), F.col("_rows").alias("n"))
+    chosen = cut(chosen, "chosen")
     names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key")).join(chosen, "_key")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"))
+    row = lookup(row, chosen.select("_key", "_many"), "_key", counts=chosen.select("_key", "n"))
     # of rows alike in id and text the one of least hash, so that reruns agree (maps have no hash)
     plain = [F.col(f"_row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
     once = row.where("_many").groupBy("_key").agg(F.min_by("_row", F.xxhash64(*plain)).alias("_row")).select("_row.*")
