@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scans import lookup
 from .kernel import ALNUM, LOWER, grams, mix, strings, word_hashes, words
 from .shared import arrow, attach, cut, drop, free
 
@@ -124,21 +125,15 @@ def scan(col: pa.Array, tables: list[Tables]) -> pa.Array:
     )
 
 
-def _merged(parts: list[pa.Array]) -> pa.Array:
-    """Results of several blocks of patterns for the same texts."""
-    if len(parts) == 1:
-        return parts[0]
-    rows = []
-    for each in zip(*(p.to_pylist() for p in parts), strict=True):
-        on = sorted((x["first"], x["last"]) for r in each for x in r["hits"])
-        out: list = []
-        for a, b in on:
-            if out and a <= out[-1]["last"] + 1:
-                out[-1]["last"] = max(out[-1]["last"], b)
-            else:
-                out.append({"first": a, "last": b})
-        rows.append({"n_words": each[0]["n_words"], "n_hit": sum(x["last"] - x["first"] + 1 for x in out), "items": sorted({i for r in each for i in r["items"]}), "hits": out})
-    return pa.array(rows, parts[0].type)
+def _merged(each: list[dict]) -> dict:
+    """A text's results from several blocks of patterns as one."""
+    out: list = []
+    for a, b in sorted((x["first"], x["last"]) for r in each for x in r["hits"]):
+        if out and a <= out[-1]["last"] + 1:
+            out[-1]["last"] = max(out[-1]["last"], b)
+        else:
+            out.append({"first": a, "last": b})
+    return {"n_words": each[0]["n_words"], "n_hit": sum(x["last"] - x["first"] + 1 for x in out), "items": sorted({i for r in each for i in r["items"]}), "hits": out}
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text="text", window: int = WINDOW, block: int = BLOCK, keep=None, name="found") -> DataFrame:
@@ -146,29 +141,52 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col="text", item_c
 
     Null and empty texts have no words and no hits; items without words match
     nothing; repeated items count once each; an empty benchmark hits nothing.
-    Benchmark text is met in blocks of about ``block`` words. The driver and a
-    task hold one block: with several, the table is searched once a block and
-    written in between.
+    Benchmark text is met in blocks of about ``block`` words, of which the
+    driver and a task hold one. One block is one narrow pass. With several, each
+    reads the texts and writes the hits of the texts that have some, under a
+    digest of the text; the last step joins them to the documents, so texts are
+    never written and shuffled once at most.
     """
-    spark = docs.sparkSession
-    name, more = free(docs.columns if keep is None else keep, name), free([*docs.columns, name], "_more_")
-    out = written = sent = None
+    sent, parts = None, []
     for tables, last in _blocks(benchmark, item_col, item_text, window, block):
-        if out is not None:
-            out = cut(out, "searched")
-            drop(*[written] if written is not None else [])
-            written = out
-            sent.unpersist()
-        sent = spark.sparkContext.broadcast(tables)
+        sent = docs.sparkSession.sparkContext.broadcast(tables)
 
         def make(sent=sent):
             return lambda col: scan(col, sent.value)
 
-        if out is None:
-            out = attach(docs, text_col, make, KIND, keep if last else None, name)
-        else:
-            out = _both(attach(out, text_col, make, KIND, None, more), name, more)
-    return out if keep is None else out.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{name}`"))
+        if last and not parts:
+            return attach(docs, text_col, make, KIND, keep, name)
+        digest = docs.select(F.md5(F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").alias("text"))
+        found = attach(digest, "text", make, KIND, ["key"], "found").where("found.n_hit > 0")
+        parts.append(cut(found.groupBy("key").agg(F.first("found").alias("found")), "hits"))
+        sent.destroy()
+    return _joined(docs, parts, text_col, keep, name)
+
+
+def _joined(docs: DataFrame, parts: list[DataFrame], text_col: str, keep, name: str) -> DataFrame:
+    """docs with the hits of several blocks, (key, found) by digest of the text, merged; texts without any have their words counted."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    gathered = every.groupBy("key").agg(F.collect_list("found").alias("all"))
+
+    def run(batches):
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hits", kind)])
+        for b in batches:
+            rows = [_merged(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], names=["key", "found"])
+
+    merged = cut(arrow(gathered, run, f"key string, found {KIND}"), "hits")
+    drop(*parts)
+    keep = docs.columns if keep is None else keep
+    name = free(keep, name)
+    key, words = free([*keep, name], "_key_"), free([*keep, name], "_words_")
+    n = F.coalesce(F.expr(rf"regexp_count(`{text_col}`, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"), F.lit(0)).cast("long")
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.md5(F.col(f"`{text_col}`")).alias(key), n.alias(words))
+    out = lookup(src, merged.toDF(key, name), key, "left")
+    none = F.struct(F.col(words).alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<first:int,last:int>>").alias("hits"))
+    return out.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(name), none).alias(name))
 
 
 def _blocks(benchmark: DataFrame, item_col: str, item_text: str, window: int, block: int):
@@ -183,19 +201,6 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text: str, window: int, bl
     yield compile_patterns(now, window), True
 
 
-def _both(docs: DataFrame, name: str, more: str) -> DataFrame:
-    """docs with the two structs merged into the first."""
-    keep = [c for c in docs.columns if c not in (name, more)]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{name}`"), F.col(f"`{more}`"))
-    n = len(keep)
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], _merged([b.column(n), b.column(n + 1)])], names=[*keep, name])
-
-    return arrow(src, run, src.drop(more).schema)
-
-
 def decontaminate_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sha = F.sha2(F.concat_ws(",", F.array_sort("found.items")), 256)
     return decontaminate(docs, benchmark, keep=["doc_id"]).select("doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"), sha.alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"))

@@ -220,8 +220,9 @@ def test_decontamination(spark):
         want.append((r[0], len(w), len(hit), len(its), hashlib.sha256(",".join(sorted(its)).encode()).hexdigest(), bool(hit)))
     assert sum(w[5] for w in want) > 3
     same(decontaminate.decontaminate_report(clash(frame(spark)), bench), want)
-    small = decontaminate.decontaminate(frame(spark), bench, block=5, keep=["doc_id"]).select("doc_id", "found.n_hit")
-    same(small, [(w[0], w[2]) for w in want])
+    more = [(900, "ÉCOLE Zebra-QUAGGA 7_x no benchmark", "en", "s", 0)]
+    small = decontaminate.decontaminate(frame(spark, [*rows, *more]), bench, block=5, keep=["doc_id"]).select("doc_id", "found.n_words", "found.n_hit")
+    same(small, [*[(w[0], w[1], w[2]) for w in want], (900, len(norm(more[0][1])), 0)])
     # several blocks keep every column and merge runs and items
     cols = [c for c in clash(frame(spark)).columns]
     one, many = (decontaminate.decontaminate(clash(frame(spark)), bench, block=b) for b in (10**6, 5))
