@@ -190,9 +190,16 @@ def demo_cache(spark, sf_dir):
     return back.select("query", "adversarial", F.size("chunks").alias("n_chunks"), F.array_join("sources", " ").alias("sources"), F.element_at("chunks", 1)["text"].alias("first_text"))
 
 
-@query("select metadata, md5(replace(p, '#', chr(10))) as prompt_md5 from (values (false, '" + answers.SYSTEM.replace("'", "''").replace("\n", "#") + "'), (true, '" + (answers.SYSTEM + answers.METADATA_RULES).replace("'", "''").replace("\n", "#") + "')) t(metadata, p)")
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(f"select item_id, item_id % 2 = 0 as metadata, md5(case when item_id % 2 = 0 then {_sql_text(answers.SYSTEM + answers.METADATA_RULES)} else {_sql_text(answers.SYSTEM)} end || chr(10) || chr(10) || coalesce(text, '')) as prompt_md5 from benchmark")
 def system_prompts(spark, sf_dir):
-    return spark.createDataFrame([(m, answers.system_prompt(m)) for m in (False, True)], "metadata boolean, p string").select("metadata", F.md5("p").alias("prompt_md5"))
+    """Every benchmark text below its system prompt, that with the rules on metadata for even ids."""
+    even = F.col("item_id") % 2 == 0
+    p = F.when(even, answers.system_prompt(True)).otherwise(answers.system_prompt(False))
+    return table(spark, sf_dir, "benchmark").select("item_id", even.alias("metadata"), F.md5(F.concat(p, F.lit("\n\n"), F.coalesce("text", F.lit("")))).alias("prompt_md5"))
 
 
 @query(rf"""with l as (select doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, '') || chr(10) || '1. Is it known whether this is one?' || chr(10) || 'Why?' || chr(10) || '2) What of a second one?', '\r\n|[\n\r]'), lambda x: regexp_replace(trim(x), '^[0-9.\-) ]+', '')), lambda x: length(trim(x)) > 12 and trim(x)[-1] = '?') as q from documents)
@@ -203,10 +210,14 @@ def generated_questions(spark, sf_dir):
     return table(spark, sf_dir, "documents").withColumn("raw", raw).select("doc_id", F.explode(training.questions("raw", 2)).alias("question"))
 
 
-@query("select * from (values ('against the key', true), ('claims beyond the context', true), ('leaves out facts', true), ('sure of itself without context', true)) t(control, caught)")
+@query(f"""with t as (select item_id, list_distinct({TOK.format("text")}) as k, list_distinct({TOK.format("reverse(coalesce(text, ''))")}) as r from benchmark),
+s as (select *, list_distinct(list_concat(k, r)) as a from t)
+select 'beyond ' || item_id as control, not (len(a) > 0 and len(list_intersect(a, k)) >= 0.9 * len(a)) as caught from s
+union all select 'against ' || item_id, len(k) = 0 or len(list_intersect(k, r)) / len(k)::double < 0.9 from s""")
 def judge_controls(spark, sf_dir):
-    """The offline judge lets no negative control pass."""
-    return answers.probe_judge(spark, answers.overlap_judge).select(F.col("case").alias("control"), "caught")
+    """Negative controls made of the benchmark's texts, under the offline judge."""
+    rows = answers.controls_of(table(spark, sf_dir, "benchmark").withColumn("text", F.coalesce("text", F.lit(""))), "item_id", "text")
+    return answers.probe_judge(spark, answers.overlap_judge, rows).select(F.col("case").alias("control"), "caught")
 
 
 # --- evaluation

@@ -127,9 +127,17 @@ CONTROLS = (
 )
 
 
-def probe_judge(spark, judge) -> DataFrame:
-    """(case, raw, caught) of the negative controls under a judge (a function from prompts to verdicts): caught where it lets none pass."""
-    rows = spark.createDataFrame([tuple(c) for c in CONTROLS], "case string, question string, key string, answer string, context string, faith boolean")
+def controls_of(passages: DataFrame, key: str, text: str) -> DataFrame:
+    """Two negative controls of each passage: the passage with itself read backwards behind it as an answer from the passage alone, and backwards as an answer to whom the passage is the key."""
+    back = F.reverse(F.col(text))
+    beyond = passages.select(F.concat(F.lit("beyond "), F.col(key).cast("string")).alias("case"), F.lit("").alias("question"), F.lit("").alias("key"), F.concat_ws(" ", text, back).alias("answer"), F.col(text).alias("context"), F.lit(True).alias("faith"))
+    against = passages.select(F.concat(F.lit("against "), F.col(key).cast("string")).alias("case"), F.lit("").alias("question"), F.col(text).alias("key"), back.alias("answer"), F.lit("").alias("context"), F.lit(False).alias("faith"))
+    return beyond.unionByName(against)
+
+
+def probe_judge(spark, judge, controls: DataFrame | None = None) -> DataFrame:
+    """(case, raw, caught) of negative controls (``CONTROLS`` unless others are given) under a judge (a function from prompts to verdicts): caught where it doesn't let one pass."""
+    rows = spark.createDataFrame([tuple(c) for c in CONTROLS], "case string, question string, key string, answer string, context string, faith boolean") if controls is None else controls
     p = F.when(F.col("faith"), faithfulness_prompt("answer", "context")).otherwise(correctness_prompt("question", "key", "answer"))
     got = generate(rows.withColumn("prompt", p), judge, ("case", "faith"), "raw")
     return got.select("case", "raw", F.when(F.col("faith"), ~faithful("raw")).otherwise(correctness("raw") != "correct").alias("caught"))
