@@ -12,7 +12,7 @@ from .functions import text as T
 from .operators import clusters, evaluation, fitting, postings, ranks, spans
 from .functions import text as T
 from .plans import config, pipeline
-from .sources import search
+from .sources import corpus, search
 from .streaming import increment
 
 # --- the search source
@@ -184,3 +184,30 @@ def articles_of_results(spark, sf_dir):
     good, _ = pipeline.articles(cfg, results.unionByName(again), p.select(T.last_segment("url").alias("slug"), "html"), strict=False, body=("article",))
     own = F.when(F.col("title").rlike("^p[0-9]+$"), F.col("title")).otherwise("page")
     return good.select("source_url", "slug", "published_date", own.alias("title"), F.md5("body_text").alias("body_md5"))
+
+
+_ODD = f"case page_id % 4 when 0 then '<article> </article>' when 1 then '<p>bare</p>' when 2 then '<article><p>Some {T.BOILERPLATE[0]} text</p></article>' else html end"
+
+
+@query(f"""with h as (select page_id, {_ODD} as html, page_id % 10 = 9 as lost from pages where html is not null),
+b as (select page_id, lost, contains(html, '<article>') as has, array_to_string({BODY_SQL}, chr(10)) as body from h)
+select page_id::varchar as slug, case when lost then 'no page' when not has then 'no body container' when trim(body) = '' then 'empty body' else 'boilerplate' end as problem from b
+where lost or not has or trim(body) = '' or len(list_filter([{", ".join(f"'{m}'" for m in T.BOILERPLATE)}], lambda k: contains(lower(body), k))) > 0""")
+def rejected_pages(spark, sf_dir):
+    """Pages of which three in four were spoilt and a tenth lost: why each one is refused."""
+    p = table(spark, sf_dir, "pages").where("html is not null").withColumn("slug", F.col("page_id").cast("string"))
+    k = F.col("page_id") % 4
+    odd = F.when(k == 0, "<article> </article>").when(k == 1, "<p>bare</p>").when(k == 2, f"<article><p>Some {T.BOILERPLATE[0]} text</p></article>").otherwise(F.col("html"))
+    raw = p.where("page_id % 10 <> 9").select("slug", odd.alias("html"))
+    m = p.select("url", "slug", F.lit("t").alias("title"), F.lit("2024-01-01").alias("published_date"))
+    return corpus.clean(m, raw, strict=False, body=("article",))[1].select("slug", "problem")
+
+
+@query(r"select page_id, case when page_id % 2 = 0 then 'Lead of ' || page_id else '' end as summary, case when page_id % 3 = 0 then '' else 'Head ' || page_id end as title from pages where html is not null")
+def page_summary(spark, sf_dir):
+    """Pages behind a heading and a lead paragraph of their own, which some lack: what the parser takes as title and summary."""
+    n = F.col("page_id").cast("string")
+    head = F.when(F.col("page_id") % 3 == 0, "<h1></h1>").otherwise(F.concat(F.lit("<h1>Head "), n, F.lit("</h1>")))
+    lead = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<p class="a gem-c-lead-paragraph">Lead of '), n, F.lit('</p><p class="gem-c-lead-paragraph">second</p>'))).otherwise("")
+    p = table(spark, sf_dir, "pages").where("html is not null").withColumn("html", F.concat(head, lead, "html"))
+    return corpus.extract(p, "html", body=("article",)).select("page_id", "article.summary", "article.title")

@@ -19,7 +19,7 @@ class State:
 def respond(state: State, method: str, path: str, body: bytes = b"") -> tuple[int, dict]:
     """(status, JSON) of a request."""
     if (method, path) == ("GET", "/"):
-        return 200, {"service": "spindrift", "disclaimer": DISCLAIMER, "endpoints": {"POST /ask": "ask a question", "GET /health": "liveness"}}
+        return 200, {"service": "spindrift", "disclaimer": DISCLAIMER, "endpoints": {"POST /ask": "one question, answered from the indexed articles", "GET /health": "whether this process answers yet"}}
     if (method, path) == ("GET", "/health"):
         return 200, {"status": "ok", "retriever_ready": state.ask is not None}
     if (method, path) != ("POST", "/ask"):
@@ -31,7 +31,7 @@ def respond(state: State, method: str, path: str, body: bytes = b"") -> tuple[in
     if not isinstance(question, str) or not LEAST <= len(question) <= MOST:
         return 422, {"detail": f"question: a text of {LEAST} to {MOST} characters"}
     if state.ask is None:
-        return 503, {"detail": f"retriever not ready: {state.why}"}
+        return 503, {"detail": f"no index to answer from: {state.why}"}
     got = state.ask(question)
     return 200, {"question": question, "answer": got["answer"], "sources": list(got["sources"]), "disclaimer": DISCLAIMER}
 
