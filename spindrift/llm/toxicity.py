@@ -100,8 +100,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col="text", id_col="doc_id",
 
     Labels must already be limited to what may be learned from. An id with
     several labels takes the greatest, an id on several rows the text of least hash.
-    Classes weigh as in all labels. Without labels of both classes every score
-    is the share of toxic labels.
+    Classes weigh as in all labels. Without labels of both classes, or where
+    no n-gram tells them apart, every score is the share of toxic labels.
     """
     lab = labels.where(F.col(label_id).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
     size = {r.y: r.n for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -132,12 +132,15 @@ def train(docs: DataFrame, labels: DataFrame, text_col="text", id_col="doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(g), y, np.int32))], names=["g", "y"])
 
     have = {r.y: r.n for r in kept.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    plain = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((size[1] + 0.5) / (size[0] + 0.5))))
     if len(have) < 2:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((size[1] + 0.5) / (size[0] + 0.5))))
+        return plain
     count = arrow(kept, grams, "g long, y int").groupBy("g").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
     count = count.where("n > 2").select("g", (F.col("p") + ALPHA).alias("p"), (F.col("n") - F.col("p") + ALPHA).alias("q"))
     count = count.withColumn("r", F.log(F.col("p") / (have[1] + 2 * ALPHA)) - F.log(F.col("q") / (have[0] + 2 * ALPHA))).withColumn("z", F.abs("r") / F.sqrt(1 / F.col("p") + 1 / F.col("q")))
     best = count.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "g").limit(features).select("g", "r").toPandas()
+    if not len(best):
+        return plain
     keys, ratio = best["g"].to_numpy(np.int64).view(np.uint64), best["r"].to_numpy(float)
     blank = Model(keys, ratio, 0.0)
     sent = docs.sparkSession.sparkContext.broadcast(blank)
