@@ -324,7 +324,7 @@ def assembled_text(spark, sf_dir):
 
 def _entities(x: str) -> str:
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
-        x = f"replace({x}, '{name}', '{sign}')"
+        x = f"regexp_replace({x}, '{name}?', '{sign}', 'g')"  # these need no semicolon
     return x
 
 
