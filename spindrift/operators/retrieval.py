@@ -243,8 +243,10 @@ class Lexical:
             if len(block) == QUERIES or held >= WEIGHTS:
                 parts.append(_done(*one(block)))
                 block, held = [], 0
-        if block or not parts:
+        if block:
             parts.append(one(block)[0])
+        if not parts:  # no query, no score
+            return spark.createDataFrame([], schema)
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

@@ -431,3 +431,12 @@ def test_places_and_ranks_among_some(spark, monkeypatch):
     for q in range(7):
         assert [r.item for r in sorted(some, key=lambda r: r["rank"]) if r.query == q] == [r.item for r in sorted(whole, key=lambda r: r["rank"]) if r.query == q and r.item % 7 == 3][:2]
     lexical.reset()
+
+
+def test_no_question_left(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, text string")
+    none = spark.createDataFrame([], "q long, text string")
+    assert retrieval.Lexical(docs, "id", "text").top(none, "q", "text", 3).count() == 0
+    idx = pipeline.index(spark.createDataFrame([("1::0", "u", "a b")], "chunk_id string, source_url string, text string"))
+    asked = spark.createDataFrame([], "query long, question string")
+    assert pipeline.retrieve(config.Config(retriever=config.Retriever(type="hybrid")), idx, asked, 3).count() == 0
