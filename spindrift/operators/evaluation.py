@@ -15,6 +15,8 @@ OVERLAP = 0.9
 # What begins and ends the patients' part of an article.
 PATIENT_HEADING = "to give to patients|advice for patients|patients or parents|patients and caregiver"
 STOP_PART, STOP_START, STOP_SHORT = "advice for healthcare professional", "report ", "yellow card"
+#: What is stripped from its lines: all of Unicode's space separators, as SQL's trim does; F.trim alone strips U+0020.
+SPACES = " \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u202f\u205f\u3000"
 
 
 def containment(passages: DataFrame, texts: DataFrame, passage_id: str, passage: str, text_id: str, text: str, share: float = OVERLAP, entities: bool = False) -> DataFrame:
@@ -186,12 +188,13 @@ def topic_currency(articles: DataFrame, cited: DataFrame, url: str, slug: str, d
 def patient_passage(articles: DataFrame, key: str, body: str, most: int = 400, lines: int = 3) -> DataFrame:
     """(key, passage): up to three non-blank lines after the first patient heading and before advice for professionals, reports or a short yellow-card line."""
     ln = F.split(F.coalesce(F.col(body), F.lit("")), "\n", -1)
-    low = lambda x: F.lower(F.trim(x))
+    bare = lambda x: F.trim(x, F.lit(SPACES))
+    low = lambda x: F.lower(F.replace(bare(x), F.lit("\u0130"), F.lit("i")))  # noqa: E731  (Java lower-cases this I to two code points)
     stop = lambda x: low(x).contains(STOP_PART) | low(x).startswith(STOP_START) | (low(x).contains(STOP_SHORT) & (F.length(x) < 70))
     rows = articles.select(F.col(key), ln.alias("ln"))
     rows = rows.withColumn("from", F.array_position(F.transform("ln", lambda x: low(x).rlike(PATIENT_HEADING)), True).cast("int"))
     rows = rows.withColumn("rest", F.when(F.col("from") > 0, F.slice("ln", F.col("from") + 1, F.greatest(F.size("ln") - F.col("from"), F.lit(0)))).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("to", F.array_position(F.transform("rest", stop), True).cast("int"))
     rows = rows.withColumn("rest", F.when(F.col("to") > 0, F.slice("rest", 1, F.col("to") - 1)).otherwise(F.col("rest")))
-    kept = F.slice(F.filter(F.transform("rest", F.trim), lambda x: x != ""), 1, lines)
+    kept = F.slice(F.filter(F.transform("rest", bare), lambda x: x != ""), 1, lines)
     return rows.select(key, F.left(F.array_join(kept, " "), F.lit(most)).alias("passage"))

@@ -440,3 +440,10 @@ def test_no_question_left(spark):
     idx = pipeline.index(spark.createDataFrame([("1::0", "u", "a b")], "chunk_id string, source_url string, text string"))
     asked = spark.createDataFrame([], "query long, question string")
     assert pipeline.retrieve(config.Config(retriever=config.Retriever(type="hybrid")), idx, asked, 3).count() == 0
+
+
+def test_patient_passage_strips_every_space(spark):
+    body = "\u00a0Advice for patients\n\u2003\n\u00a0one\u3000\ntwo\t\n \u00a0 \nthree\nfour"
+    ends = "advice for PAT\u0130ENTS:\nkept\n\u00a0Report side effects\nlost"
+    rows = spark.createDataFrame([(1, body), (2, ends)], "k int, body string")
+    assert {r.k: r.passage for r in evaluation.patient_passage(rows, "k", "body").collect()} == {1: "one two\t three", 2: "kept"}
