@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .text import lexical_tokens
+from .runs import runs
 
 DIMS = 256
 
 
 def hashed(text, dims: int = DIMS):
-    """A unit vector of ``dims`` doubles; texts without tokens get zeros. Tokens are hashed in the JVM (48 bits of md5, so that any engine can repeat them), Arrow carries the hashes."""
-
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def f(hashes: pd.Series) -> pd.Series:
-        def one(h):
-            h = np.asarray(h, np.int64)
-            v = np.bincount(h % dims, np.where((h // dims) % 2 == 1, -1.0, 1.0), dims)
-            return v / (np.sqrt((v * v).sum()) or 1.0)
-
-        return hashes.map(one)
-
-    return f(F.transform(lexical_tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 12), 16, 10).cast("long")))
+    """A unit vector of ``dims`` doubles; texts without tokens get zeros. A token's hash is 48 bits of its md5, so that any engine can repeat it; a batch's distinct tokens are hashed once."""
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def f(low: pa.Array) -> pa.Array:
+        size, tokens = runs(low)
+        coded = tokens.dictionary_encode()
+        h = np.array([int(md5(t.encode(), usedforsecurity=False).hexdigest()[:12], 16) for t in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+        at = np.repeat(np.arange(len(size)), size) * dims + h % dims
+        v = np.bincount(at, np.where((h // dims) % 2 == 1, -1.0, 1.0), len(size) * dims).reshape(len(size), dims)
+        length = np.sqrt((v * v).sum(1, keepdims=True))
+        v = v / np.where(length > 0, length, 1.0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * np.int32(dims)), pa.array(v.ravel()))
+
+    return f(F.lower(F.col(text) if isinstance(text, str) else text))
 
 
 _models: dict = {}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.runs import runs
 from ..tables import cut
 
 #: Decimals of a score that decide a rank; ties go to the lower position.
@@ -17,8 +18,10 @@ DP = 9
 BLOCK = 4096
 #: Queries, and term weights of queries, that are broadcast at once.
 QUERIES, WEIGHTS = 1 << 15, 1 << 20
-#: Scores that a task holds at once.
-CELLS = 1 << 21
+#: Scores, and products of weights and counts, that a task holds at once.
+CELLS = 1 << 19
+#: Terms that a task counts before it hands them on.
+TERMS = 1 << 19
 
 
 class Best:
@@ -117,6 +120,12 @@ def collapse(children: DataFrame, parents: DataFrame, k: int, pool: int | None =
     return best.join(parents, "parent").select("query", "parent", F.col("item").alias("matched_child"), "score", F.row_number().over(first).alias("rank")).where(F.col("rank") <= k)
 
 
+def _summed(held: list) -> pa.Table:
+    """(term, df, dl) of tables of (term, df): a row a term, dl null."""
+    t = pa.concat_tables([x.select(["term", "df"]) for x in held]).group_by("term").aggregate([("df", "sum")])
+    return pa.table({"term": t["term"], "df": t["df_sum"], "dl": pa.nulls(len(t), pa.int64())})
+
+
 class Lexical:
     """BM25 (k1 1.5, b 0.75; a negative idf becomes a quarter of the mean idf of the vocabulary) over (id, text) rows.
 
@@ -126,16 +135,36 @@ class Lexical:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25):
         self.k1, self.b, self.epsilon = k1, b, epsilon
-        self.docs = docs.select(F.col(id_col).alias("item"), T.lexical_tokens(text_col).alias("tokens"))
+        self.docs = docs.select(F.col(id_col).alias("item"), F.lower(text_col).alias("low"))
         self._counts = None
 
     @property
     def counts(self) -> DataFrame:
         """(term, df, dl): documents of each term; the row of the null term has the number of documents and of their tokens."""
         if self._counts is None:
-            none = F.array(F.lit(None).cast("string"))
-            each = self.docs.select(F.size("tokens").alias("dl"), F.explode(F.concat(F.array_distinct("tokens"), none)).alias("term"))
-            self._counts = each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl")).persist()
+            from .. import ship
+
+            ship(self.docs.sparkSession)
+
+            def run(batches):
+                held, rows, words = [], 0, 0
+                for batch in batches:
+                    size, tokens = runs(batch.column(0))
+                    rows, words = rows + len(size), words + int(size.sum())
+                    coded = tokens.dictionary_encode()
+                    n = max(1, len(coded.dictionary))
+                    each = np.unique(np.repeat(np.arange(len(size)), size) * np.int64(n) + coded.indices.to_numpy()) % n
+                    held.append(pa.table({"term": coded.dictionary, "df": np.bincount(each, minlength=n)[: len(coded.dictionary)]}))
+                    if sum(map(len, held)) > TERMS:
+                        held = [_summed(held)]
+                        if len(held[0]) > TERMS // 2:
+                            yield from held.pop().to_batches()
+                if held:
+                    yield from _summed(held).to_batches()
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([rows]), pa.array([words])], names=["term", "df", "dl"])
+
+            each = self.docs.select("low").mapInArrow(run, "term string, df long, dl long")
+            self._counts = each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).where("df > 0").persist()
         return self._counts
 
     def reset(self) -> None:
@@ -174,7 +203,7 @@ class Lexical:
         texts and keeps k a query, so the shuffle holds k rows per query and
         task instead of a row for each shared term.
         """
-        src = self.docs.select(F.col("item").cast("long").alias("item"), "tokens")
+        src = self.docs.select(F.col("item").cast("long").alias("item"), "low")
         src = src if among is None else src.join(among.select(F.col("item").cast("long").alias("item")).distinct(), "item", "left_semi")
 
         def fold(ids):
@@ -196,7 +225,7 @@ class Lexical:
 
             return add, lambda: pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["query", "n"])
 
-        src = self.docs.select(F.col("item").cast("long").alias("item"), "tokens")
+        src = self.docs.select(F.col("item").cast("long").alias("item"), "low")
         out = self._folded(w, src, fold, "query long, n long", ("least", "item"))
         return found.select("query", "item", "score").join(out.groupBy("query").agg((F.sum("n") + 1).cast("int").alias("rank")), "query")
 
@@ -220,18 +249,22 @@ class Lexical:
                 add, end = fold(ids, *rest)
                 known, step = pa.array(names, pa.string()), max(1, CELLS // max(1, len(ids)))
                 for batch in batches:
-                    for lo in range(0, batch.num_rows, step):
-                        part = batch.slice(lo, step)
-                        size = np.diff(part.column(1).offsets.to_numpy())
-                        term = pc.fill_null(pc.index_in(part.column(1).flatten(), known), -1).to_numpy(zero_copy_only=False)
-                        doc = np.repeat(np.arange(len(size)), size)[term >= 0]
-                        key, tf = np.unique(doc * np.int64(max(1, len(names))) + term[term >= 0], return_counts=True)
-                        doc, term = np.divmod(key, max(1, len(names)))
-                        x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / avgdl))
-                        n = ptr[term + 1] - ptr[term]
-                        cell = np.repeat(ptr[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        s = np.bincount(who[cell] * len(size) + np.repeat(doc, n), np.repeat(x, n) * weight[cell], len(ids) * len(size))
-                        add(np.round(s, DP).reshape(len(ids), -1), part.column(0).to_numpy())
+                    size, tokens = runs(batch.column(1))
+                    term = pc.fill_null(pc.index_in(tokens, known), -1).to_numpy(zero_copy_only=False)
+                    doc = np.repeat(np.arange(len(size)), size)[term >= 0]
+                    key, tf = np.unique(doc * np.int64(max(1, len(names))) + term[term >= 0], return_counts=True)
+                    doc, term = np.divmod(key, max(1, len(names)))
+                    x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / avgdl))
+                    n, items, lo = ptr[term + 1] - ptr[term], batch.column(0).to_numpy(), 0
+                    upto = np.append(0, np.cumsum(np.bincount(doc, n, len(size))))
+                    while lo < len(size):
+                        hi = min(lo + step, len(size), max(lo + 1, int(np.searchsorted(upto, upto[lo] + CELLS, "right")) - 1))
+                        part = slice(*np.searchsorted(doc, (lo, hi)))
+                        t, m = term[part], n[part]
+                        cell = np.repeat(ptr[t] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                        s = np.bincount(who[cell] * (hi - lo) + np.repeat(doc[part] - lo, m), np.repeat(x[part], m) * weight[cell], len(ids) * (hi - lo))
+                        add(np.round(s, DP).reshape(len(ids), hi - lo), items[lo:hi])
+                        lo = hi
                 yield end()
 
             return src.mapInArrow(run, schema), sent
