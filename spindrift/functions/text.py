@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SPACE = r"(?U)[\s\x1c-\x1f]"
-NOT_WORD = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]"
+#: A run of anything but letters, digits and underscores; white space is among it.
+NOT_WORD = r"[^\p{L}\p{N}_]+"
 #: Sentence ends: punctuation before a capital, digit, bracket or quote; any line break.
 SENTENCE = r"""(?<=[.!?])\s+(?=[A-Z0-9("'])|\n+"""
 
@@ -32,7 +33,7 @@ def unescape(c) -> Column:
 def normalize(c, entities: bool = False) -> Column:
     """Lower case, other signs to spaces, spaces collapsed and stripped; null stays null. ``entities`` unescapes HTML first (an Arrow UDF)."""
     x = unescape(c) if entities else _col(c)
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), NOT_WORD, " "), SPACE + "+", " "))
+    return F.trim(F.regexp_replace(F.lower(x), NOT_WORD, " "))
 
 
 def lexical_tokens(c) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import cut
 from .ranks import at_ranks
 from .scans import running
 
@@ -31,7 +32,8 @@ def containment(passages: DataFrame, texts: DataFrame, passage_id: str, passage:
     nothing.
     """
     p = passages.select(F.col(passage_id).alias("pid"), T.normalize(passage, entities).alias("np")).where("np <> ''").withColumn("pt", F.split("np", " "))
-    t = texts.select(F.col(text_id).alias("tid"), T.normalize(text, entities).alias("nt")).where("nt is not null")
+    # normalised once: the texts are read three times
+    t = cut(texts.select(F.col(text_id).alias("tid"), T.normalize(text, entities).alias("nt")).where("nt is not null"), "texts")
     spots = p.select("pid", F.size("pt").alias("n"), F.posexplode("pt").alias("at", "token"))
     seen = t.select("tid", F.explode(F.array_distinct(F.split("nt", " "))).alias("token")).join(spots.select("token").distinct(), "token", "left_semi")
     df = seen.groupBy("token").agg(F.count("*").alias("df"))
@@ -44,8 +46,8 @@ def containment(passages: DataFrame, texts: DataFrame, passage_id: str, passage:
     if short := [r.n for r in p.where(F.size("pt") < 3).select(F.length(F.element_at("pt", 1)).alias("n")).distinct().collect()]:  # lengths of words
         pairs = pairs.unionByName(_short(p, t, sorted(short)))
     whole = F.contains("nt", "np")
-    part = T.let(F.split("nt", " "), lambda w: F.size(F.filter(F.col("pt"), lambda x: F.array_contains(w, x)))) >= share * F.size("pt") - 1e-9
-    checked = pairs.distinct().join(p, "pid").join(t, "tid").where(whole | part).select("pid", "tid")
+    part = T.let(F.array_except("pt", F.split("nt", " ")), lambda lost: F.size(F.filter(F.col("pt"), lambda x: ~F.array_contains(lost, x)))) >= share * F.size("pt") - 1e-9
+    checked = pairs.distinct().join(t, "tid").join(p, "pid").where(whole | part).select("pid", "tid")
     return checked.distinct().select(F.col("pid").alias(passage_id), F.col("tid").alias(text_id))
 
 
