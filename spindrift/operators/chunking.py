@@ -27,23 +27,23 @@ def _spaced(tokens: Column) -> Column:
     return F.array_join(tokens, " ")
 
 
-def fixed(docs: DataFrame, id_col: str, text_col: str, size: int = 512, overlap: int = 50, tokens=T.space_tokens, joined=_spaced) -> DataFrame:
-    """(id, chunk_no, chunk_id, text) of overlapping windows; empty windows are dropped, their numbers stay used.
+def fixed(docs: DataFrame, id_col: str, text_col: str, size: int = 512, overlap: int = 50, tokens=T.space_tokens, joined=_spaced, keep: tuple = ()) -> DataFrame:
+    """(id, keep..., chunk_no, chunk_id, text) of overlapping windows; empty windows are dropped, their numbers stay used.
 
     ``tokens`` and ``joined`` go from text to tokens and back, such as ``text.Subwords``.
     """
-    out = docs.select(F.col(id_col).alias("id"), F.posexplode(windows(tokens(text_col), size, overlap)).alias("chunk_no", "w"))
-    out = out.select("id", "chunk_no", F.concat_ws("::", F.col("id").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"), F.trim(joined(F.col("w"))).alias("text"))
+    out = docs.select(F.col(id_col).alias("id"), *keep, F.posexplode(windows(tokens(text_col), size, overlap)).alias("chunk_no", "w"))
+    out = out.select("id", *keep, "chunk_no", F.concat_ws("::", F.col("id").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"), F.trim(joined(F.col("w"))).alias("text"))
     return out.where(F.trim("text") != "")
 
 
-def small_to_big(docs: DataFrame, id_col: str, text_col: str, size: int = 512, child: int = 128, overlap: int = 16, tokens=T.space_tokens, joined=_spaced) -> tuple[DataFrame, DataFrame]:
+def small_to_big(docs: DataFrame, id_col: str, text_col: str, size: int = 512, child: int = 128, overlap: int = 16, tokens=T.space_tokens, joined=_spaced, keep: tuple = ()) -> tuple[DataFrame, DataFrame]:
     """Parents without overlap and the overlapping children inside each."""
-    parents = docs.select(F.col(id_col).alias("id"), F.posexplode(windows(tokens(text_col), size, 0)).alias("p", "w"))
+    parents = docs.select(F.col(id_col).alias("id"), *keep, F.posexplode(windows(tokens(text_col), size, 0)).alias("p", "w"))
     parents = parents.withColumn("parent_id", F.concat(F.col("id").cast("string"), F.lit("::p"), F.col("p").cast("string")))
-    children = parents.select("id", "parent_id", F.posexplode(windows(F.col("w"), child, overlap)).alias("c", "v"))
-    children = children.select("id", "parent_id", F.concat("parent_id", F.lit("::c"), F.col("c").cast("string")).alias("chunk_id"), joined(F.col("v")).alias("text"))
-    return parents.select("id", "parent_id", joined(F.col("w")).alias("text")), children
+    children = parents.select("id", *keep, "parent_id", F.posexplode(windows(F.col("w"), child, overlap)).alias("c", "v"))
+    children = children.select("id", *keep, "parent_id", F.concat("parent_id", F.lit("::c"), F.col("c").cast("string")).alias("chunk_id"), joined(F.col("v")).alias("text"))
+    return parents.select("id", *keep, "parent_id", joined(F.col("w")).alias("text")), children
 
 
 def sentence_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

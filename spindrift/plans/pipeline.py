@@ -32,10 +32,10 @@ def chunks(cfg: Config, arts: DataFrame, embedder=None) -> tuple[DataFrame, Data
     url = arts.select(F.col("slug").alias("id"), "source_url")
     chunking.strategy(c.strategy)
     if c.strategy == "fixed":
-        return chunking.fixed(rows, "slug", "text", c.size_tokens, c.overlap_tokens, **ways).join(url, "id").select("chunk_id", "source_url", "text"), None
+        return chunking.fixed(rows, "slug", "text", c.size_tokens, c.overlap_tokens, **ways, keep=("source_url",)).select("chunk_id", "source_url", "text"), None
     if c.strategy == "small_to_big":
-        big, small = chunking.small_to_big(rows, "slug", "text", c.size_tokens, c.child_size_tokens, c.child_overlap_tokens, **ways)
-        return small.join(url, "id").select("chunk_id", "source_url", "text", "parent_id"), big.join(url, "id").select("parent_id", "source_url", "text")
+        big, small = chunking.small_to_big(rows, "slug", "text", c.size_tokens, c.child_size_tokens, c.child_overlap_tokens, **ways, keep=("source_url",))
+        return small.select("chunk_id", "source_url", "text", "parent_id"), big.select("parent_id", "source_url", "text")
     if c.strategy == "header_aware":
         out = chunking.header_aware(rows, "slug", "sections", c.size_tokens, c.overlap_tokens, c.header_min_section_tokens, **ways)
         return out.join(url, "id").select("chunk_id", "source_url", "text"), None
@@ -109,8 +109,11 @@ def retrieve(cfg: Config, idx: Index, questions: DataFrame, k: int | None = None
         pool = retrieval.pool_size(n, 6)
         d = retrieval.dense(as_query, rows, pool, "position", "position", "embedding")
         d = d.join(rows.select(F.col("position").alias("item"), F.col("parent_id").alias("parent")), "item")
-        best = retrieval.collapse(d, idx.parents.select(F.col("parent_id").alias("parent")), n, pool)
-        hits = best.join(idx.parents.select(F.col("parent_id").alias("parent"), "source_url", "text"), "parent").withColumnRenamed("parent", "chunk_id")
+        d = tables.cut(d, "children")
+        # the parents of hits are looked up once: their table may be cut from all texts anew
+        found = tables.cut(idx.parents.withColumnRenamed("parent_id", "parent").join(d.select("parent").distinct(), "parent", "left_semi").select("parent", "source_url", "text"), "parents")
+        best = retrieval.collapse(d, found.select("parent"), n, pool)
+        hits = best.join(found.select("parent", "source_url", "text"), "parent").withColumnRenamed("parent", "chunk_id")
     else:
         hits = retrieval.dense(as_query, rows, n, "position", "position", "embedding")
     if "text" not in hits.columns:
