@@ -51,6 +51,9 @@ def search_source_oldest(spark, sf_dir):
 
 # --- a stored index
 
+#: Bytes of text in a file of changes.
+FEED = 32 << 20
+
 
 def _stored(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -78,8 +81,11 @@ def incremental_terms(spark, sf_dir):
     rows = rows.unionByName(d.select("item", F.lit(2).cast("long").alias("seq"), "text", F.lit(False).alias("gone")))
     rows = rows.unionByName(d.where("item % 10 = 7").select("item", F.lit(3).cast("long").alias("seq"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("gone")))
     feed, inc = tables.place(spark, "feed"), increment.Increment(spark, tables.place(spark, "increment"))
-    rows.repartition(3, F.xxhash64("item", "seq")).write.parquet(feed)
-    stream = spark.readStream.schema(increment.CHANGE).option("maxFilesPerTrigger", 1).parquet(feed)
+    # three batches, each of as many files as its bytes need
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    each = -(-size // (3 * FEED)) or 1
+    rows.repartition(3 * each, F.xxhash64("item", "seq")).write.parquet(feed)
+    stream = spark.readStream.schema(increment.CHANGE).option("maxFilesPerTrigger", each).parquet(feed)
     inc.follow(stream, tables.place(spark, "progress")).awaitTermination()
     return inc.idf().withColumn("idf", F.round("idf", 7))
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import tables
 from ..functions import text as T
+from ..functions.runs import runs
 from .retrieval import DP, ranked
 
 #: Items of a block.
@@ -23,14 +26,35 @@ STATS = "version string, n long, avgdl double, low double, k1 double, b double,
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item, dl, term, tf) of every term of every text."""
-    t = docs.select(F.col(id_col).cast("long").alias("item"), T.lexical_tokens(text_col).alias("t"))
-    return t.select("item", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("item", "dl", "term").agg(F.count("*").alias("tf"))
+    """(item, dl, term, tf) of every term of every text, counted where the text is: no shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            size, tokens = runs(batch.column(1))
+            coded = tokens.dictionary_encode()
+            n = max(1, len(coded.dictionary))
+            key, tf = np.unique(np.repeat(np.arange(len(size)), size) * np.int64(n) + coded.indices.to_numpy(), return_counts=True)
+            doc, term = np.divmod(key, n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(size[doc]), coded.dictionary.take(pa.array(term)), pa.array(tf)], names=["item", "dl", "term", "tf"])
+
+    return _lowered(docs, id_col, text_col).mapInArrow(run, "item long, dl long, term string, tf long")
 
 
 def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item, dl) of every text, empty ones included."""
-    return docs.select(F.col(id_col).cast("long").alias("item"), F.size(T.lexical_tokens(text_col)).cast("long").alias("dl"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs(batch.column(1))[0])], names=["item", "dl"])
+
+    return _lowered(docs, id_col, text_col).mapInArrow(run, "item long, dl long")
+
+
+def _lowered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    from .. import ship
+
+    ship(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("item"), F.lower(text_col).alias("low"))
 
 
 @dataclass
@@ -61,9 +85,10 @@ class Postings:
         avgdl = (r.dl / r.n if r.n else 0) or 1.0
         gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
         each = counts.select("term", F.floor(F.col("item") / block).alias("block"), F.struct("item", gain.alias("gain")).alias("p"))
-        rows = each.groupBy("term", "block").agg(F.array_sort(F.collect_list("p")).alias("p"))
+        # dealt by ranges before they are gathered, so that postings are shuffled once
+        rows = each.repartitionByRange("term", "block").groupBy("term", "block").agg(F.array_sort(F.collect_list("p")).alias("p"))
         rows = rows.select("term", "block", F.size("p").cast("long").alias("n"), F.array_max("p.gain").alias("best"), F.col("p.item").alias("items"), F.col("p.gain").alias("gains"))
-        rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+        rows.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
         df = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("n").alias("df"))
         df.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         mean = spark.read.parquet(f"{path}/terms").agg(F.avg(_raw(r.n))).first()[0] or 0.0
