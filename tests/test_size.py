@@ -3,6 +3,7 @@
 import re
 
 import pyarrow as pa
+import pytest
 
 from spindrift import catalogue, catalogue_more, tables
 from spindrift.functions.runs import runs
@@ -70,3 +71,22 @@ def _only_in_deleted(spark):
     d = catalogue.table(spark, "/root/testdata/sf0.001", "documents")
     term = lambda x: postings.token_counts(x, "doc_id", "text").select("term").distinct()
     return term(d).subtract(term(d.where("doc_id % 10 <> 7"))).count()
+
+
+def test_every_vector_is_collapsed_to_parents(spark):
+    got = catalogue.dense_parent_collapse(spark, "/root/testdata/sf0.001").groupBy("query").count().collect()
+    ids = catalogue.table(spark, "/root/testdata/sf0.001", "embeddings").select("vec_id").collect()
+    assert sorted((r["query"], r["count"]) for r in got) == sorted((r.vec_id, 5) for r in ids)
+
+
+def test_scores_of_parents_round_as_in_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    first = (1.0, 0.41766665, 0.401952950, 0.38387425, 0.41766675, -0.41007425, 0.25, 0.0)
+    v = spark.createDataFrame([(i, [x, *[0.0] * 63]) for i, x in enumerate(first)], "vec_id long, embedding array<double>")
+    v.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    names = ["query", "parent", "matched_child", "score", "rank"]
+    want = c.sql(catalogue.ORACLES["dense_parent_collapse"]).project(", ".join(names)).fetchall()
+    got = catalogue.dense_parent_collapse(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 16
