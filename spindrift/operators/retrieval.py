@@ -53,6 +53,57 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], ok.shape)[ok]), pa.array(self.item[ok]), pa.array(self.score[ok])], names=["query", "item", "score"])
 
 
+class Held(Best):
+    """Best of unrounded scores: those that may count are held, and put among the k best only when they are as many as these.
+
+    A score may count if it reaches the k-th so far, less what rounding can add.
+    Until there is one, the k-th of the first scores serves.
+    """
+
+    def __init__(self, n: int, k: int):
+        super().__init__(n, k)
+        self.least, self.held, self.n = np.full((n, 1), -np.inf), [], 0
+
+    def _reach(self, kth: np.ndarray) -> None:
+        self.least = np.maximum(self.least, kth - (2 * 10.0**-DP + 1e-15 * np.abs(np.where(np.isinf(kth), 0, kth))))
+
+    def add(self, s: np.ndarray, items: np.ndarray, of: None = None) -> None:
+        """Scores of all queries (rows) for some items (columns)."""
+        if not self.k:
+            return
+        if self.item[0, 0] == np.iinfo(np.int64).max and not self.held and s.shape[1] >= self.k:
+            self._reach(np.partition(np.where(np.isnan(s), -np.inf, s), -self.k, axis=1)[:, -self.k, None])
+        at = np.flatnonzero(s >= self.least)
+        q, d = np.divmod(at, s.shape[1])
+        self.held.append((q, np.round(s.ravel()[at], DP), items[d]))
+        self.n += len(at)
+        if self.n >= self.score.size:
+            self._fold()
+
+    def _fold(self) -> None:
+        if not self.n:
+            return
+        q, score, item = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.n = [], 0
+        rows = np.unique(q)
+        q = np.concatenate([np.repeat(rows, self.k), q])
+        score, item = np.concatenate([self.score[rows].ravel(), score]), np.concatenate([self.item[rows].ravel(), item])
+        o = np.argsort(-score)
+        o = o[np.argsort(q[o].astype(np.min_scalar_type(len(self.score))), kind="stable")]  # short keys are sorted by radix
+        same = (q[o][1:] == q[o][:-1]) & (score[o][1:] == score[o][:-1])
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        run = np.append(0, np.cumsum(~same))
+        o[tied] = o[tied][np.lexsort((item[o[tied]], run[tied]))]
+        n = np.bincount(q, minlength=len(self.score))[rows]
+        o = o[np.arange(len(o)) - np.repeat(np.cumsum(n) - n, n) < self.k]
+        self.score[rows], self.item[rows] = score[o].reshape(-1, self.k), item[o].reshape(-1, self.k)
+        self._reach(self.score[:, -1:])
+
+    def batch(self, ids: np.ndarray) -> pa.RecordBatch:
+        self._fold()
+        return super().batch(ids)
+
+
 def ranked(scored: DataFrame, query: str, item: str, score: str, k: int, ties=()) -> DataFrame:
     """The k best rows of each query with their rank. The window's limit is applied before its shuffle."""
     w = Window.partitionBy(query).orderBy(F.desc(score), *ties, item)
@@ -70,7 +121,7 @@ def dense(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id:
     """(query, item, score, rank) of exact inner-product search in double precision.
 
     The query vectors are broadcast in blocks of bounded size, one at a time (a
-    block's hits are written before the next is sent); each task
+    block's k best are written before the next is sent); each task
     multiplies its items with a block and keeps its k best for every query, so
     the shuffle holds k rows per query and task. Queries beyond a block start
     another pass. Ids are integers; null and empty vectors are left out.
@@ -87,12 +138,12 @@ def dense(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id:
 
         def run(batches):
             ids, m = sent.value
-            best, step = Best(len(ids), k), max(1, CELLS // len(ids))
+            best, step = Held(len(ids), k), max(1, CELLS // len(ids))
             for batch in batches:
                 for lo in range(0, batch.num_rows, step):
                     b = batch.slice(lo, step)
                     x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                    best.add(np.round(m @ x.T, DP), b.column(0).to_numpy())
+                    best.add(m @ x.T, b.column(0).to_numpy())
             yield best.batch(ids)
 
         return rows.mapInArrow(run, "query long, item long, score double"), sent
@@ -101,7 +152,8 @@ def dense(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id:
     for r in q.toLocalIterator():
         block.append(r)
         if len(block) == BLOCK:
-            parts.append(_done(*one(block)))
+            hits, sent = one(block)
+            parts.append(_done(ranked(hits, "query", "item", "score", k).drop("rank"), sent))
             block = []
     if block or not parts:
         parts.append(one(block)[0] if block else rows.selectExpr("item as query", "item", "0d as score").limit(0))

@@ -2,12 +2,13 @@
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from spindrift import catalogue, catalogue_more, tables
 from spindrift.functions.runs import runs
-from spindrift.operators import evaluation, postings
+from spindrift.operators import evaluation, postings, retrieval
 from spindrift.plans import config, pipeline
 from spindrift.sources import corpus
 
@@ -90,3 +91,40 @@ def test_scores_of_parents_round_as_in_the_sql(spark, tmp_path):
     want = c.sql(catalogue.ORACLES["dense_parent_collapse"]).project(", ".join(names)).fetchall()
     got = catalogue.dense_parent_collapse(spark, str(tmp_path)).select(*names).collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) == 16
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties", "odd", "large", "copies"])
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_held_scores_give_the_best(kind, k):
+    rng = np.random.default_rng(k)
+    s = rng.normal(size=(70, 900))
+    if kind == "ties":
+        s = np.round(s, 1) + rng.choice([0, 3e-10, -3e-10], s.shape)
+    elif kind == "odd":
+        s[rng.random(s.shape) < 0.3] = np.nan
+        s[rng.random(s.shape) < 0.01] = -np.inf
+        s[3, 5], s[4] = np.inf, np.nan
+    elif kind == "large":
+        s = np.round(s * 4) * 1e8 + rng.choice([0, 1e-8], s.shape)
+    elif kind == "copies":
+        s = s[:, rng.integers(0, 7, 900)]
+    items, best, held = rng.permutation(900), retrieval.Best(70, k), retrieval.Held(70, k)
+    for lo in range(0, 900, 32):
+        best.add(np.round(s[:, lo : lo + 32], retrieval.DP), items[lo : lo + 32])
+        held.add(s[:, lo : lo + 32], items[lo : lo + 32])
+    held._fold()
+    r = np.where(np.isnan(s), -np.inf, np.round(s, retrieval.DP))
+    o = np.lexsort((np.broadcast_to(items, r.shape), -r), axis=1)[:, :k]
+    want = np.take_along_axis(r, o, 1)
+    ok = np.isfinite(want)
+    for x in (best, held):
+        assert (x.score[ok] == want[ok]).all() and (x.item[ok] == items[o][ok]).all() and not np.isfinite(x.score[~ok]).any()
+
+
+def test_blocks_of_queries_give_one_ranking(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i % 40, x.tolist()) for i, x in enumerate(rng.normal(size=(50, 4)))], "i long, v array<double>")
+    rows = lambda: sorted(map(tuple, retrieval.dense(v, v, 7, "i", "i", "v").select("query", "item", "score", "rank").collect()))
+    whole = rows()
+    monkeypatch.setattr(retrieval, "BLOCK", 9)
+    assert rows() == whole and len(whole) == 40 * 7
